@@ -106,7 +106,7 @@ def normalize_title(title: Column | str, removed: list[str] = vocab.SENIORITY_WO
     if mode == "token":
         pattern = r"(?U)(?<![\w.])(?:" + "|".join(quote(w) for w in sorted(set(removed), key=len, reverse=True)) + r")(?![\w.])"
         return F.btrim(F.regexp_replace(F.regexp_replace(t, pattern, ""), r"(?U)\s+", " "))
-    return reduce(lambda acc, word: F.btrim(F.replace(acc, F.lit(word), F.lit("")), F.lit(" \t\n\r\f\v ")), removed, t)
+    return reduce(lambda acc, word: F.btrim(F.replace(acc, F.lit(word), F.lit("")), F.lit(" \t\n\r\f\v\u00a0")), removed, t)
 
 
 def score_rule(a: Column, b: Column, *, first: str = "ai-first", second: str = "ai-support",

@@ -110,7 +110,7 @@ def to_markdown(html: str | None) -> str:
     _flow(read(html), out)
     text = re.sub(r"\n\n\n+", "\n\n", "".join(out))
     text = re.sub(r"(?<=[^ \t\n])[ \t]+", " ", text)
-    for odd, plain in (("\xa0", " "), ("​", ""), (" ", " "), (" ", " "), (" ", " ")):
+    for odd, plain in (("\xa0", " "), ("\u200b", ""), ("\u2028", " "), ("\u2029", " "), ("\u2003", " ")):
         text = text.replace(odd, plain)
     return text.strip()
 

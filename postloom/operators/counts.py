@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.classify import capability
 from postloom.functions.text import WS, as_col
 from postloom.operators.ranking import top_k, top_k_per_group
 
@@ -86,8 +87,8 @@ def postings_with_term(df: DataFrame, skills: Column | str, terms: list[str], by
     Long form: `<by>, term, n, n_total`; the extra term `any` counts postings with at least one.
     """
     array = as_col(skills)
-    found = {f"t{i}": F.exists(array, lambda s, t=t: F.contains(s, F.lit(t.lower()))) for i, t in enumerate(terms)}
-    flagged = df.select(*by, *[F.coalesce(f, F.lit(False)).alias(n) for n, f in found.items()])
+    found = [f"t{i}" for i in range(len(terms))]
+    flagged = df.select(*by, *[F.coalesce(capability(array, [t.lower()]), F.lit(False)).alias(n) for n, t in zip(found, terms)])
     anything = F.lit(False)
     for name in found:
         anything = anything | F.col(name)

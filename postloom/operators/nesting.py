@@ -13,11 +13,12 @@ from postloom.functions.text import as_col
 def skills_by_category(skills: Column | str, categories: list[str] = vocab.SKILL_CATEGORIES) -> Column:
     """array<struct<name, category>> as a struct with one name array per category; absent category gives []."""
     source = as_col(skills)
-    return F.struct(*[
-        F.coalesce(F.transform(F.filter(source, lambda s, c=c: s.getField("category") == c),
-                               lambda s: s.getField("name")),
-                   F.array().cast("array<string>")).alias(c)
-        for c in categories])
+
+    def of(category: str) -> Column:
+        own = F.filter(source, lambda s: s.getField("category") == category)
+        return items(F.transform(own, lambda s: s.getField("name"))).alias(category)
+
+    return F.struct(*[of(c) for c in categories])
 
 
 def flat_to_nested(df: DataFrame, *, job_id: str = "job_id", title: str = "title", company: str = "company",
@@ -76,11 +77,12 @@ def nest_rows(rows: DataFrame, key: str, category: str, item: str, order: list[s
 def unnest_skills(df: DataFrame, skills: str, keep: list[Column | str],
                   categories: list[str] = vocab.SKILL_CATEGORIES) -> DataFrame:
     """One row per list entry: the kept columns plus `category, pos, skill`. Narrow."""
-    entries = F.flatten(F.array(*[
-        F.transform(items(f"{skills}.{c}"),
-                    lambda s, i, c=c: F.struct(F.lit(c).alias("category"), i.alias("pos"), s.alias("skill")))
-        for c in categories]))
-    return df.select(*[as_col(k) for k in keep], F.inline(entries))
+
+    def entries(category: str) -> Column:
+        return F.transform(items(f"{skills}.{category}"), lambda s, i: F.struct(
+            F.lit(category).alias("category"), i.alias("pos"), s.alias("skill")))
+
+    return df.select(*[as_col(k) for k in keep], F.inline(F.flatten(F.array(*[entries(c) for c in categories]))))
 
 
 def explode_with_source(df: DataFrame, items_col: Column | str, keep: list[Column | str], name: str = "item") -> DataFrame:

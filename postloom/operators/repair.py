@@ -38,8 +38,8 @@ def repair_line(line: Column | str) -> Column:
 
 def clean_separators(c: Column | str) -> Column:
     """Line and paragraph separators become line feeds; zero-width spaces go."""
-    return F.replace(F.replace(F.replace(as_col(c), F.lit(" "), F.lit("\n")), F.lit(" "), F.lit("\n")),
-                     F.lit("​"), F.lit(""))
+    return F.replace(F.replace(F.replace(as_col(c), F.lit("\u2028"), F.lit("\n")), F.lit("\u2029"), F.lit("\n")),
+                     F.lit("\u200b"), F.lit(""))
 
 
 def segments(c: Column | str) -> Column:
