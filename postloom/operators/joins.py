@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.classify import strip_version
 from postloom.functions.taxonomy import Taxonomy
 from postloom.functions.text import as_col
 from postloom.operators.counts import unpivot
@@ -70,3 +71,14 @@ def compare_groups(df: DataFrame, group: Column, groups: dict[str, object], metr
     return long.select("metric", *[f"n_{name}" for name in groups], *[
         F.try_divide(F.lit(100.0) * F.col(f"n_{name}"), F.col(f"size_{name}").cast("double")).alias(f"pct_{name}")
         for name in groups])
+
+
+def normalize_skills(df: DataFrame, skill: str, aliases: DataFrame, *, noise: list[str] = ()) -> DataFrame:
+    """Canonical skill names: version suffix off, case variants and spellings merged by an alias table
+    (`alias` lower-cased, `canonical`), noise words dropped."""
+    base = df.withColumn(skill, strip_version(skill)).withColumn("_alias", F.lower(F.trim(F.col(skill))))
+    if noise:
+        base = base.filter(~F.col("_alias").isin(*noise))
+    known = aliases.select(F.col("alias").alias("_alias"), "canonical")
+    return (base.join(known, "_alias", "left").withColumn(skill, F.coalesce("canonical", F.trim(F.col(skill))))
+            .drop("_alias", "canonical"))

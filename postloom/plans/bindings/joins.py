@@ -1,0 +1,81 @@
+"""J-family."""
+
+from pyspark.sql import functions as F
+
+from postloom import vocab
+from postloom.functions.text import contains_any, url_tail_id
+from postloom.operators import cooccur, counts, joins
+from postloom.plans.bindings.common import DOC_TAXONOMY, SKILL_ROWS_SQL, any_sql, lit_sql, query, skill_rows, table
+
+
+@query("j01_pending_urls", r"""
+WITH u AS (SELECT page_id, url, coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$'), ''), 'unknown') AS job_id FROM pages)
+SELECT page_id, url, job_id FROM u WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE CAST(d.doc_id AS VARCHAR) = u.job_id)""")
+def pending_urls(spark, sf):
+    queue = table(spark, sf, "pages").select("page_id", "url", url_tail_id("url").alias("job_id"))
+    done = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("job_id"))
+    return joins.pending(queue, done, "job_id")
+
+
+@query("j02_pending_outputs", """
+SELECT doc_id || '.yaml' AS file_name, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def pending_outputs(spark, sf):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".yaml")).alias("file_name")
+    return joins.pending_outputs(table(spark, sf, "documents").select(name, "source"), table(spark, sf, "labels").select(name))
+
+
+@query("j03_attach_raw", "SELECT l.doc_id, quality, toxic, source, n_chars FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")
+def attach_raw(spark, sf):
+    return joins.attach_raw(table(spark, sf, "labels"), table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+
+
+@query("j04_keyword_join", " UNION ALL ".join(
+    f"SELECT doc_id, {lit_sql(name)} AS category FROM documents WHERE {any_sql('lower(text)', kws)}" for name, kws in DOC_TAXONOMY))
+def keyword_join(spark, sf):
+    return joins.keyword_join(table(spark, sf, "documents"), "text", DOC_TAXONOMY, ["doc_id"])
+
+
+@query("j05_cooccurrence_self", f"""
+WITH {SKILL_ROWS_SQL}, u AS (SELECT DISTINCT l_orderkey, skill FROM s)
+SELECT x.skill AS a, y.skill AS b, count(*) AS n FROM u x JOIN u y ON x.l_orderkey = y.l_orderkey AND x.skill < y.skill GROUP BY ALL""")
+def cooccurrence_self(spark, sf):
+    return cooccur.pair_counts_rows(skill_rows(spark, sf), "l_orderkey", "skill")
+
+
+STOP = vocab.RESPONSIBILITY_STOP_WORDS
+
+
+@query("j06_drop_stop_words", f"""
+SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents)
+WHERE length(word) > 3 AND word NOT IN ({', '.join(lit_sql(w) for w in STOP)}) GROUP BY 1 HAVING count(*) >= 5""")
+def drop_stop_words(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter(F.length("word") > 3)
+    return counts.value_counts(joins.drop_listed(words, "word", STOP), "word", min_count=5)
+
+
+@query("j07_keep_listed", f"""
+WITH {SKILL_ROWS_SQL} SELECT skill, count(*) AS n FROM s WHERE skill IN (SELECT p_name FROM part WHERE p_size = 1) GROUP BY 1""")
+def keep_listed(spark, sf):
+    listed = table(spark, sf, "part").filter("p_size = 1").select(F.col("p_name").alias("skill"))
+    return counts.value_counts(joins.keep_found(skill_rows(spark, sf), listed, "skill"), "skill")
+
+
+@query("j08_site_lookup", """
+SELECT c_custkey, c_nationkey, n_name, n_nationkey IS NOT NULL AS known FROM customer LEFT JOIN
+  (SELECT * FROM nation WHERE n_regionkey <> 3) ON c_nationkey = n_nationkey""")
+def site_lookup(spark, sf):
+    sites = table(spark, sf, "nation").filter("n_regionkey <> 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return joins.site_lookup(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), sites, "c_nationkey")
+
+
+METRICS = ["rag", "license", "data", "the", "que"]
+
+
+@query("j09_compare_groups", "WITH g AS (SELECT quality, lower(text) AS t FROM labels JOIN documents USING (doc_id)) " + " UNION ALL ".join(
+    f"""SELECT {lit_sql(m)} AS metric, count(*) FILTER (quality = 1 AND contains(t, {lit_sql(m)})) AS n_good,
+  count(*) FILTER (quality = 0 AND contains(t, {lit_sql(m)})) AS n_bad,
+  100.0 * count(*) FILTER (quality = 1 AND contains(t, {lit_sql(m)})) / (count(*) FILTER (quality = 1))::DOUBLE AS pct_good,
+  100.0 * count(*) FILTER (quality = 0 AND contains(t, {lit_sql(m)})) / (count(*) FILTER (quality = 0))::DOUBLE AS pct_bad FROM g""" for m in METRICS))
+def compare_groups(spark, sf):
+    both = joins.attach_raw(table(spark, sf, "labels"), table(spark, sf, "documents").select("doc_id", "text"), "doc_id", how="inner")
+    return joins.compare_groups(both, F.col("quality"), {"good": 1, "bad": 0}, {m: contains_any("text", [m]) for m in METRICS})
