@@ -1,0 +1,221 @@
+"""X-family."""
+
+from pyspark.sql import functions as F
+
+from postloom.functions import text
+from postloom.operators import html, repair, validate
+from postloom.plans.bindings.common import query, table
+
+# Pages carry no JSON-LD of their own: a block made from the page's heading, link and id is put in front of the page,
+# inside a @graph for ids ending in an odd digit of the URL, after one broken block for all.
+_H1 = r"(?s)<h1>(.*?)</h1>"
+
+
+def pages_with_json_ld(spark, sf):
+    pages = table(spark, sf, "pages")
+    posting = F.to_json(F.struct(
+        F.lit("JobPosting").alias("@type"), F.regexp_extract("html", _H1, 1).alias("title"), F.col("url"),
+        F.lit("FULL_TIME").alias("employmentType"),
+        F.struct(F.concat(F.lit("Company "), F.col("page_id").cast("string")).alias("name")).alias("hiringOrganization"),
+        F.struct(F.struct(F.lit("Berlin").alias("addressLocality"), F.lit("DEU").alias("addressCountry")).alias("address")).alias("jobLocation"),
+        F.struct((F.col("page_id") * 6).alias("monthsOfExperience")).alias("experienceRequirements"),
+        F.array(F.lit("Software"), F.lit("Data")).alias("industry"), F.lit("2026-01-15").alias("datePosted")))
+    wrapped = F.when(F.startswith("url", F.lit("https")), F.concat(F.lit('{"@graph":[{"@type":"Organization"},'), posting, F.lit("]}"))).otherwise(posting)
+    escaped = F.replace(F.replace(F.replace(wrapped, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("+"), F.lit("&#x2B;"))
+    script = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld&#x2B;json"> '),
+                      escaped, F.lit(" </script>"))
+    return pages.withColumn("html", F.concat(script, F.col("html")))
+
+
+@query("x01_extract_json_ld", r"""
+SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title, url, 'FULL_TIME' AS work_type, 'Company ' || page_id AS company,
+  page_id * 6 AS months FROM pages""")
+def extract_json_ld(spark, sf):
+    found = pages_with_json_ld(spark, sf).select("page_id", html.json_ld("html").alias("ld"))
+    get = lambda path, kind="string": F.try_variant_get("ld", path, kind)
+    return found.select("page_id", get("$.title").alias("title"), get("$.url").alias("url"), get("$.employmentType").alias("work_type"),
+                        get("$.hiringOrganization.name").alias("company"), get("$.experienceRequirements.monthsOfExperience", "long").alias("months"))
+
+
+@query("x02_html_to_markdown")
+def html_to_markdown(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
+
+
+@query("x03_extract_top_skills", r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages),
+  e AS (SELECT page_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS pos FROM p),
+  f AS (SELECT page_id, s, min(pos) AS pos FROM e WHERE length(s) > 1 AND length(s) < 40
+    AND NOT (contains(lower(s), 'upload') OR contains(lower(s), 'apply') OR contains(lower(s), 'view all')) GROUP BY ALL)
+SELECT p.page_id, coalesce(string_agg(s, '|' ORDER BY pos) FILTER (rn <= 10), '') AS skills
+FROM p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f) f ON p.page_id = f.page_id GROUP BY 1""")
+def extract_top_skills(spark, sf):
+    # The navigation list stands for the skills section: it follows the title element of the head.
+    pills = html.pill_texts("html", heading="", heading_tag="title", containers=("nav",), tags=("li",), classes=None)
+    return table(spark, sf, "pages").select("page_id", F.array_join(html.top_skills(pills), "|").alias("skills"))
+
+
+@query("x04_extract_company_size", r"""
+SELECT doc_id, CASE WHEN m <> '' THEN m || ' Employees' ELSE '' END AS company_size, TRY_CAST(replace(m, ',', '') AS INTEGER) AS employees
+FROM (SELECT doc_id, regexp_extract(text || ' ' || CASE WHEN n_chars > 1000 THEN '1,' ELSE '' END || (100 + n_chars % 900) || ' Employees', '(\d+[,\d]*)\s+Employees', 1) AS m FROM documents)""")
+def extract_company_size(spark, sf):
+    tail = F.concat_ws("", "text", F.lit(" "), F.when(F.col("n_chars") > 1000, "1,").otherwise(""), (F.col("n_chars") % 900 + 100).cast("string"), F.lit(" Employees"))
+    return table(spark, sf, "documents").select("doc_id", text.company_size(tail).alias("company_size")).withColumn(
+        "employees", text.size_number("company_size"))
+
+
+@query("x05_posting_from_page", r"""
+SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title, 'Company ' || page_id AS company, 'Berlin, DEU' AS location,
+  'FULL_TIME' AS work_type, CASE WHEN page_id = 0 THEN '' WHEN page_id * 6 < 24 THEN 'Entry level' WHEN page_id * 6 < 48 THEN 'Mid level'
+  WHEN page_id * 6 < 84 THEN 'Senior level' ELSE 'Expert/Leader' END AS level, '2026-01-15' AS posted_date, url, 'Software|Data' AS industries,
+  regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$') AS job_id, 'board' AS source FROM pages""")
+def posting_from_page(spark, sf):
+    posting = html.posting_from_page(pages_with_json_ld(spark, sf), source="board", markdown=False)
+    return posting.select("page_id", "title", "company", "location", "work_type", "level", "posted_date", "url",
+                          F.array_join("industries", "|").alias("industries"), "job_id", "source")
+
+
+@query("x05_posting_from_bare_page", r"""
+SELECT page_id, trim(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&')) AS title, '' AS company, '' AS url, '' AS job_id FROM pages""")
+def posting_from_bare_page(spark, sf):
+    return html.posting_from_page(table(spark, sf, "pages").drop("url"), source="board", markdown=False).select("page_id", "title", "company", "url", "job_id")
+
+
+@query("x05_full_posting")
+def full_posting(spark, sf):
+    return html.posting_from_page(pages_with_json_ld(spark, sf), source="board").drop("html")
+
+
+@query("x06_output_name", r"""
+WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title, 'Company: ' || page_id AS company FROM pages)
+SELECT page_id, page_id || '_' || trim(regexp_replace(regexp_replace(company, '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '_', 'g'), '_') || '_' ||
+  trim(regexp_replace(regexp_replace(substr(title, 1, 50), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '_', 'g'), '_') || '.yaml' AS record_name,
+  replace(trim(trim(regexp_replace(substr(trim(title), 1, 30), '[^\p{L}\p{N} _-]', '_', 'g'), '_'), '-'), ' ', '_') || '_' || page_id || '.html' AS page_name FROM t""")
+def output_name(spark, sf):
+    title = F.regexp_extract("html", _H1, 1)
+    rows = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), "page_id", title.alias("title"),
+                                            F.concat(F.lit("Company: "), F.col("page_id").cast("string")).alias("company"))
+    return rows.select("page_id", text.record_file_name("id", "company", "title").alias("record_name"), text.page_file_name("title", "id").alias("page_name"))
+
+
+# Documents hold no colons: some of their separators become colons so that lines look like record files.
+def _yaml_like(column):
+    keyed = F.regexp_replace(column, r"(?m)^([A-Za-z]+) ", "$1: ")
+    blocks = F.regexp_replace(keyed, r"(?m)^([A-Za-z]+)\.", "$1: |")
+    indented = F.regexp_replace(blocks, r"(?m)^[^a-zA-Z]", "  ")
+    return F.regexp_replace(F.regexp_replace(indented, ", ", ": "), r"\. ", "\n- ")
+
+
+_YAML_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^([A-Za-z]+) ', '\1: ', 'g'),
+  '(?m)^([A-Za-z]+)\.', '\1: |', 'g'), '(?m)^[^a-zA-Z]', '  ', 'g'), ', ', ': ', 'g'), '\. ', chr(10) || '- ', 'g')"""
+
+
+@query("x07_repair_yaml_text", rf"""
+WITH s AS (SELECT doc_id, string_split({_YAML_SQL}, chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM s),
+  e AS (SELECT *, CASE WHEN regexp_matches(line, '^[\p{{L}}\p{{N}}_]+:\s*\|') THEN 1
+    WHEN line <> '' AND NOT regexp_matches(line, '^[ \t-]') THEN 0 END AS ev FROM l),
+  b AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 0) AS in_block FROM e),
+  v AS (SELECT *, regexp_matches(line, '^[\p{{L}}\p{{N}}_]+:\s*.+$') AS is_pair, regexp_extract(line, '^([\p{{L}}\p{{N}}_]+):\s*(.+)$', 1) AS k,
+    trim(regexp_extract(line, '^([\p{{L}}\p{{N}}_]+):\s*(.+)$', 2)) AS val, regexp_matches(line, '^\s*-\s*.+$') AS is_item,
+    regexp_extract(line, '^(\s*-\s*)(.+)$', 1) AS pre, trim(regexp_extract(line, '^(\s*-\s*)(.+)$', 2)) AS item FROM b),
+  f AS (SELECT doc_id, i, CASE WHEN in_block = 1 THEN line
+    WHEN is_pair AND contains(val, ':') AND NOT ends_with(val, ':') AND NOT regexp_matches(val, '^["''|>-]|^\d+$|^https?://|^[\d,]+K?\s*-\s*\d+K?$')
+      THEN k || ': "' || replace(replace(val, '\', '\\'), '"', '\"') || '"'
+    WHEN NOT is_pair AND is_item AND contains(item, ':') AND NOT ends_with(item, ':') AND NOT regexp_matches(item, '^["'']')
+      THEN pre || '"' || replace(replace(item, '\', '\\'), '"', '\"') || '"'
+    ELSE line END AS fixed FROM v)
+SELECT doc_id, string_agg(fixed, chr(10) ORDER BY i) AS repaired FROM f GROUP BY 1""")
+def repair_yaml_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", repair.repair_yaml_text(_yaml_like(F.col("text"))).alias("repaired"))
+
+
+EVENT_RULES = {"k": validate.Field("bigint", True), "kind": validate.Field("string", True, ("click", "view", "purchase", "signup")),
+               "tags": validate.Field("array<string>")}
+
+
+@query("x09_coerce_and_validate", """
+SELECT event_id, CASE WHEN event_type = 'purchase' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+  CASE WHEN event_type = 'purchase' THEN NULL ELSE event_type END AS kind,
+  CASE WHEN event_type = 'purchase' THEN 'json:payload' WHEN event_type = 'error' THEN 'value:kind' ELSE '' END AS errors,
+  CASE WHEN event_type IN ('purchase', 'error') THEN 'quarantine' ELSE 'ok' END AS status FROM events""")
+def coerce_and_validate(spark, sf):
+    # The payload gets the event type as a field and the list as a JSON string; purchases are cut off.
+    whole = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "kind": "'), F.col("event_type"), F.lit('", "tags": "[\\"a\\", \\"b\\"]"}'))
+    payload = F.when(F.col("event_type") == "purchase", F.expr("left(props, length(props) - 1)")).otherwise(whole)
+    checked = validate.coerce_and_validate(table(spark, sf, "events").select("event_id", payload.alias("payload")), "payload", EVENT_RULES)
+    return checked.select("event_id", "k", "kind", F.array_join("errors", "|").alias("errors"), "status")
+
+
+@query("x09_rule_extraction", """
+SELECT status, count(*) AS n FROM (SELECT 'ok' AS status FROM documents) GROUP BY 1""")
+def rule_extraction(spark, sf):
+    payload = table(spark, sf, "documents").select("doc_id", validate.rule_extraction("source", "text").alias("payload"))
+    return validate.coerce_and_validate(payload, "payload").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Listing pages made from the navigation of each page: every entry becomes a card.
+_CARD = ('<div id="job-card-1"><a href="/company/$1"><img data-id="company-img" alt="$1 Logo"></a><h2><a href="/job/$1">$2</a></h2>'
+         '<div><i class="fa-regular fa-location-dot"></i><span>$2 City</span></div><div><i class="fa-trophy"></i><span>Senior  level</span></div></div>')
+
+
+@query("x10_cards_from_listing", r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"]*)">[^<]*</a></li>', 1) AS h,
+  regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1) AS t FROM pages),
+  c AS (SELECT page_id, unnest(h) AS h, unnest(t) AS t, unnest(range(0, len(h))) AS card_no FROM p)
+SELECT page_id, card_no::INTEGER AS card_no, trim(t) AS title, '/job/' || h AS link, trim(h) AS company, t || ' City' AS location, '' AS work_type,
+  '' AS compensation, 'Senior level' AS level FROM c WHERE length(trim(t)) > 0 AND length(trim(h)) > 0""")
+def cards_from_listing(spark, sf):
+    listing = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", '<li><a href="/([^"]*)">([^<]*)</a></li>', _CARD))
+    return html.cards(listing, keep=["page_id"])
+
+
+@query("x11_links_from_page", """
+SELECT page_id, pos - 1 AS pos, link FROM (SELECT page_id, unnest(l) AS link, unnest(range(1, len(l) + 1)) AS pos FROM (
+  SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: contains(x, '/th')) AS l FROM pages))""")
+def links_from_page(spark, sf):
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(html.links("html", "/th")).alias("pos", "link"))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+_LINES_SQL = "list_filter(list_transform(string_split(replace(text, '. ', ' - '), chr(10)), lambda x: trim(x)), lambda x: length(x) > 0)"
+_PLACE = "regexp_matches(x, '(?i)Remote|Berlin|Germany|London|UK|US|Amsterdam|Paris|Munich')"
+
+
+@query("x12_card_text_heuristics", f"""
+WITH l AS (SELECT doc_id, {_LINES_SQL} AS ls FROM documents),
+  p AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], '-') OR contains(ls[i], '—')) AS ds,
+    list_filter(range(1, len(ls) + 1), lambda i: {_PLACE.replace('(x,', '(ls[i],')}) AS ps FROM l)
+SELECT doc_id, coalesce(trim(string_split_regex(ls[ds[-1]], '—|-')[1]), '') AS company,
+  CASE WHEN len(ps) > 0 AND (len(ds) = 0 OR ps[-1] >= ds[-1]) THEN ls[ps[-1]] ELSE coalesce(trim(string_split_regex(ls[ds[-1]], '—|-')[2]), '') END AS location FROM p""")
+def card_text_heuristics(spark, sf):
+    card = html.card_text(F.replace("text", F.lit(". "), F.lit(" - ")))
+    return table(spark, sf, "documents").select("doc_id", card.alias("c")).select("doc_id", "c.company", "c.location")
+
+
+@query("x14_clean_bullets", r"""
+SELECT conv_id, turn, sum(CASE WHEN regexp_matches(x, '^\s*[-*•]') THEN 1 ELSE 0 END)::BIGINT AS violations,
+  string_agg(regexp_replace(x, '^\s*[-*•]\s*', ''), chr(10) ORDER BY i) AS cleaned FROM (
+  SELECT conv_id, turn, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM (
+    SELECT conv_id, turn, string_split(regexp_replace(text, '\. ', chr(10) || ' - ', 'g'), chr(10)) AS ls FROM conversations)) GROUP BY ALL""")
+def clean_bullets(spark, sf):
+    lines = F.split(F.regexp_replace("text", r"\. ", "\n - "), "\n")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.size(F.filter(lines, text.has_bullet)).cast("long").alias("violations"),
+        F.array_join(F.transform(lines, text.strip_bullet), "\n").alias("cleaned"))
+
+
+@query("x15_expand_page_urls", """
+SELECT page_id, p::INTEGER AS page, CASE WHEN p = 1 THEN url ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'page=' || p END AS page_url
+FROM (SELECT page_id, url, unnest(range(1, 4)) AS p FROM pages)""")
+def expand_page_urls(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
+    return rows.select("page_id", "page", text.page_url("url", "page").alias("page_url"))
+
+
+@query("x16_absolute_links", """
+SELECT page_id, pos - 1 AS pos, CASE WHEN starts_with(link, 'http') THEN link ELSE 'https://board.example.com' || link END AS link FROM (
+  SELECT page_id, unnest(l) AS link, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""")
+def absolute_links(spark, sf):
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(html.links("html")).alias("pos", "link"))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), text.absolute_link("link", "https://board.example.com").alias("link"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom import schemas, vocab
+from postloom import schemas
+from postloom.functions.access import items
 from postloom.functions.text import strip
 from postloom.operators.nesting import normalize_postings
 
@@ -35,49 +36,60 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_name": batch["file_name"], "json": parsed.str[0], "error": parsed.str[1]})
 
 
-def read_yaml_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """One record per YAML file: (file_name plus the schema's columns, file_name plus error)."""
-    files = (spark.read.option("wholetext", True).text(path)
-             .select(F.col("_metadata.file_name").alias("file_name"), "value"))
+def yaml_files(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as (file_name, value)."""
+    return (spark.read.option("wholetext", True).text(path)
+            .select(F.col("_metadata.file_name").alias("file_name"), "value"))
+
+
+def parse_yaml(files: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """One record per (file_name, value) row: (file_name plus the schema's columns, file_name plus error)."""
     parsed = files.mapInPandas(_yaml_to_json, "file_name string, json string, error string")
     ok = (parsed.filter(F.col("error").isNull())
           .select("file_name", F.from_json("json", schema).alias("r")).select("file_name", "r.*"))
     return ok, parsed.filter(F.col("error").isNotNull()).select("file_name", "error")
 
 
-def read_structured(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Structured postings of either generation as the live record."""
-    ok, bad = read_yaml_records(spark, path, schemas.EITHER_GENERATION)
+def structured_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ok, bad = parse_yaml(files, schemas.EITHER_GENERATION)
     return normalize_postings(ok), bad
 
 
-def read_extracted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Extracted postings; `job_id` is text, absent text fields are empty."""
-    ok, bad = read_yaml_records(spark, path, schemas.EXTRACTED)
+def extracted_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ok, bad = parse_yaml(files, schemas.EXTRACTED)
     text = [f.name for f in schemas.EXTRACTED if isinstance(f.dataType, T.StringType)]
     lists = [f.name for f in schemas.EXTRACTED if isinstance(f.dataType, T.ArrayType)]
-    ok = ok.fillna("", subset=text).withColumns(
-        {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists})
+    ok = ok.fillna("", subset=text).withColumns({c: items(c) for c in lists})
     return ok, bad
 
 
+def read_structured(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Structured postings of either generation as the live record, and the files that do not parse."""
+    return structured_records(yaml_files(spark, path))
+
+
+def read_extracted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Extracted postings (`job_id` is text, absent text fields are empty), and the files that do not parse."""
+    return extracted_records(yaml_files(spark, path))
+
+
 def read_cards_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.CARD, link: str = "link") -> DataFrame:
     """Listing cards with header; rows without a link are left out."""
     rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
     return rows.filter(F.length(F.coalesce(F.col(link), F.lit(""))) > 0)
 
 
-def read_cards_json(spark: SparkSession, paths: list[str], schema: T.StructType = schemas.CARD) -> DataFrame:
-    """A listed set of array-of-objects files; missing files are passed over."""
+def read_cards_json(spark: SparkSession, paths: list[str], schema: T.StructType | str = schemas.CARD, *, multi_line: bool = True) -> DataFrame:
+    """A listed set of files, arrays of objects (`multi_line`) or JSON lines; missing files are passed over."""
     out = spark.createDataFrame([], schema)
     for path in paths:
         try:
-            part = spark.read.schema(schema).json(path, multiLine=True)
+            part = spark.read.schema(schema).json(path, multiLine=multi_line)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        out = out.unionByName(part, allowMissingColumns=True)
+        out = out.unionByName(part.select(*out.columns))
     return out
 
 
@@ -120,5 +132,3 @@ def read_markdown_listing(spark: SparkSession, path: str) -> DataFrame:
     """Records divided by `---` lines; the file is split while it is read."""
     return parse_listing(spark.read.option("lineSep", "\n---\n").text(path))
 
-
-CARD_COLUMNS = vocab.CARD_COLUMNS

@@ -11,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, *, fmt: str = "parquet",
-                 files_per_trigger: int | None = None) -> DataFrame:
+                 pattern: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """New files of a folder as a stream; `pattern` picks them by name."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path)
