@@ -50,14 +50,14 @@ def is_outside_field(title: Column | str) -> Column:
     return as_col(title).rlike(_alternation(vocab.NON_AI_PATTERNS))
 
 
-def score_compare(title: Column, body: Column, *, for_words: list[str], against_words: list[str],
+def score_compare(title: Column, bodies: list[Column], *, for_words: list[str], against_words: list[str],
                   title_words: list[str], at_least: int = 2) -> Column:
     """struct(hit, reason): a title word decides; else more `for` than `against` keywords, and enough of them.
 
-    `title` must be lower-cased by the caller and counts for the `for` side only; `body` is taken as it is.
+    `title` must be lower-cased by the caller and counts for the `for` side only; `bodies` are taken as they are.
     """
-    a = count_keywords([title, body], for_words)
-    b = count_keywords([body], against_words)
+    a = count_keywords([title, *bodies], for_words)
+    b = count_keywords(bodies, against_words)
     reason = (F.when(contains_any(title, title_words, lower=False), "title")
               .when((a > b) & (a >= at_least), "content").otherwise("none"))
     return F.struct((reason != "none").alias("hit"), reason.alias("reason"))

@@ -221,3 +221,8 @@ def bucketed_item_counts(df: DataFrame, bucket: Column, skills: str, categories:
                                 for c in categories]))
     rows = df.select(bucket.alias("bucket"), heads.alias("_s")).filter(F.col("bucket").isNotNull())
     return rows.select("bucket", F.explode("_s").alias("skill")).groupBy("bucket", "skill").agg(N.alias("n"))
+
+
+def shown_percent(df: DataFrame, pct: str = "pct") -> DataFrame:
+    """Add the percentage as a report shows it, with one decimal; the exact one stays."""
+    return df.withColumn(f"{pct}_shown", F.round(pct, 1))

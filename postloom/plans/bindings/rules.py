@@ -137,7 +137,7 @@ _B = " + ".join(flag_sql("text", k) for k in AGAINST)
 SELECT doc_id, reason <> 'none' AS hit, reason FROM (SELECT doc_id,
   CASE WHEN {any_sql('lower(source)', TITLE)} THEN 'title' WHEN ({_A}) > ({_B}) AND ({_A}) >= 2 THEN 'content' ELSE 'none' END AS reason FROM documents)""")
 def score_compare(spark, sf):
-    scored = C.score_compare(F.lower("source"), F.col("text"), for_words=FOR, against_words=AGAINST, title_words=TITLE)
+    scored = C.score_compare(F.lower("source"), [F.col("text")], for_words=FOR, against_words=AGAINST, title_words=TITLE)
     return table(spark, sf, "documents").select("doc_id", scored.alias("s")).select("doc_id", "s.hit", "s.reason")
 
 
