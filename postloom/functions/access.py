@@ -68,3 +68,7 @@ def drop_empty_fields(*columns: str, arrays: tuple[str, ...] = (), keep: tuple[s
             value = F.nullif(value.cast("string"), F.lit(""))
         fields.append(value.alias(name))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+
+
+def row_count() -> Column:
+    return F.count(F.lit(1))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.access import row_count
 from postloom.functions.text import as_col
 
-N = F.count(F.lit(1))
-
 
 def pair_counts(df: DataFrame, items: Column | str, *, min_count: int = 1, keep: list[str] = ()) -> DataFrame:
     """Unordered pairs of distinct items inside each record's array: `a < b, n`.
@@ -19,7 +18,7 @@ def pair_counts(df: DataFrame, items: Column | str, *, min_count: int = 1, keep:
     sets = df.select(*keep, F.array_sort(F.array_distinct(F.array_compact(as_col(items)))).alias("_s")).filter(F.size("_s") >= 2)
     left = sets.select(*keep, "_s", F.posexplode("_s").alias("_i", "a"))
     pairs = left.select(*keep, "a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("b"))
-    return pairs.groupBy(*keep, "a", "b").agg(N.alias("n")).filter(F.col("n") >= min_count)
+    return pairs.groupBy(*keep, "a", "b").agg(row_count().alias("n")).filter(F.col("n") >= min_count)
 
 
 def pair_counts_rows(rows: DataFrame, key: str, item: str, *, min_count: int = 1, block: int = 1024) -> DataFrame:
@@ -32,9 +31,9 @@ def pair_counts_rows(rows: DataFrame, key: str, item: str, *, min_count: int = 1
     """
     sets = rows.select(F.col(key).alias("_k"), F.col(item).alias("_v")).dropna().distinct()
     if min_count > 1:
-        support = sets.groupBy("_v").agg(N.alias("_n")).filter(F.col("_n") >= min_count).select("_v")
+        support = sets.groupBy("_v").agg(row_count().alias("_n")).filter(F.col("_n") >= min_count).select("_v")
         sets = sets.join(support, "_v", "left_semi")
-    wide = (sets.groupBy("_k").agg(N.alias("_n")).filter(F.col("_n") > block)
+    wide = (sets.groupBy("_k").agg(row_count().alias("_n")).filter(F.col("_n") > block)
             .select("_k", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
     tagged = sets.join(wide, "_k", "left").select(
         "_k", "_v", F.coalesce("_blocks", F.lit(1)).alias("_blocks"),
@@ -46,7 +45,7 @@ def pair_counts_rows(rows: DataFrame, key: str, item: str, *, min_count: int = 1
     pairs = left.join(right, ["_k", "_b1", "_b2"]).filter(
         (F.col("_b1") < F.col("_b2")) | (F.col("_x") < F.col("_y")))
     return (pairs.groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
-            .agg(N.alias("n")).filter(F.col("n") >= min_count))
+            .agg(row_count().alias("n")).filter(F.col("n") >= min_count))
 
 
 def present_categories(skills: str, categories: list[str]) -> Column:
@@ -59,12 +58,12 @@ def category_pairs(df: DataFrame, present: Column | str, kind: str) -> DataFrame
     sets = df.select(kind, as_col(present).alias("_s"))
     left = sets.select(kind, "_s", F.posexplode("_s").alias("_i", "first"))
     pairs = left.select(kind, "first", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("second"))
-    return pairs.groupBy("first", "second", kind).agg(N.alias("n"))
+    return pairs.groupBy("first", "second", kind).agg(row_count().alias("n"))
 
 
 def listed_totals(long: DataFrame, item: str, listed: list[str]) -> DataFrame:
     """Entries per listed item, duplicates counted."""
-    return long.filter(F.col(item).isin(*listed)).groupBy(item).agg(N.alias("n"))
+    return long.filter(F.col(item).isin(*listed)).groupBy(item).agg(row_count().alias("n"))
 
 
 def listed_pairs(df: DataFrame, items: Column | str, listed: list[str]) -> DataFrame:

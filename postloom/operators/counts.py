@@ -9,17 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.access import row_count
 from postloom.functions.classify import capability
 from postloom.functions.text import WS, as_col
 from postloom.operators.ranking import top_k, top_k_per_group
 
-N = F.count(F.lit(1))
-
 
 def value_counts(df: DataFrame, by: list[str] | str, *, top: int | None = None, min_count: int = 0) -> DataFrame:
-    """Rows per value (nulls left out), most frequent first, ties by key."""
+    """Rows per value, nulls left out; with `top`, the most frequent ones in order, ties by key."""
     keys = [by] if isinstance(by, str) else list(by)
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(N.alias("n"))
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(row_count().alias("n"))
     if min_count:
         counts = counts.filter(F.col("n") >= min_count)
     return top_k(counts, top, "n", keys) if top else counts
@@ -33,7 +32,7 @@ def share_of_total(counts: DataFrame, n: str = "n") -> DataFrame:
 
 def share_of(counts: DataFrame, base: DataFrame, n: str = "n") -> DataFrame:
     """Add `pct` of the number of rows of `base` (postings, for example, rather than mentions)."""
-    total = base.agg(N.alias("total")).scalar()
+    total = base.agg(row_count().alias("total")).scalar()
     return counts.withColumn("pct", F.try_divide(F.lit(100.0) * F.col(n), total.cast("double")))
 
 
@@ -57,12 +56,12 @@ def category_item_counts(long: DataFrame, *, category: str = "category", item: s
                          without: list[str] = ()) -> DataFrame:
     """List entries per (category, item), optionally without some categories."""
     rows = long.filter(~F.col(category).isin(*without)) if without else long
-    return rows.filter(F.col(item).isNotNull()).groupBy(category, item).agg(N.alias("n"))
+    return rows.filter(F.col(item).isNotNull()).groupBy(category, item).agg(row_count().alias("n"))
 
 
 def crosstab(df: DataFrame, group: str, kind: str, kinds: list[str]) -> DataFrame:
     """Group by fixed kinds, one column each: a single conditional aggregate (no pivot job)."""
-    return df.groupBy(group).agg(N.alias("n"), *[F.count_if(F.col(kind) == k).alias(_name(k)) for k in kinds])
+    return df.groupBy(group).agg(row_count().alias("n"), *[F.count_if(F.col(kind) == k).alias(_name(k)) for k in kinds])
 
 
 def _name(kind: str) -> str:
@@ -71,7 +70,7 @@ def _name(kind: str) -> str:
 
 def flag_counts(df: DataFrame, flags: dict[str, Column], by: list[str] = ()) -> DataFrame:
     """Several conditional counts in one pass."""
-    return df.groupBy(*by).agg(N.alias("n_total"), *[
+    return df.groupBy(*by).agg(row_count().alias("n_total"), *[
         F.count_if(F.coalesce(f, F.lit(False))).alias(name) for name, f in flags.items()])
 
 
@@ -92,7 +91,7 @@ def postings_with_term(df: DataFrame, skills: Column | str, terms: list[str], by
     anything = F.lit(False)
     for name in found:
         anything = anything | F.col(name)
-    wide = flagged.groupBy(*by).agg(N.alias("n_total"), F.count_if(anything).alias("any"),
+    wide = flagged.groupBy(*by).agg(row_count().alias("n_total"), F.count_if(anything).alias("any"),
                                     *[F.count_if(F.col(name)).alias(name) for name in found])
     labels = {t: f"t{i}" for i, t in enumerate(terms)} | {"any": "any"}
     return unpivot(wide, [*by, "n_total"], labels, "term", "n")
@@ -109,7 +108,7 @@ def keys_with_term(rows: DataFrame, key: list[str], item: str, terms: list[str],
     anything = F.lit(False)
     for i in range(len(terms)):
         anything = anything | F.col(f"t{i}")
-    wide = per_key.groupBy(*by).agg(N.alias("n_total"), F.count_if(anything).alias("any"),
+    wide = per_key.groupBy(*by).agg(row_count().alias("n_total"), F.count_if(anything).alias("any"),
                                     *[F.count_if(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(terms))])
     labels = {t: f"t{i}" for i, t in enumerate(terms)} | {"any": "any"}
     return unpivot(wide, [*by, "n_total"], labels, "term", "n")
@@ -132,8 +131,8 @@ def group_items(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
 
     The sample is a per-group top-n over distinct pairs, so no group is ever collected whole.
     """
-    pairs = df.dropna(subset=[group, item]).groupBy(group, item).agg(N.alias("_n"))
-    totals = pairs.groupBy(group).agg(F.sum("_n").alias("n"), N.alias("n_distinct"))
+    pairs = df.dropna(subset=[group, item]).groupBy(group, item).agg(row_count().alias("_n"))
+    totals = pairs.groupBy(group).agg(F.sum("_n").alias("n"), row_count().alias("n_distinct"))
     first = top_k_per_group(pairs, [group], n, [F.col(item).asc()])
     samples = first.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("samples"))
     return totals.join(samples, group)
@@ -142,7 +141,7 @@ def group_items(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
 def term_rates(df: DataFrame, text: str, terms: list[str], by: list[str]) -> DataFrame:
     """Per group and term: texts containing the term and their share. One scan for all terms."""
     lowered = df.select(*by, F.lower(F.col(text)).alias("_t"))
-    wide = lowered.groupBy(*by).agg(N.alias("n_total"), *[
+    wide = lowered.groupBy(*by).agg(row_count().alias("n_total"), *[
         F.count_if(F.contains(F.col("_t"), F.lit(t))).alias(f"t{i}") for i, t in enumerate(terms)])
     long = unpivot(wide, [*by, "n_total"], {t: f"t{i}" for i, t in enumerate(terms)}, "term", "n")
     return long.withColumn("pct", F.try_divide(F.lit(100.0) * F.col("n"), F.col("n_total").cast("double")))
@@ -150,14 +149,14 @@ def term_rates(df: DataFrame, text: str, terms: list[str], by: list[str]) -> Dat
 
 def totals_by_type(df: DataFrame, kind: str, value: Column | None = None) -> DataFrame:
     """Totals per kind plus the grand total in the row `(all)`."""
-    measure = F.sum(value) if value is not None else N
+    measure = F.sum(value) if value is not None else row_count()
     return (df.rollup(kind).agg(measure.alias("n"), F.grouping(kind).alias("_g"))
             .select(F.when(F.col("_g") == 1, "(all)").otherwise(F.col(kind)).alias(kind), "n"))
 
 
 def run_tally(df: DataFrame, status: str, *, errors: str | None = None, first: int = 5) -> dict[str, DataFrame]:
     """Counts per status, and the first few error messages."""
-    out = {"status": df.groupBy(status).agg(N.alias("n"))}
+    out = {"status": df.groupBy(status).agg(row_count().alias("n"))}
     if errors:
         out["errors"] = df.filter(F.col(errors).isNotNull()).orderBy(errors).limit(first).select(errors)
     return out
@@ -166,7 +165,7 @@ def run_tally(df: DataFrame, status: str, *, errors: str | None = None, first: i
 def profile_summary(df: DataFrame, company: str, location: str, *, top: int = 10) -> DataFrame:
     """Header of a listing in long form: totals, top locations and top companies as (section, key, n)."""
     heads = unpivot(
-        df.agg(N.alias("total"), F.countDistinct(company).alias("companies"),
+        df.agg(row_count().alias("total"), F.countDistinct(company).alias("companies"),
                F.countDistinct(location).alias("locations")),
         [], {"total": "total", "companies": "companies", "locations": "locations"}, "key", "n",
     ).select(F.lit("summary").alias("section"), "key", "n")
@@ -186,7 +185,7 @@ def exclusive_items(df: DataFrame, kind: str, item: str, n: int) -> DataFrame:
 
 def quality_checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break each rule: (rule, n_failed, n_total)."""
-    wide = df.agg(N.alias("n_total"), *[
+    wide = df.agg(row_count().alias("n_total"), *[
         F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())])
     return unpivot(wide, ["n_total"], {name: f"r{i}" for i, name in enumerate(rules)}, "rule", "n_failed")
 
@@ -200,7 +199,7 @@ def sample_per_batch(df: DataFrame, batch: str, key: str, n: int, seed: int = 42
 def cluster_label(df: DataFrame, group: str, kind: str, first: str, second: str, *, share: float = 75.0,
                   min_total: int = 3) -> DataFrame:
     """Groups of at least `min_total` rows labelled by the kind that holds at least `share` percent, else mixed."""
-    counts = df.groupBy(group).agg(N.alias("n"), F.count_if(F.col(kind) == first).alias("n_first"),
+    counts = df.groupBy(group).agg(row_count().alias("n"), F.count_if(F.col(kind) == first).alias("n_first"),
                                    F.count_if(F.col(kind) == second).alias("n_second"))
     pct = {name: F.lit(100.0) * F.col(name) / F.col("n") for name in ("n_first", "n_second")}
     return (counts.filter(F.col("n") >= min_total)
@@ -211,7 +210,7 @@ def cluster_label(df: DataFrame, group: str, kind: str, first: str, second: str,
 def title_families(df: DataFrame, families: Column, kind: str, first: str) -> DataFrame:
     """Multi-label families: rows, rows of the first kind and its share per family."""
     return (df.select(F.explode(families).alias("family"), kind).groupBy("family")
-            .agg(N.alias("n"), F.count_if(F.col(kind) == first).alias("n_first"))
+            .agg(row_count().alias("n"), F.count_if(F.col(kind) == first).alias("n_first"))
             .withColumn("pct_first", F.lit(100.0) * F.col("n_first") / F.col("n")))
 
 
@@ -220,7 +219,7 @@ def bucketed_item_counts(df: DataFrame, bucket: Column, skills: str, categories:
     heads = F.flatten(F.array(*[F.slice(F.coalesce(F.col(f"{skills}.{c}"), F.array().cast("array<string>")), 1, per_category)
                                 for c in categories]))
     rows = df.select(bucket.alias("bucket"), heads.alias("_s")).filter(F.col("bucket").isNotNull())
-    return rows.select("bucket", F.explode("_s").alias("skill")).groupBy("bucket", "skill").agg(N.alias("n"))
+    return rows.select("bucket", F.explode("_s").alias("skill")).groupBy("bucket", "skill").agg(row_count().alias("n"))
 
 
 def shown_percent(df: DataFrame, pct: str = "pct") -> DataFrame:

@@ -83,11 +83,15 @@ def links(html: Column | str, href_part: str = "") -> Column:
     return F.filter(every, lambda h: F.contains(h, F.lit(href_part))) if href_part else every
 
 
-@F.pandas_udf("string")
-def html_to_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Markdown of an HTML fragment."""
-    for batch in batches:
-        yield batch.map(markup.to_markdown)
+def html_to_markdown(html: Column | str) -> Column:
+    """Markdown of an HTML fragment (Arrow)."""
+
+    @F.pandas_udf("string")
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(markup.to_markdown)
+
+    return convert(as_col(html))
 
 
 def pill_texts(html: Column | str, *, heading: str = "Top Skills", heading_tag: str = "h2",
@@ -148,7 +152,7 @@ def posting_from_page(df: DataFrame, html: str = "html", *, source: str, markdow
 
 def cards(df: DataFrame, html: str = "html", keep: list[str] = (), *, card_start: str = r'<div\b[^>]*\bid="job-card-') -> DataFrame:
     """One row per listing card with a title and a company; the page is cut at each card's opening tag."""
-    pieces = F.slice(F.split(F.col(html), f"(?i)(?={card_start})"), 2, 2_000_000_000)
+    pieces = F.slice(F.split(F.concat(F.lit("\n"), F.col(html)), f"(?i)(?={card_start})"), 2, 2_000_000_000)
     card = df.select(*keep, F.posexplode(pieces).alias("card_no", "_card"))
     inside = lambda pattern, group=1: F.regexp_extract("_card", pattern, group)
     company_link = r'(?is)<a\b[^>]*\bhref="[^"]*/company[^"]*"[^>]*>(.*?)</a>'

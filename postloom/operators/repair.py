@@ -9,7 +9,8 @@ from postloom.functions.text import as_col, strip
 
 # A literal block (its key line and every line below it that is empty or starts with a blank, tab or dash)
 # is one segment; every other line is a segment of its own.
-_SEGMENT = r"(?Umd)^\w+:[^\S\n]*\|.*(?:\n(?:[ \t\-].*|(?=\n|\z)))*+|^.*$"
+# `(?<![^\n])` is a line start that also holds for empty text and after a final line feed.
+_SEGMENT = r"(?Ud)(?<![^\n])(?:\w+:[^\S\n]*\|.*(?:\n(?:[ \t\-].*|(?=\n)))*+|.*)"
 _BLOCK = r"(?Ud)\A\w+:[^\S\n]*\|"
 _PAIR = r"(?Ud)^(\w+):\s*(.+)$"
 _LIST = r"(?Ud)^(\s*-\s*)(.+)$"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postloom.functions.access import row_count
 from postloom import vocab
 from postloom.functions.predicates import matches
 from postloom.functions.taxonomy import bucket_contains
@@ -13,8 +14,6 @@ from postloom.plans.bindings.common import (
     skill_rows, table, typed_skill_rows)
 from postloom.plans.bindings.rules import PRIORITIES
 
-N = F.count(F.lit(1))
-
 
 @query("a01_value_counts", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
 def value_counts(spark, sf):
@@ -163,7 +162,7 @@ SELECT bucket, skill, count(*) AS n FROM r WHERE rn <= 10 AND bucket IS NOT NULL
 def bucketed_item_counts(spark, sf):
     rows = typed_skill_rows(spark, sf).withColumn("bucket", bucket_contains("stage", PRIORITIES)).filter(F.col("bucket").isNotNull())
     head = ranking.top_k_per_group(rows, ["l_orderkey", "category"], 10, [F.col("l_linenumber"), F.col("skill")])
-    return head.groupBy("bucket", "skill").agg(N.alias("n"))
+    return head.groupBy("bucket", "skill").agg(row_count().alias("n"))
 
 
 @query("a16_bucketed_item_counts_arrays", f"""

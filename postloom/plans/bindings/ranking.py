@@ -2,14 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from postloom.functions.access import row_count
 from postloom.functions.predicates import first_rows
 from postloom.functions.text import contains_any, words
 from postloom.operators import counts, html, ranking, setops
 from postloom.plans.bindings.common import (
     POSTING_SQL, SKILL_ROWS_SQL, TYPED_SKILL_ROWS_SQL, any_sql, extractions, query, skill_rows, table, typed_skill_rows)
 
-N = F.count(F.lit(1))
-
 
 @query("w01_top_k_per_group", f"""
 WITH {SKILL_ROWS_SQL}, c AS (SELECT category, skill, count(*) AS n FROM s GROUP BY ALL)
@@ -120,7 +119,7 @@ def difference(spark, sf):
 @query("u05_partition_in_two", f"SELECT in_first, count(*) AS n FROM (SELECT {any_sql('lower(text)', ['rag', 'data'])} AS in_first FROM documents) GROUP BY 1")
 def partition_in_two(spark, sf):
     rows = setops.partition_in_two(table(spark, sf, "documents"), contains_any("text", ["rag", "data"]))
-    return rows.groupBy("in_first").agg(N.alias("n"))
+    return rows.groupBy("in_first").agg(row_count().alias("n"))
 
 
 @query("u06_merge_skills", f"""

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from postloom.functions.access import row_count
 from postloom import vocab
 from postloom.functions import classify as C
 from postloom.functions.taxonomy import Taxonomy, bucket_contains
@@ -12,7 +13,6 @@ from postloom.operators import counts, joins
 from postloom.plans.bindings.common import (
     DOC_TAXONOMY, SKILL_ROWS_SQL, STATUSES, any_sql, first_match_sql, flag_sql, lit_sql, query, skill_rows, table)
 
-N = F.count(F.lit(1))
 
 # Job titles made from the part columns: seniority from the first word, role from the type, suffix from the second word.
 ROLES = {"ECONOMY": "Software Engineer", "LARGE": "AI Engineer", "MEDIUM": "Machine Learning Engineer",
@@ -86,14 +86,14 @@ SELECT category, count(*) AS n FROM (SELECT {first_match_sql(vocab.RESPONSIBILIT
   FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1""")
 def responsibility_categories(spark, sf):
     lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select(Taxonomy(vocab.RESPONSIBILITY_TAXONOMY).first_match("line").alias("category")).groupBy("category").agg(N.alias("n"))
+    return lines.select(Taxonomy(vocab.RESPONSIBILITY_TAXONOMY).first_match("line").alias("category")).groupBy("category").agg(row_count().alias("n"))
 
 
 @query("c02_use_case_categories", f"""
 SELECT category, count(*) AS n FROM (SELECT {first_match_sql(vocab.USE_CASE_TAXONOMY, 'lower(text)')} AS category FROM conversations) GROUP BY 1""")
 def use_case_categories(spark, sf):
     turns = table(spark, sf, "conversations")
-    return turns.select(Taxonomy(vocab.USE_CASE_TAXONOMY).first_match("text").alias("category")).groupBy("category").agg(N.alias("n"))
+    return turns.select(Taxonomy(vocab.USE_CASE_TAXONOMY).first_match("text").alias("category")).groupBy("category").agg(row_count().alias("n"))
 
 
 GATED = DOC_TAXONOMY[:5]

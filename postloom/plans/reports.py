@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from postloom import vocab
 from postloom.functions import classify as C
 from postloom.functions import predicates as P
-from postloom.functions.access import flatten_skills, get_path, items
+from postloom.functions.access import flatten_skills, get_path, items, row_count
 from postloom.functions.taxonomy import Taxonomy, bucket_contains
 from postloom.functions.text import contains_any, link_tail_id, truncate_preview
 from postloom.operators import cooccur, counts, joins, nesting, ranking, setops
 
 Report = dict[str, DataFrame]
-N = F.count(F.lit(1))
 FIRST, SUPPORT, ML = "ai-first", "ai-support", "ml-first"
 CATS = vocab.SKILL_CATEGORIES
 
@@ -71,7 +70,7 @@ def overview(postings: DataFrame) -> Report:
         "top_titles": counts.value_counts(p, "title", top=15),
         "top_skills": ranking.top_k_per_group(skills.filter(F.col("category").isin(*CATS[:8])), ["category"], 10,
                                               [F.col("n").desc(), F.col("skill").asc()], rank="rank"),
-        "use_case_total": uses.agg(N.alias("n")),
+        "use_case_total": uses.agg(row_count().alias("n")),
         "use_case_tags": counts.value_counts(
             uses.select(F.explode(Taxonomy(vocab.USE_CASE_TAGS).all_matches("use_case")).alias("tag")), "tag"),
         "findings": _rate(p, findings).select("name", "n"),
@@ -93,7 +92,7 @@ def patterns(postings: DataFrame) -> Report:
         "frameworks": counts.value_counts(entries.filter(F.col("skill").isin(*vocab.FRAMEWORKS)), "skill"),
         "framework_pairs": ranking.top_k(cooccur.listed_pairs(p, genai, vocab.FRAMEWORKS), 15, "n", ["a", "b"]),
         "title_families": ranking.order_by_share(family_table, "pct_first", "family"),
-        "title_family_mix": families.groupBy("family", "kind").agg(N.alias("n")),
+        "title_family_mix": families.groupBy("family", "kind").agg(row_count().alias("n")),
         "title_family_samples": counts.group_items(families, "family", "title", 5),
         "category_pairs": ranking.top_k(totals, 10, "n", ["first", "second"]),
         "category_pair_mix": pairs,
@@ -138,7 +137,7 @@ def support_roles(postings: DataFrame) -> Report:
     return {
         "categories": ranking.order_by_size(
             samples.join(example.withColumn("example", truncate_preview(F.col("example"), 80)), "category", "left"), "n", "category"),
-        "research_split": counts.share_of_total(judged.groupBy(F.when(hit, "research").otherwise("applied").alias("role")).agg(N.alias("n"))),
+        "research_split": counts.share_of_total(judged.groupBy(F.when(hit, "research").otherwise("applied").alias("role")).agg(row_count().alias("n"))),
         "research_reasons": counts.value_counts(judged.select("research.reason"), "reason"),
         "research_by_type": counts.value_counts(judged.filter(hit), "kind"),
         "research_titles": judged.filter(hit).select("title").distinct().orderBy("title").limit(15),
@@ -214,7 +213,7 @@ def support_skills(postings: DataFrame) -> Report:
     entry = joins.compare_groups(both, F.col("kind"), {"first": FIRST, "support": SUPPORT}, {"entry_level": C.entry_level("title")})
     return {
         "comparison": comparison.withColumn("category", category),
-        "genai_presence": counts.share_of_total(support.groupBy(with_genai.alias("with_genai")).agg(N.alias("n"))),
+        "genai_presence": counts.share_of_total(support.groupBy(with_genai.alias("with_genai")).agg(row_count().alias("n"))),
         "genai_skills": counts.share_of(genai, support),
         "examples": _examples(support, F.when(with_genai, "with genai").otherwise("without genai"), 5, "company", "title",
                               F.when(with_genai, items("skills.genai")).otherwise(three_each).alias("skills")),
@@ -228,7 +227,7 @@ def _item_report(postings: DataFrame, column: str, taxonomy: list, stop_words: l
     return {
         "items": rows,
         "categories": ranking.order_by_size(counts.group_items(labelled, "category", "item", 5), "n", "category"),
-        "uncategorized": labelled.filter(F.col("category").isNull()).agg(N.alias("n")),
+        "uncategorized": labelled.filter(F.col("category").isNull()).agg(row_count().alias("n")),
         "by_type": counts.totals_by_type(rows, "kind"),
         "words": counts.word_frequency(rows, "item", stop_words=stop_words),
     }

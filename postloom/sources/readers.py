@@ -38,7 +38,7 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def yaml_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as (file_name, value)."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
 
@@ -97,7 +97,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw HTML, one document per file: (file_name, html). A parquet path is read as a table of pages."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("html")))
 
 
