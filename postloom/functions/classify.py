@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postloom import vocab
-from postloom.functions.text import ICASE, any_of, as_col, contains_any, count_keywords, quote
+from postloom.functions.text import ICASE, any_of, as_col, contains_any, count_keywords, let, quote
 
 
 def _alternation(patterns: list[str]) -> str:
@@ -35,14 +35,18 @@ def prefix_role_guard(title: Column | str) -> Column:
 def classify_title(title: Column | str, *, first: list[str] = vocab.AI_FIRST_PATTERNS,
                    support: list[str] = vocab.AI_SUPPORT_PATTERNS) -> Column:
     """ai_first, ai_support or other. One ordered `when` chain; the guard is evaluated once."""
-    t = as_col(title)
-    return (
-        F.when(t.rlike(_alternation(first)) & ~prefix_role_guard(t), "ai_first")
-        .when(t.rlike(_alternation(support)), "ai_support")
-        .when(contains_any(t, vocab.AI_FIRST_KEYWORDS) & ~contains_any(t, vocab.SOFTWARE_PHRASES), "ai_first")
-        .when(contains_any(t, vocab.SUPPORT_PHRASES) & contains_any(t, ["ai"]), "ai_support")
-        .otherwise("other")
-    )
+    def rules(t: Column, low: Column) -> Column:
+        has = lambda words: contains_any(low, words, lower=False)
+        guard = has(vocab.SUPPORT_PHRASES) & role_before_ai(low)
+        return (
+            F.when(t.rlike(_alternation(first)) & ~guard, "ai_first")
+            .when(t.rlike(_alternation(support)), "ai_support")
+            .when(has(vocab.AI_FIRST_KEYWORDS) & ~has(vocab.SOFTWARE_PHRASES), "ai_first")
+            .when(has(vocab.SUPPORT_PHRASES) & has(["ai"]), "ai_support")
+            .otherwise("other")
+        )
+
+    return F.coalesce(let([as_col(title), F.lower(as_col(title))], rules), F.lit("other"))
 
 
 def is_outside_field(title: Column | str) -> Column:
@@ -56,11 +60,13 @@ def score_compare(title: Column, bodies: list[Column], *, for_words: list[str],
 
     `title` must be lower-cased by the caller and counts for the `for` side only; `bodies` are taken as they are.
     """
-    a = count_keywords([title, *bodies], for_words)
-    b = count_keywords(bodies, against_words)
-    reason = (F.when(contains_any(title, title_words, lower=False), "title")
-              .when((a > b) & (a >= at_least), "content").otherwise("none"))
-    return F.struct((reason != "none").alias("hit"), reason.alias("reason"))
+    def rules(t: Column, *texts: Column) -> Column:
+        a, b = count_keywords([t, *texts], for_words), count_keywords(list(texts), against_words)
+        reason = (F.when(contains_any(t, title_words, lower=False), "title")
+                  .when((a > b) & (a >= at_least), "content").otherwise("none"))
+        return F.struct((reason != "none").alias("hit"), reason.alias("reason"))
+
+    return let([title, *bodies], rules)
 
 
 def depth_level(mention_text: Column, title: Column, body: Column, *, indicators: list[str],
@@ -70,11 +76,13 @@ def depth_level(mention_text: Column, title: Column, body: Column, *, indicators
     Primary needs a mention and one of: a title word, two or more occurrences in the body
     (case-sensitive), or a named technique. `mention_text` must be lower-cased.
     """
-    mentioned = contains_any(mention_text, indicators, lower=False)
-    occurrences = reduce(lambda x, y: x + y, [F.regexp_count(body, F.lit(quote(r))) for r in repeated])
-    deep = (contains_any(title, title_words) | (occurrences >= 2)
-            | contains_any(mention_text, techniques, lower=False))
-    return F.when(mentioned & deep, "primary").when(mentioned, "secondary").otherwise("none")
+    def rules(mention: Column, low_title: Column, text: Column) -> Column:
+        has = lambda words: contains_any(mention, words, lower=False)
+        occurrences = reduce(lambda x, y: x + y, [F.regexp_count(text, F.lit(quote(r))) for r in repeated])
+        deep = contains_any(low_title, title_words, lower=False) | (occurrences >= 2) | has(techniques)
+        return F.when(has(indicators), F.when(deep, "primary").otherwise("secondary")).otherwise("none")
+
+    return let([mention_text, F.lower(title), body], rules)
 
 
 def months_to_level(months: Column | str, bands: list[tuple[int, str]] = vocab.LEVEL_BANDS,

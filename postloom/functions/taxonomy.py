@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.text import any_of, as_col, contains_any
+from postloom.functions.text import any_of, as_col, contains_any, let
+
+
+def _cased(c: Column | str, lower: bool) -> Column:
+    return F.lower(as_col(c)) if lower else as_col(c)
 
 
 class Taxonomy:
@@ -21,23 +25,22 @@ class Taxonomy:
     def first_match(self, c: Column | str, default: str | None = None, *, lower: bool = True,
                     word_boundary: bool = False) -> Column:
         """The first category with any keyword in the text."""
-        return self._chain([contains_any(c, kws, lower=lower, word_boundary=word_boundary)
-                            for _, kws in self.entries], default)
+        return let([_cased(c, lower)], lambda t: self._chain(
+            [contains_any(t, kws, lower=False, word_boundary=word_boundary) for _, kws in self.entries], default))
 
     def first_match_in(self, columns: list[Column], default: str | None = None) -> Column:
         """As `first_match` over several texts, each already in the wanted case."""
-        return self._chain([any_of([contains_any(c, kws, lower=False) for c in columns])
-                            for _, kws in self.entries], default)
+        return let(columns, lambda *texts: self._chain(
+            [any_of([contains_any(t, kws, lower=False) for t in texts]) for _, kws in self.entries], default))
 
     def gated(self, c: Column | str, gate: list[str], residual: str, *, lower: bool = True) -> Column:
         """`first_match`; unmatched text gets `residual` if it hits a gate keyword, else null."""
-        return F.coalesce(self.first_match(c, lower=lower),
-                          F.when(contains_any(c, gate, lower=lower), F.lit(residual)))
+        return Taxonomy([*self.entries, (residual, gate)]).first_match(c, lower=lower)
 
     def all_matches(self, c: Column | str, *, lower: bool = True) -> Column:
         """Every matching category, in taxonomy order."""
-        return F.array_compact(F.array(*[
-            F.when(contains_any(c, kws, lower=lower), F.lit(name)) for name, kws in self.entries]))
+        return let([_cased(c, lower)], lambda t: F.array_compact(F.array(*[
+            F.when(contains_any(t, kws, lower=False), F.lit(name)) for name, kws in self.entries])))
 
     def flags(self, c: Column | str, *, lower: bool = True) -> dict[str, Column]:
         """One boolean per category."""

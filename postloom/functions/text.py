@@ -21,6 +21,18 @@ def quote(literal: str) -> str:
     return "".join("\\" + ch if ch in r"\.[]{}()*+-?^$|/" else ch for ch in literal)
 
 
+def let(values: list[Column], body) -> Column:
+    """`body(*values)` with every value computed once per row.
+
+    Projections share repeated subexpressions, but filters and generators do not, and the
+    optimizer is free to move an expression into one of them. A lambda variable is shared anywhere.
+    """
+    if len(values) == 1:
+        return F.get(F.transform(F.array(values[0]), body), F.lit(0))
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(bound, lambda s: body(*[s.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -34,6 +46,8 @@ def contains_any(c: Column | str, keywords: list[str], *, lower: bool = True, wo
     text = F.lower(as_col(c)) if lower else as_col(c)
     if word_boundary:
         return text.rlike(r"(?U)\b(?:" + "|".join(quote(k) for k in keywords) + r")\b")
+    if lower and len(keywords) > 2:
+        return let([text], lambda t: any_of([F.contains(t, F.lit(k)) for k in keywords]))
     return any_of([F.contains(text, F.lit(k)) for k in keywords])
 
 

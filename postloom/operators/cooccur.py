@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from postloom.functions.access import row_count
 from postloom.functions.text import as_col
+from postloom.operators.joins import join_checked
 
 
 def pair_counts(df: DataFrame, items: Column | str, *, min_count: int = 1, keep: list[str] = ()) -> DataFrame:
     """Unordered pairs of distinct items inside each record's array: `a < b, n`.
 
     Two nested generators stream the pairs of one record into the partial aggregate; no pair
-    array is ever built, and nothing but partial counts is shuffled.
+    array is ever built, and nothing but partial counts is shuffled. (The outer form keeps the
+    optimizer from evaluating the array a second time in a filter below the generator.)
     """
-    sets = df.select(*keep, F.array_sort(F.array_distinct(F.array_compact(as_col(items)))).alias("_s")).filter(F.size("_s") >= 2)
-    left = sets.select(*keep, "_s", F.posexplode("_s").alias("_i", "a"))
+    sets = df.select(*keep, F.array_sort(F.array_distinct(F.array_compact(as_col(items)))).alias("_s"))
+    left = sets.select(*keep, "_s", F.posexplode_outer("_s").alias("_i", "a"))
     pairs = left.select(*keep, "a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("b"))
     return pairs.groupBy(*keep, "a", "b").agg(row_count().alias("n")).filter(F.col("n") >= min_count)
 
@@ -32,10 +34,10 @@ def pair_counts_rows(rows: DataFrame, key: str, item: str, *, min_count: int = 1
     sets = rows.select(F.col(key).alias("_k"), F.col(item).alias("_v")).dropna().distinct()
     if min_count > 1:
         support = sets.groupBy("_v").agg(row_count().alias("_n")).filter(F.col("_n") >= min_count).select("_v")
-        sets = sets.join(support, "_v", "left_semi")
+        sets = join_checked(sets, support, "_v", how="left_semi")
     wide = (sets.groupBy("_k").agg(row_count().alias("_n")).filter(F.col("_n") > block)
             .select("_k", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
-    tagged = sets.join(wide, "_k", "left").select(
+    tagged = join_checked(sets, wide, "_k").select(
         "_k", "_v", F.coalesce("_blocks", F.lit(1)).alias("_blocks"),
         F.pmod(F.xxhash64("_v"), F.coalesce("_blocks", F.lit(1))).cast("int").alias("_b"))
     left = tagged.select("_k", F.col("_v").alias("_x"), F.col("_b").alias("_b1"),
@@ -56,7 +58,7 @@ def present_categories(skills: str, categories: list[str]) -> Column:
 def category_pairs(df: DataFrame, present: Column | str, kind: str) -> DataFrame:
     """Pairs of categories a record fills, by kind: `first, second, kind, n`. Pairs keep record order."""
     sets = df.select(kind, as_col(present).alias("_s"))
-    left = sets.select(kind, "_s", F.posexplode("_s").alias("_i", "first"))
+    left = sets.select(kind, "_s", F.posexplode_outer("_s").alias("_i", "first"))
     pairs = left.select(kind, "first", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("second"))
     return pairs.groupBy("first", "second", kind).agg(row_count().alias("n"))
 

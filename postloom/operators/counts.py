@@ -218,8 +218,8 @@ def bucketed_item_counts(df: DataFrame, bucket: Column, skills: str, categories:
     """Skills per bucket, at most the first `per_category` of every category list of a record."""
     heads = F.flatten(F.array(*[F.slice(F.coalesce(F.col(f"{skills}.{c}"), F.array().cast("array<string>")), 1, per_category)
                                 for c in categories]))
-    rows = df.select(bucket.alias("bucket"), heads.alias("_s")).filter(F.col("bucket").isNotNull())
-    return rows.select("bucket", F.explode("_s").alias("skill")).groupBy("bucket", "skill").agg(row_count().alias("n"))
+    rows = df.filter(bucket.isNotNull()).select(bucket.alias("bucket"), F.explode(heads).alias("skill"))
+    return rows.groupBy("bucket", "skill").agg(row_count().alias("n"))
 
 
 def shown_percent(df: DataFrame, pct: str = "pct") -> DataFrame:

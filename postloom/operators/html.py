@@ -16,7 +16,7 @@ from postloom import vocab
 from postloom.functions import markup
 from postloom.functions.classify import months_to_level
 from postloom.functions.predicates import clean_token
-from postloom.functions.text import as_col, company_size, compose_location, contains_any, strip
+from postloom.functions.text import as_col, company_size, compose_location, let, strip
 from postloom.operators.setops import distinct_ordered_items
 
 # Named character references that occur in page texts.
@@ -182,15 +182,16 @@ def card_text(c: Column | str) -> Column:
     The last line with a dash gives both; a line naming a known place is the location if it comes
     at or after that line.
     """
+    def last(lines: Column, pattern: str) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        return F.try_element_at(F.filter(numbered, lambda m: m.getField("x").rlike(pattern)), F.lit(-1))
+
+    def guess(dash: Column, place: Column) -> Column:
+        parts = F.split(dash.getField("x"), "—|-")
+        by_place = place.isNotNull() & (dash.isNull() | (place.getField("i") >= dash.getField("i")))
+        piece = lambda n: F.coalesce(strip(F.get(parts, F.lit(n))), F.lit(""))
+        return F.struct(piece(0).alias("company"), F.when(by_place, place.getField("x")).otherwise(piece(1)).alias("location"))
+
     lines = F.filter(F.transform(F.split(as_col(c), "\n"), strip), lambda x: F.length(x) > 0)
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    dashed = F.filter(marked, lambda m: m.getField("x").rlike("—|-"))
-    placed = F.filter(marked, lambda m: m.getField("x").rlike("(?i)" + "|".join(vocab.LOCATION_WORDS)))
-    last_dash, last_place = F.try_element_at(dashed, F.lit(-1)), F.try_element_at(placed, F.lit(-1))
-    parts = F.split(last_dash.getField("x"), "—|-")
-    by_place = last_place.isNotNull() & (
-        last_dash.isNull() | (last_place.getField("i") >= last_dash.getField("i")))
-    return F.struct(
-        F.coalesce(strip(F.get(parts, F.lit(0))), F.lit("")).alias("company"),
-        F.when(by_place, last_place.getField("x")).otherwise(F.coalesce(strip(F.get(parts, F.lit(1))), F.lit("")))
-        .alias("location"))
+    places = "(?i)" + "|".join(vocab.LOCATION_WORDS)
+    return let([lines], lambda x: let([last(x, "—|-"), last(x, places)], guess))

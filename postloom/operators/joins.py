@@ -1,4 +1,4 @@
-"""Joins. None carries a broadcast hint on data that grows: AQE broadcasts a side when its measured size allows."""
+"""Joins. A side is broadcast only after its size is known: by AQE from shuffle statistics, or by `join_checked`."""
 
 from __future__ import annotations
 
@@ -9,6 +9,24 @@ from postloom.functions.classify import strip_version
 from postloom.functions.taxonomy import Taxonomy
 from postloom.functions.text import as_col
 from postloom.operators.counts import unpivot
+from postloom.session import checkpointed
+
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def join_known(df: DataFrame, small: DataFrame, rows: int, key: str, how: str = "left") -> DataFrame:
+    """Join with a side of `rows` counted rows. Up to MAX_BROADCAST_ROWS it is broadcast, so the large
+    side is not shuffled and a hot key stays spread; beyond that the join is an ordinary one, where
+    AQE splits skewed partitions."""
+    return df.join(F.broadcast(small) if rows <= MAX_BROADCAST_ROWS else small, key, how)
+
+
+def join_checked(df: DataFrame, small: DataFrame, key: str, *, how: str = "left") -> DataFrame:
+    """`join_known` for a side that is normally tiny (hot keys, a vocabulary): it is computed once,
+    kept in the checkpoint folder and counted."""
+    kept = checkpointed(small)
+    return join_known(df, kept, kept.count(), key, how)
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from postloom import vocab
 from postloom.functions.access import items
 from postloom.functions.text import as_col
+from postloom.operators.joins import join_known
+from postloom.session import checkpointed
 
 
 def skills_by_category(skills: Column | str, categories: list[str] = vocab.SKILL_CATEGORIES) -> Column:
@@ -57,21 +59,35 @@ def nest_rows(rows: DataFrame, key: str, category: str, item: str, order: list[s
 
     Arrays keep `order`. A key with more than `part_size` rows is split into several numbered
     parts of about that size, so that no task ever holds an unbounded group; every other key is
-    part 0. Every row lands in exactly one part.
+    part 0. Every row lands in exactly one part. Equal rows of a hot key are counted first and
+    their copies dealt out over the parts, so even one repeated row cannot fill a part.
     """
-    sizes = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size))
-    parts = F.ceil(F.col("_n") / part_size).cast("int")
-    parted = (
-        rows.join(sizes, key, "left")
-        .withColumn("part", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*order, item), parts).cast("int")))
-        .repartition(key, "part")
-    )
-    entry = F.struct(*[F.col(o) for o in order], F.col(item).alias("_item"))
+    rows = rows.select(key, category, *order, item)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size)
+    hot = checkpointed(sizes)
+    n_hot = hot.count()
+    if n_hot == 0:
+        parted = rows.withColumns({"part": F.lit(0), "_copies": F.lit(1)})
+    else:
+        marked = join_known(rows, hot, n_hot, key)
+        cold = marked.filter(F.col("_n").isNull()).drop("_n").withColumns({"part": F.lit(0), "_copies": F.lit(1)})
+        parts = F.ceil(F.col("_n") / part_size).cast("int")
+        equal = marked.filter(F.col("_n").isNotNull()).groupBy(key, "_n", category, *order, item).agg(
+            F.count(F.lit(1)).alias("_m"))
+        dealt = equal.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("_m"), parts).cast("int") - 1)).alias("_j"))
+        split = dealt.withColumns({
+            "part": F.pmod(F.xxhash64(category, *order, item) + F.col("_j"), parts).cast("int"),
+            "_copies": (F.floor(F.col("_m") / parts) + (F.col("_j") < F.col("_m") % parts).cast("int")).cast("int")})
+        parted = cold.unionByName(split.drop("_n", "_m", "_j"))
+    entry = F.struct(*[F.col(o) for o in order], F.col(item).alias("_item"), F.col("_copies"))
     gathered = parted.groupBy(key, "part").agg(*[
         F.array_sort(F.collect_list(F.when(F.col(category) == c, entry))).alias(c) for c in categories])
+    if n_hot == 0:
+        return gathered.select(key, "part", *[
+            F.transform(c, lambda e: e.getField("_item")).alias(c) for c in categories])
     return gathered.select(key, "part", *[
-        F.transform(c, lambda e: e.getField("_item")).alias(c) for c in categories])
+        F.flatten(F.transform(c, lambda e: F.array_repeat(e.getField("_item"), e.getField("_copies")))).alias(c)
+        for c in categories])
 
 
 def unnest_skills(df: DataFrame, skills: str, keep: list[Column | str],
@@ -87,7 +103,9 @@ def unnest_skills(df: DataFrame, skills: str, keep: list[Column | str],
 
 def explode_with_source(df: DataFrame, items_col: Column | str, keep: list[Column | str], name: str = "item") -> DataFrame:
     """One row per list item with its source columns and its position; null or missing lists give no rows."""
-    return df.select(*[as_col(k) for k in keep], F.posexplode(as_col(items_col)).alias("pos", name))
+    # The outer form is not duplicated as a filter below the generator; its empty rows are dropped here.
+    return df.select(*[as_col(k) for k in keep], F.posexplode_outer(as_col(items_col)).alias("pos", name)).filter(
+        F.col("pos").isNotNull())
 
 
 def normalize_postings(df: DataFrame) -> DataFrame:

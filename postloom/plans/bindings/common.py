@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import vocab
-from postloom.functions.text import words
+from postloom.functions.text import WS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,7 +104,7 @@ WORD_CATEGORY_SQL = "CASE " + " ".join(
 
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as flat extractions; everything is derived inside the row from the whole text."""
-    skills = F.transform(F.filter(words("text"), lambda w: F.length(w) >= 11),
+    skills = F.transform(F.filter(F.split("text", WS), lambda w: F.length(w) >= 11),
                          lambda w: F.struct(w.alias("name"), word_category(w).alias("category")))
     kind = (F.when(F.col("lang") == "en", "ai-first").when(F.col("lang") == "fr", "ai-support")
             .when(F.col("lang") == "de", "ml-first").otherwise("unknown"))
@@ -114,7 +114,7 @@ def extractions(spark: SparkSession, sf: str) -> DataFrame:
     sentences = F.filter(F.split("text", r"\. "), lambda x: F.length(F.trim(x)) > 0)
     return table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("job_id"), "doc_id",
-        F.array_join(F.slice(words("text"), 1, 3), " ").alias("title"), F.col("source").alias("company"),
+        F.array_join(F.slice(F.filter(F.split("text", WS, 5), lambda w: F.length(w) > 0), 1, 3), " ").alias("title"), F.col("source").alias("company"),
         kind.alias("ai_type"), F.lit("by language").alias("ai_type_reasoning"),
         stage.alias("company_stage"), F.col("lang").alias("company_focus"),
         lines.alias("responsibilities"), sentences.alias("use_cases"), skills.alias("skills"),
@@ -136,7 +136,6 @@ POSTING_SQL = f"""d AS (
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as nested postings of the live schema, with `doc_id` as the ordering key."""
-    from postloom.operators.nesting import flat_to_nested, skills_by_category  # noqa: F401
+    from postloom.operators.nesting import flat_to_nested
 
-    flat = extractions(spark, sf)
-    return flat_to_nested(flat, extracted_at=F.lit("2026-01-01T00:00:00"))
+    return flat_to_nested(extractions(spark, sf), extracted_at=F.lit("2026-01-01T00:00:00"))

@@ -36,8 +36,11 @@ def write_structured(df: DataFrame, path: str, *, posted: str | None = None, fmt
 
 
 def compact(df: DataFrame, path: str) -> DataFrame:
-    """Write once as parquet and read back: the staging table that all reports share."""
-    df.write.mode("error").parquet(path)
+    """Write once as parquet and read back: the staging table that all reports share.
+
+    The rebalance lets AQE merge small inputs and split large ones into files of even size.
+    """
+    df.hint("rebalance").write.mode("error").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from postloom import vocab
-from postloom.operators import cooccur, counts, nesting, ranking, setops
+from postloom.operators import cooccur, counts, joins, nesting, ranking, setops
 
 
 def hot_rows(n=3000, keys=40, items=60, seed=1):
@@ -38,6 +38,17 @@ def test_nest_rows_splits_hot_keys_and_loses_nothing(spark):
     assert one.a == [item for k, _, c, item in sorted(rows, key=lambda r: r[1]) if k == 1 and c == "a"]
 
 
+def test_nest_rows_deals_out_equal_rows(spark):
+    rows = [(0, 1, "a", "same")] * 2000 + [(0, 2, "b", "x")] * 3 + [(1, 1, "a", "y")] * 5
+    for limit in (0, 200_000):  # with and without the broadcast
+        joins.MAX_BROADCAST_ROWS = limit
+        out = nesting.nest_rows(rows_df(spark, rows), "k", "cat", "item", ["pos"], ["a", "b"], part_size=200).collect()
+        hot = [r for r in out if r.k == 0]
+        assert sum(len(r.a) for r in hot) == 2000 and sum(len(r.b) for r in hot) == 3 and len(hot) == 11
+        assert max(len(r.a) + len(r.b) for r in hot) <= 203
+        assert [(r.part, r.a, r.b) for r in out if r.k == 1] == [(0, ["y"] * 5, [])]
+
+
 def brute_pairs(records, min_count=1):
     n = Counter()
     for s in records:
