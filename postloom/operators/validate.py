@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom import schemas, vocab
-from postloom.functions.text import as_col
+from postloom import vocab
+from postloom.functions.classify import classify_title
+from postloom.functions.text import as_col, contains_any, let
 
 
 @dataclass(frozen=True)
@@ -98,21 +99,14 @@ def extract_with(df: DataFrame, extractor: Extractor, *, out: str = "payload") -
 
 def rule_extraction(title: Column | str, text: Column | str) -> Column:
     """The built-in extractor: the title class and the taxonomy hits as flat-extraction JSON. Stays in the JVM."""
-    from postloom.functions.classify import classify_title
-    from postloom.functions.predicates import contains_any
-
     kinds = F.create_map(*[F.lit(x) for x in ("ai_first", "ai-first", "ai_support", "ai-support", "other", "unknown")])
     lines = F.filter(F.transform(F.split(as_col(text), "\n"), F.trim), lambda x: F.length(x) > 0)
-    skills = F.array_compact(F.array(*[
-        F.when(F.contains(F.lower(as_col(text)), F.lit(term.lower())),
-               F.struct(F.lit(term).alias("name"), F.lit(category).alias("category")))
-        for category, terms in vocab.COMPARED_SKILLS.items() for term in terms]))
+    skills = let([F.lower(as_col(text))], lambda low: F.array_compact(F.array(*[
+        F.when(F.contains(low, F.lit(term.lower())), F.struct(F.lit(term).alias("name"), F.lit(category).alias("category")))
+        for category, terms in vocab.COMPARED_SKILLS.items() for term in terms])))
     return F.to_json(F.struct(
         F.element_at(kinds, classify_title(title)).alias("ai_type"),
         F.lit("title rules").alias("ai_type_reasoning"),
         lines.alias("responsibilities"), F.array().cast("array<string>").alias("use_cases"),
-        skills.alias("skills"), contains_any(as_col(text), ["customer", "client"]).alias("is_customer_facing"),
-        contains_any(as_col(title), ["manager", "director", "lead"]).alias("is_management")))
-
-
-FLAT_SCHEMA = schemas.FLAT_EXTRACTION
+        skills.alias("skills"), contains_any(text, ["customer", "client"]).alias("is_customer_facing"),
+        contains_any(title, ["manager", "director", "lead"]).alias("is_management")))
