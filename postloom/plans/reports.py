@@ -33,6 +33,15 @@ def flat(postings: DataFrame) -> DataFrame:
         P.truthy("position.is_management").alias("is_management"))
 
 
+def _ranked(df: DataFrame, by: str) -> DataFrame:
+    """Value counts, most frequent first. The sort sees one row per value only."""
+    return ranking.order_by_size(counts.value_counts(df, by), "n", by)
+
+
+def _ranked_shares(df: DataFrame, by: str) -> DataFrame:
+    return ranking.order_by_size(counts.share_of_total(counts.value_counts(df, by)), "n", by)
+
+
 def _examples(rows: DataFrame, label: Column, n: int, *shown: Column | str) -> DataFrame:
     """The first `n` rows of every label in job id order."""
     picked = rows.withColumn("label", label).filter(F.col("label").isNotNull())
@@ -62,16 +71,16 @@ def overview(postings: DataFrame) -> Report:
     skills = counts.category_item_counts(nesting.unnest_skills(p, "skills", [], CATS))
     uses = p.select(F.explode("use_cases").alias("use_case"))
     return {
-        "ai_types": counts.share_of_total(counts.value_counts(p, "kind")),
+        "ai_types": _ranked_shares(p, "kind"),
         "company_total": counts.distinct_count(p, "company"),
         "top_companies": counts.value_counts(p, "company", top=20),
-        "stages": counts.value_counts(p.filter(F.length("stage") > 0), "stage"),
+        "stages": _ranked(p.filter(F.length("stage") > 0), "stage"),
         "roles": _rate(p, {"customer_facing": F.col("is_customer_facing"), "management": F.col("is_management")}),
         "top_titles": counts.value_counts(p, "title", top=15),
         "top_skills": ranking.top_k_per_group(skills.filter(F.col("category").isin(*CATS[:8])), ["category"], 10,
                                               [F.col("n").desc(), F.col("skill").asc()], rank="rank"),
         "use_case_total": uses.agg(row_count().alias("n")),
-        "use_case_tags": counts.value_counts(
+        "use_case_tags": _ranked(
             uses.select(F.explode(Taxonomy(vocab.USE_CASE_TAGS).all_matches("use_case")).alias("tag")), "tag"),
         "findings": _rate(p, findings).select("name", "n"),
         "finding_examples": _examples(p.withColumn("_f", F.explode(matched)), F.col("_f"), 10, "company", "title"),
@@ -89,7 +98,7 @@ def patterns(postings: DataFrame) -> Report:
     by_stage = counts.bucketed_item_counts(p, bucket_contains("stage", vocab.STAGE_BUCKETS), "skills", CATS)
     entries = p.select(F.explode(genai).alias("skill"))
     return {
-        "frameworks": counts.value_counts(entries.filter(F.col("skill").isin(*vocab.FRAMEWORKS)), "skill"),
+        "frameworks": _ranked(entries.filter(F.col("skill").isin(*vocab.FRAMEWORKS)), "skill"),
         "framework_pairs": ranking.top_k(cooccur.listed_pairs(p, genai, vocab.FRAMEWORKS), 15, "n", ["a", "b"]),
         "title_families": ranking.order_by_share(family_table, "pct_first", "family"),
         "title_family_mix": families.groupBy("family", "kind").agg(row_count().alias("n")),
@@ -138,8 +147,8 @@ def support_roles(postings: DataFrame) -> Report:
         "categories": ranking.order_by_size(
             samples.join(example.withColumn("example", truncate_preview(F.col("example"), 80)), "category", "left"), "n", "category"),
         "research_split": counts.share_of_total(judged.groupBy(F.when(hit, "research").otherwise("applied").alias("role")).agg(row_count().alias("n"))),
-        "research_reasons": counts.value_counts(judged.select("research.reason"), "reason"),
-        "research_by_type": counts.value_counts(judged.filter(hit), "kind"),
+        "research_reasons": _ranked(judged.select("research.reason"), "reason"),
+        "research_by_type": _ranked(judged.filter(hit), "kind"),
         "research_titles": judged.filter(hit).select("title").distinct().orderBy("title").limit(15),
         "examples": _examples(judged.filter(F.size("responsibilities") > 0), label, 1, "company", "title", truncate_preview(first_task, 100).alias("example")),
     }
@@ -189,7 +198,7 @@ def finetuning(postings: DataFrame) -> Report:
     deep = p.withColumn("depth", level)
     return {
         "mention": _rate(p, {"fine_tuning": contains_any(bundle, vocab.FINETUNING_KEYWORDS, lower=False)}),
-        "depth": counts.share_of_total(counts.value_counts(deep, "depth")),
+        "depth": _ranked_shares(deep, "depth"),
         "use_case_categories": ranking.order_by_size(
             counts.group_items(cases.filter(F.col("category") != "(other mention)"), "category", "use_case", 3), "n", "category"),
         "other_mentions": P.first_rows(cases.filter(F.col("category") == "(other mention)"), 10, "job_id", "pos").select("use_case"),
@@ -249,7 +258,7 @@ def title_classes(cards: DataFrame) -> Report:
     samples = counts.exclusive_items(classified, "classification", "title", 30)
     return {
         "classified": classified,
-        "classes": counts.share_of_total(counts.value_counts(classified, "classification")),
+        "classes": _ranked_shares(classified, "classification"),
         "samples": samples.filter((F.col("classification") != "other") | (F.col("rank") <= 20)),
     }
 
@@ -268,8 +277,8 @@ def explore_cards(cards: DataFrame, *, order: str, excluded_company: str) -> Rep
         "title_rates": counts.match_rate(unique, words=contains_any("title", ["ai"]) & contains_any("title", ["engineer"]),
                                          in_order=P.matches("title", "ai.*engineer"), adjacent=P.matches("title", r"ai\s+engineer")),
         "engineers": engineers,
-        "work_types": counts.value_counts(engineers, "work_type"),
-        "levels": counts.value_counts(engineers, "level"),
+        "work_types": _ranked(engineers, "work_type"),
+        "levels": _ranked(engineers, "level"),
     }
 
 
