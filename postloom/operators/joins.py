@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postloom.functions.classify import strip_version
 from postloom.functions.taxonomy import Taxonomy
 from postloom.functions.text import as_col
-from postloom.operators.counts import unpivot
 from postloom.session import checkpointed
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom.functions import predicates as P
 from postloom.functions.text import contains_all, contains_any, words
 from postloom.operators.counts import value_counts
-from postloom.plans.bindings.common import POSTING_SQL, SKILL_ROWS_SQL, any_sql, extractions, postings, query, skill_rows, table
+from postloom.plans.bindings.common import POSTING_SQL, SKILL_ROWS_SQL, any_sql, extractions, query, skill_rows, table
 
 
 @query("f01_differs", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'")

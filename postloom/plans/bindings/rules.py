@@ -11,7 +11,7 @@ from postloom.functions.taxonomy import Taxonomy, bucket_contains
 from postloom.functions.text import contains_any, count_keywords
 from postloom.operators import counts, joins
 from postloom.plans.bindings.common import (
-    DOC_TAXONOMY, SKILL_ROWS_SQL, STATUSES, any_sql, first_match_sql, flag_sql, lit_sql, query, skill_rows, table)
+    DOC_TAXONOMY, SKILL_ROWS_SQL, any_sql, first_match_sql, flag_sql, lit_sql, query, skill_rows, table)
 
 
 # Job titles made from the part columns: seniority from the first word, role from the type, suffix from the second word.
