@@ -53,3 +53,13 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(read, 256).alias("turns_sha256"),
         F.length(learned_text(chats)).cast("long").alias("loss_chars"), F.sha2(learned_text(chats), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op6_token_file")
+def token_file(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from postloom.llm.token_file import read_tokens, write_tokens
+
+    docs = table(spark, sf, "documents")
+    return read_tokens(spark, write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
