@@ -15,6 +15,7 @@ Parts are numbered in document order, so the tokens before a part are a prefix s
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ from postloom.session import scratch_path
 SEGMENT = 1 << 18
 RUN = 512
 END_ID = 2
-CACHED = 200_000
+CACHED = 400_000
 SEGMENT_SCHEMA = ("part int, seq int, n_tokens long, doc_id array<long>, length array<long>, opens array<boolean>, "
                   "levels array<binary>, bitmaps array<binary>, ranks array<binary>")
 
@@ -73,30 +74,53 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return out
 
 
-class Encoder:
-    """Ids of a text. Ids never span a blank, so chunks between ASCII blanks are encoded apart and short ones remembered."""
+class Encoder(dict):
+    """Ids of a text, little-endian uint32. Ids never span a blank, and a chunk of letters with punctuation behind it
+    falls apart there, so chunks are encoded apart and short ones remembered, in two generations of at most `CACHED`."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer_path).encode
-        self.known: dict[str, list[int]] = {}
-
-    def _miss(self, chunk: str) -> list[int]:
-        ids = self.encode(chunk, add_special_tokens=False).ids
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.encode, self.model, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
+
+    def _ids(self, chunk: str) -> bytes:
+        if m := _WORD.fullmatch(chunk):
+            if m[2]:
+                return self[m[1]] + self[m[2]]
+            ids = [t.id for t in self.model(chunk)]  # normaliser and pre-tokeniser leave a-z as they are
+        else:
+            ids = self.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        out = self._ids(chunk) if out is None else out
         if len(chunk) <= 48:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[chunk] = ids
-        return ids
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = out
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known.get, []
-        for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            if chunk:
-                ids = known(chunk)
-                out += self._miss(chunk) if ids is None else ids
-        return np.array([*out, END_ID], np.uint32)
+        if "<|" not in text:  # special strings are matched before the tokenizer lower-cases
+            text = text.encode().lower().decode()
+        chunks = _STOP.sub(r" \1 ", text.replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ")
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)) + _END, "<u4")
+
+
+_WORD = re.compile(r"([a-z]+)([.,;:!?]*)")
+_STOP = re.compile(r"(?<=[a-z])([.,]) ")
+_END = np.array([END_ID], "<u4").tobytes()
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = Encoder(tokenizer_path)
+    return _encoders[tokenizer_path]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = None, doc_id: str = "doc_id",
@@ -114,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = No
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seq = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         held, size, ids_of, lengths, opens = [], 0, [], [], []
 
         def segment():
