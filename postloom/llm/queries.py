@@ -63,3 +63,10 @@ def token_file(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents")
     return read_tokens(spark, write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op1_mix_sources")
+def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.mixing import mix, words_taken
+
+    return words_taken(*mix(table(spark, sf, "documents")))
