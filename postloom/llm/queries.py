@@ -70,3 +70,30 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     from postloom.llm.mixing import mix, words_taken
 
     return words_taken(*mix(table(spark, sf, "documents")))
+
+
+def crc(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string"))
+
+
+KEEP_AT = 0.7
+
+
+@query("op2_quality_compression")
+def quality_compression(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.quality import fit, score
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf, "labels").select("doc_id", "quality"), F.coalesce(crc() % 4, F.lit(0)) != 2)
+    return score(docs, model).select("doc_id", F.coalesce(crc() % 4 == 2, F.lit(False)).alias("held_out"), "score",
+                                     F.when(F.col("score") >= KEEP_AT, 1).otherwise(0).alias("predicted"))
+
+
+@query("op3_language_bytes")
+def language_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.langid import fit, predict
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    net = fit(docs, F.coalesce(crc() % 3, F.lit(0)) != 1)
+    return predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", F.coalesce(crc() % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
