@@ -97,3 +97,36 @@ def language_bytes(spark: SparkSession, sf: str) -> DataFrame:
     net = fit(docs, F.coalesce(crc() % 3, F.lit(0)) != 1)
     return predict(docs.select("doc_id", "text"), net).select(
         "doc_id", F.coalesce(crc() % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def shingle_sql(source: str, key: str, prefix: str = "") -> str:
+    """CTEs `<p>w` (words), `<p>n` (whole rows) and `<p>s` (distinct five-word shingles, fewer words: the whole sequence)."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""{prefix}w AS (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM {source}),
+  {prefix}s AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    WHEN len(w) > 0 THEN [len(w) || ':' || array_to_string(w, ' ')] ELSE [] END) AS s FROM {prefix}w),
+  {prefix}n AS (SELECT {key}, count(*) AS n FROM {prefix}s GROUP BY {key})"""
+
+
+@query("op9_decontaminate", f"""
+WITH {shingle_sql('documents', 'doc_id', 'd')}, {shingle_sql('benchmark', 'item_id', 'b')}
+SELECT doc_id, item_id, n AS n_item, count(*) AS shared, count(*) / CAST(n AS DOUBLE) AS containment
+FROM ds JOIN bs USING (s) JOIN bn USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""")
+def decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def span_text(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+
+
+@query("op5_pii_bootstrap")
+def pii_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.pii import KINDS, find_pii
+
+    found = find_pii(table(spark, sf, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
