@@ -130,3 +130,32 @@ def pii_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+@query("op7_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.neighbours import nearest
+
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_license_scan")
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.licenses import fit, scan_licenses
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scan_licenses(docs, fit(docs))
+
+
+@query("op4_jaccard_join", f"""
+WITH RECURSIVE {shingle_sql('documents', 'doc_id', 'd')},
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM ds a JOIN ds b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN dn x ON x.doc_id = a.doc_id JOIN dn y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(dn.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN dn USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id""")
+def jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.jaccard import classes
+
+    return classes(table(spark, sf, "documents")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
