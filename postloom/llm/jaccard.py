@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import kept, map_text, text_bytes
+from postloom.llm.common import kept, map_text, row_key, text_bytes
 from postloom.llm.words import mix, shingle_sets
+from postloom.operators.joins import join_known
 
 PERCENT = 80
 EXTRA = 20           # l = n / EXTRA, 1 at least
@@ -306,7 +307,8 @@ def _remaining(postings: DataFrame, comps: DataFrame, sets: DataFrame, long_: in
 
 
 def classes(docs: DataFrame, *, keys: list[str] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", long_: int = LONG, block: int = BLOCK) -> DataFrame:
-    """keys, n, sig, component_id per row of `docs`: the size of its set, what stands for the set (null: empty), and the smallest doc_id it reaches.
+    """keys, n, sig, comp, component_id per row of `docs`: the size of its set, what stands for the set (null: empty), what stands
+    for its component, and the smallest doc_id it reaches.
 
     Null and empty texts have no shingles and are linked with nothing: their own doc_id. Equal texts are linked, rows with equal
     ids are rows of their own, a null id never is the smallest unless there is no other. An empty table gives none.
@@ -327,6 +329,25 @@ def classes(docs: DataFrame, *, keys: list[str] = ("doc_id",), doc_id: str = "do
     least = found.filter("sig is not null").groupBy("sig").agg(F.min(doc_id).alias("low"))
     least = least.join(comps.withColumnRenamed("sig", "of"), F.col("sig") == F.col("of"), "left").select("sig", "low", F.coalesce("comp", "sig").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("low").alias("component_id"))
-    reach = least.join(smallest, "comp").select(F.col("sig").alias("of"), "component_id")
+    reach = least.join(smallest, "comp").select(F.col("sig").alias("of"), "comp", "component_id")
     return found.join(reach, F.col("sig") == F.col("of"), "left").select(
-        *keys, "n", "sig", F.when(F.col("sig").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"))
+        *keys, "n", "sig", "comp", F.when(F.col("sig").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, one of each group of linked ones: that with the smallest doc_id (ties: by content); rows without
+    words are linked with nothing and stay. Columns as in `docs`."""
+    k1, k2 = row_key([doc_id, text])
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    found = classes(keyed, keys=["_k1", "_k2"], doc_id=doc_id, text=text).filter("comp is not null")
+    found = kept(found.select(F.struct(F.col(doc_id).isNull(), doc_id, "_k1", "_k2").alias("at"), "comp"), "groups")
+    first = found.groupBy("comp").agg(F.min("at").alias("first"))
+    judged = kept(found.join(first, "comp").groupBy(F.col("at._k1").alias("_k1"), F.col("at._k2").alias("_k2")).agg(
+        F.max(F.col("at") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("copies")), "judged")
+    gone = judged.filter("not stays or copies > 1").select("_k1", "_k2")
+    rest = join_known(keyed, gone, gone.count(), ["_k1", "_k2"], "left_anti")
+    repeated = judged.filter("stays and copies > 1").select("_k1", "_k2")
+    n = repeated.count()
+    if n:  # equal rows with equal ids: one of them
+        rest = rest.unionByName(join_known(keyed, repeated, n, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]))
+    return rest.drop("_k1", "_k2")

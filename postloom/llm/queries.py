@@ -159,3 +159,10 @@ def jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     from postloom.llm.jaccard import classes
 
     return classes(table(spark, sf, "documents")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
