@@ -40,6 +40,8 @@ FREQUENT = 400_000   # frequent shingles that are placed last, most frequent fir
 BLOOM_BITS = 27
 LONG = 64            # classes outside a list's largest component that make the list long
 BLOCK = 256
+SHORT = 4            # classes of a block in a list that is merged by counting
+PROBED = 4096
 
 
 def least_common(n):
@@ -175,11 +177,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def _merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame) -> DataFrame:
+    """node, comp of a forest: every `a` of the edges (a, b) has one `b` and nothing leads back. Pointers jump to their end."""
+    up = kept(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")), "labels")
+    while True:
+        far = up.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        new = kept(up.join(far, "comp", "left").select("node", F.coalesce("further", "comp").alias("comp"), F.col("further").isNotNull().alias("moved")), "labels")
+        if new.filter("moved").isEmpty():
+            return new.select("node", "comp")
+        up = new.select("node", "comp")
+
+
+def _merge_components(comps: DataFrame, links: DataFrame, forest: bool = False) -> DataFrame:
     """sig, comp after the links (a, b) between classes."""
     of = comps.select(F.col("sig").alias("s"), F.col("comp").alias("c"))
     edges = links.join(of.withColumnsRenamed({"s": "a", "c": "ca"}), "a").join(of.withColumnsRenamed({"s": "b", "c": "cb"}), "b")
-    found = components(edges.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    edges = edges.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = _roots(edges.groupBy("a").agg(F.min("b").alias("b"))) if forest else components(edges)
     return kept(comps.join(found, comps["comp"] == found["node"], "left").select("sig", F.coalesce(found["comp"], comps["comp"]).alias("comp")), "comps")
 
 
@@ -215,59 +229,63 @@ def _close(n_a: Column, n_b: Column) -> Column:
 
 
 def _stars(postings: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """a, b: for each class one of another component, the leader of the most lists both are in."""
+    """a, b: for each class one of another component, the leader of the most lists both are in. The leader's component comes
+    first in the keyed order of the components in its list, so such links never form a circle."""
     p = postings.join(comps, "sig")
-    lists = p.groupBy("s").agg(F.min_by(F.struct("sig", "comp", "n"), F.struct(F.xxhash64("comp", F.lit(turn)), F.xxhash64("sig", F.lit(turn)), "sig")).alias("lead"),
+    lists = p.groupBy("s").agg(F.min_by(F.struct("sig", "comp", "n"), F.struct(F.xxhash64("comp", F.lit(turn)), "comp", F.xxhash64("sig", F.lit(turn)), "sig")).alias("lead"),
                                F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("s", "lead")
     met = p.join(lists, "s").filter((F.col("comp") != F.col("lead.comp")) & _close(F.col("n"), F.col("lead.n")))
     counts = met.groupBy(F.col("sig").alias("a"), F.col("lead.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def divide_skip(query: np.ndarray, shingles: np.ndarray, starts: np.ndarray, owners: np.ndarray, need: int) -> np.ndarray:
-    """Ids in at least `need` of the query's inverted lists. List i holds owners[starts[i]:starts[i + 1]], ascending, of
-    shingles[i]. The longest lists are left out of the merge and probed by binary search for what the merge keeps."""
-    at = np.searchsorted(shingles, query)
-    at[at == len(shingles)] = 0
-    at = at[shingles[at] == query]
-    sizes = starts[at + 1] - starts[at]
-    at = at[np.argsort(sizes, kind="stable")]
-    left_out = min(len(at), need - 1, int(need / (0.01 * math.log2(max(2, int(sizes.max(initial=1)))) + 1)))
-    short, long_ = at[:len(at) - left_out], at[len(at) - left_out:]
-    merged = np.concatenate([owners[starts[i]:starts[i + 1]] for i in short]) if len(short) else np.zeros(0, owners.dtype)
-    found, counts = np.unique(merged, return_counts=True)
-    good = counts >= need - left_out
-    found, counts = found[good], counts[good]
-    for i in long_:
-        own = owners[starts[i]:starts[i + 1]]
-        spot = np.searchsorted(own, found)
-        spot[spot == len(own)] = 0
-        counts = counts + (own[spot] == found)
-    return found[counts >= need]
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of all pairs of a block: short local lists are merged by counting, long ones are probed as bits of a
+    matrix, `PROBED` lists at a time."""
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(values)) + 1, [len(values)]))
+    sizes, n = np.diff(starts), len(sets)
+    out = np.zeros(n * n, np.int64)
+    for size in range(2, SHORT + 1):
+        at = starts[:-1][sizes == size]
+        for i in range(size):
+            for j in range(i + 1, size):
+                out += np.bincount(owners[at + i] * n + owners[at + j], minlength=n * n)
+    out = out.reshape(n, n)
+    out = out + out.T
+    long_ = np.flatnonzero(sizes > SHORT)
+    for k in range(0, len(long_), PROBED):
+        lists = long_[k:k + PROBED]
+        bits = np.zeros((n, len(lists)), np.float32)
+        for c, i in enumerate(lists):
+            bits[owners[starts[i]:starts[i + 1]], c] = 1
+        out += (bits @ bits.T).astype(np.int64)
+    return out
 
 
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between classes of different components in a pair of blocks; those that join what is not joined yet."""
     rows = rows.drop_duplicates("sig").sort_values("sig").reset_index(drop=True)
     sets = [np.asarray(s, np.int64) for s in rows["set"]]
-    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(values)) + 1))
-    shingles, starts = values[starts], np.concatenate((starts, [len(values)]))
-    group = {c: c for c in rows["comp"]}
+    shared, n = _overlaps(sets), np.array([len(s) for s in sets])
+    comp, sig = rows["comp"].to_numpy(), rows["sig"].tolist()
+    good = (100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)) & (comp[:, None] != comp[None, :])
+    group = {c: c for c in comp.tolist()}
 
     def top(c):
         while group[c] != c:
+            group[c] = group[group[c]]
             c = group[c]
         return c
 
-    out, comp, sig = [], rows["comp"].tolist(), rows["sig"].tolist()
-    for i, own in enumerate(sets):
-        for j in divide_skip(own, shingles, starts, owners, least_common(len(own))):
-            if j != i and top(comp[i]) != top(comp[j]) and linked(own, sets[j]):
-                group[top(comp[i])] = top(comp[j])
-                out.append((sig[i], sig[j]))
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(good, 1))):
+        x, y = top(int(comp[i])), top(int(comp[j]))
+        if x != y:
+            group[x] = y
+            out.append((sig[i], sig[j]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -295,14 +313,21 @@ def _remaining(postings: DataFrame, comps: DataFrame, sets: DataFrame, long_: in
     need = F.least(F.greatest(F.lit(1), F.floor(F.col("a.n") / EXTRA)), F.greatest(F.lit(1), F.floor(F.col("b.n") / EXTRA))) - F.least("a.skipped", "b.skipped")
     pairs = met.groupBy(low.alias("a"), high.alias("b")).agg(F.sum("a.w").alias("c"), F.min(need).alias("need")).filter(
         F.col("c") >= F.greatest(F.lit(1), F.col("need"))).select("a", "b")
-    found = verified(kept(pairs, "pairs"), sets)
-
-    full = live.filter(F.col("long") & (F.col("skipped") >= _low(F.col("n"))))
-    count = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
-    cell = full.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("count")).cast("int"))
-    cell = cell.select("s", "sig", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
-    cell = cell.select("s", "sig", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    blocks = cell.join(sets.select("sig", "set"), "sig").groupBy("s", "i", "j").applyInPandas(_block_links, "a long, b long")
+    found = verified(pairs, sets)
+
+    # classes that could be linked through long lists alone, next to those they share most of them with
+    full = live.filter(F.col("long") & (F.col("skipped") >= _low(F.col("n")))).select("s", "sig", "comp", "w")
+    lead = full.groupBy("s").agg(F.min("sig").alias("lead"))
+    near = full.join(lead, "s").groupBy("sig", "comp", "lead").agg(F.sum("w").alias("k")).groupBy("sig", "comp").agg(
+        F.max_by("lead", F.struct("k", "lead")).alias("lead"))
+    parts = near.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    spots = kept(near.join(parts, "lead").select("sig", "comp", F.xxhash64("lead", F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("block")), "blocks")
+    on = full.join(spots.select("sig", "block"), "sig").select("s", "block").distinct()
+    couples = on.alias("a").join(on.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.block") <= F.col("b.block"))).select(
+        F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    couples = couples.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    members = spots.join(sets.select("sig", "set"), "sig")
+    blocks = couples.join(members, "block").select("i", "j", "sig", "comp", "set").groupBy("i", "j").applyInPandas(_block_links, "a long, b long")
     return found.unionByName(blocks)
 
 
@@ -323,8 +348,8 @@ def classes(docs: DataFrame, *, keys: list[str] = ("doc_id",), doc_id: str = "do
     postings = kept(held.select("sig", "n", F.explode("hits").alias("s")).distinct(), "postings")
     comps = kept(postings.select("sig", F.col("sig").alias("comp")).distinct(), "comps")
     for turn in range(2):
-        comps = _merge_components(comps, kept(verified(kept(_stars(postings, comps, turn), "stars"), sets), "links"))
-    comps = _merge_components(comps, kept(_remaining(postings, comps, sets, long_, block), "links"))
+        comps = _merge_components(comps, verified(_stars(postings, comps, turn), sets), forest=True)
+    comps = _merge_components(comps, _remaining(postings, comps, sets, long_, block))
 
     least = found.filter("sig is not null").groupBy("sig").agg(F.min(doc_id).alias("low"))
     least = least.join(comps.withColumnRenamed("sig", "of"), F.col("sig") == F.col("of"), "left").select("sig", "low", F.coalesce("comp", "sig").alias("comp"))
