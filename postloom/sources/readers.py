@@ -17,23 +17,59 @@ from postloom.functions.text import strip
 from postloom.operators.nesting import normalize_postings
 
 
-def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import yaml
-
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-
-    def one(text: str) -> tuple[str | None, str | None]:
-        try:
-            record = yaml.load(text, loader)
-        except yaml.YAMLError as error:
-            return None, str(error).splitlines()[0]
-        if not isinstance(record, dict):
-            return None, "not a record"
-        return json.dumps(record, default=str, ensure_ascii=False), None
-
-    for batch in batches:
-        parsed = batch["value"].map(one)
-        yield pd.DataFrame({"file_name": batch["file_name"], "json": parsed.str[0], "error": parsed.str[1]})
+def _wrong_types(value: object, kind: T.DataType, path: str) -> Iterator[str]:
+    """Paths whose value is not of the schema's kind; absent and null fit everywhere, text takes any scalar."""
+    if value is None:
+        return
+    if isinstance(kind, T.StructType):
+        if not isinstance(value, dict):
+            yield path
+            return
+        for field in kind:
+            yield from _wrong_types(value.get(field.name), field.dataType, f"{path}.{field.name}" if path else field.name)
+    elif isinstance(kind, T.ArrayType):
+        if not isinstance(value, list):
+            yield path
+            return
+        for item in value:
+            yield from _wrong_types(item, kind.elementType, f"{path}[]")
+    elif isinstance(kind, T.BooleanType):
+        if not isinstance(value, bool):
+            yield path
+    elif isinstance(kind, T.IntegralType):
+        if isinstance(value, bool) or not isinstance(value, int):
+            yield path
+    elif isinstance(value, (dict, list)):
+        yield path
+
+
+def _yaml_to_json(schema: T.StructType):
+    """Text to JSON text, or the reason why not: a file ends in exactly one of the two, whatever it holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+        def one(text: str | None) -> tuple[str | None, str | None]:
+            try:
+                record = yaml.load(text or "", loader)
+                if not isinstance(record, dict):
+                    return None, "not a record"
+                wrong = sorted(set(_wrong_types(record, schema, "")))
+                if wrong:
+                    return None, "type:" + ",".join(wrong)
+                return json.dumps(record, default=str, ensure_ascii=False), None
+            except yaml.YAMLError as error:
+                return None, (str(error).splitlines() or ["YAMLError"])[0]
+            except Exception as error:  # noqa: BLE001  an odd date, key, number, alias or depth must not end the job
+                return None, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}".strip()
+
+        for batch in batches:
+            parsed = [one(v) for v in batch["value"]]
+            yield pd.DataFrame({"file_name": batch["file_name"], "json": [p[0] for p in parsed], "error": [p[1] for p in parsed]})
+
+    return run
 
 
 def yaml_files(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +80,7 @@ def yaml_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_yaml(files: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """One record per (file_name, value) row: (file_name plus the schema's columns, file_name plus error)."""
-    parsed = files.mapInPandas(_yaml_to_json, "file_name string, json string, error string")
+    parsed = files.mapInPandas(_yaml_to_json(schema), "file_name string, json string, error string")
     ok = (parsed.filter(F.col("error").isNull())
           .select("file_name", F.from_json("json", schema).alias("r")).select("file_name", "r.*"))
     return ok, parsed.filter(F.col("error").isNotNull()).select("file_name", "error")

@@ -179,3 +179,18 @@ def test_shared_folder_comes_from_the_session(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_odd_files_are_reported_and_end_nothing(spark):
+    from postloom.sources import readers
+
+    good = "title: T\nposted_date: 2025-08-01\nskills: [a, b]\n"
+    odd = {"good": good, "date": "posted_date: 2026-02-31\n", "key": "2025-01-01: x\n", "cycle": "a: &a [*a]\n", "number": "a: 0x_\n",
+           "list": "a: 1\nskills: one long text\n", "deep": "a: " + "[" * 3000 + "]" * 3000, "empty": "", "scalar": "x"}
+    files = spark.createDataFrame(list(odd.items()), "file_name string, value string")
+    ok, bad = readers.extracted_records(files)
+    assert {r["file_name"] for r in ok.collect()} == {"good", "deep"}
+    reasons = {r["file_name"]: r["error"] for r in bad.collect()}
+    assert set(reasons) == set(odd) - {"good", "deep"} and reasons["list"] == "type:skills" and all(reasons.values())
+    _, bad = readers.structured_records(spark.createDataFrame([("a", "position: {skills: [RAG, LLM]}\n")], "file_name string, value string"))
+    assert bad.first()["error"] == "type:position.skills"
