@@ -29,12 +29,18 @@ def unescape(c: Column | str) -> Column:
     """Decode character references in one pass (so `&amp;lt;` gives `&lt;`); unknown ones stay."""
     text = as_col(c)
     names = F.create_map(*[F.lit(x) for pair in NAMED_REFERENCES.items() for x in pair])
+    # 128 to 159 mean windows-1252, as browsers read them
+    low = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    controls = F.create_map(*[F.lit(x) for n, c in low.items() if c for x in (n, c)])
 
     def decode(token: Column) -> Column:
         hexa = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
         deci = F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1)
         code = F.when(F.length(hexa) > 0, hexa).when(F.length(deci) > 0, F.conv(deci, 10, 16))
-        number = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        value = F.conv(code, 16, 10).cast("long")
+        odd = (value == 0) | (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)  # no character
+        number = F.decode(F.unhex(F.lpad(F.when(odd, F.lit("FFFD")).otherwise(code), 8, "0")), "UTF-32")
+        number = F.coalesce(F.try_element_at(controls, value.cast("int")), number)
         return F.coalesce(F.when(F.startswith(token, F.lit("&#")), number).otherwise(F.try_element_at(names, token)), token)
 
     tokens = F.regexp_extract_all(text, F.lit(r"&#?\w{1,8};|[^&]+|&"), F.lit(0))

@@ -96,6 +96,7 @@ def normalize_skills(df: DataFrame, skill: str, aliases: DataFrame, *, noise: li
     base = df.withColumn(skill, strip_version(skill)).withColumn("_alias", F.lower(F.trim(F.col(skill))))
     if noise:
         base = base.filter(~F.col("_alias").isin(*noise))
-    known = aliases.select(F.col("alias").alias("_alias"), "canonical")
+    # a repeated alias counts once, for its first canonical name
+    known = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("canonical").alias("canonical"))
     return (base.join(known, "_alias", "left").withColumn(skill, F.coalesce("canonical", F.trim(F.col(skill))))
             .drop("_alias", "canonical"))

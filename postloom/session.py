@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # Left to the cluster: executor sizes, shuffle partitions, checkpoint folder.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -161,3 +161,10 @@ def test_plugged_in_extractor(spark):
     out = validate.extract_with(rows, lambda batch: batch["title"].map(lambda t: f'{{"ai_type":"unknown","ai_type_reasoning":"{t}"}}'))
     row = validate.coerce_and_validate(out, "payload").first()
     assert (row.status, row.ai_type_reasoning) == ("ok", "t")
+
+
+def test_odd_character_references(col):
+    from postloom.operators.html import unescape
+
+    got = col(["&#9999999;", "&#xFFFFFF;", "&#xD800;", "&#0;", "&#146;", "&#65;&#x42;", "&amp;lt;", "&nosuch;"], unescape("t"))
+    assert got == ["�"] * 4 + ["’", "AB", "&lt;", "&nosuch;"]
