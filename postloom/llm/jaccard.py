@@ -20,8 +20,6 @@ Every link between classes of different components is either found or refuted ex
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
