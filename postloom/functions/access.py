@@ -50,10 +50,10 @@ def array_head(c: Column | str, n: int) -> Column:
     return F.slice(as_col(c), 1, n)
 
 
-def stamp_source(df: DataFrame, **constants: str) -> DataFrame:
-    """Constant columns plus `scraped_at`, one timestamp for the whole query."""
+def stamp_source(df: DataFrame, *, at: Column | None = None, **constants: str) -> DataFrame:
+    """Constant columns plus `scraped_at`: `at`, or one current timestamp for the whole query."""
     stamped = {name: F.lit(value) for name, value in constants.items()}
-    stamped["scraped_at"] = F.current_timestamp()
+    stamped["scraped_at"] = F.current_timestamp() if at is None else at
     return df.withColumns(stamped)
 
 

@@ -9,6 +9,7 @@ from postloom import vocab
 from postloom.functions.access import items
 from postloom.functions.text import as_col
 from postloom.operators.joins import join_known
+from postloom.operators.ranking import number_rows
 from postloom.session import checkpointed
 
 
@@ -55,39 +56,32 @@ def skills_summary(skills: Column | str, categories: list[str] = vocab.SKILL_CAT
 
 def nest_rows(rows: DataFrame, key: str, category: str, item: str, order: list[str], categories: list[str],
               *, part_size: int = 50_000) -> DataFrame:
-    """Long (key, category, item) rows as one nested record per key: `key, part, <one array per category>`.
+    """Long (key, category, item) rows as nested records: `key, part, <one array per category>`.
 
-    Arrays keep `order`. A key with more than `part_size` rows is split into several numbered
-    parts of about that size, so that no task ever holds an unbounded group; every other key is
-    part 0. Every row lands in exactly one part. Equal rows of a hot key are counted first and
-    their copies dealt out over the parts, so even one repeated row cannot fill a part.
+    Rows of a key have a total order: `order`, then category, then item. Part p holds the rows at positions
+    p * part_size + 1 to (p + 1) * part_size, so reading a key's parts one after the other gives its lists in `order`, and
+    no task holds more than `part_size` rows of a key. Only keys with more than one part are numbered. Equal rows of such a
+    key are counted before they are laid out again with a running number that breaks their tie.
     """
     rows = rows.select(key, category, *order, item)
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size)
     hot = checkpointed(sizes)
     n_hot = hot.count()
-    if n_hot == 0:
-        parted = rows.withColumns({"part": F.lit(0), "_copies": F.lit(1)})
-    else:
+    parted = rows.withColumn("part", F.lit(0))
+    if n_hot:
         marked = join_known(rows, hot, n_hot, key)
-        cold = marked.filter(F.col("_n").isNull()).drop("_n").withColumns({"part": F.lit(0), "_copies": F.lit(1)})
-        parts = F.ceil(F.col("_n") / part_size).cast("int")
-        equal = marked.filter(F.col("_n").isNotNull()).groupBy(key, "_n", category, *order, item).agg(
-            F.count(F.lit(1)).alias("_m"))
-        dealt = equal.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("_m"), parts).cast("int") - 1)).alias("_j"))
-        split = dealt.withColumns({
-            "part": F.pmod(F.xxhash64(category, *order, item) + F.col("_j"), parts).cast("int"),
-            "_copies": (F.floor(F.col("_m") / parts) + (F.col("_j") < F.col("_m") % parts).cast("int")).cast("int")})
-        parted = cold.unionByName(split.drop("_n", "_m", "_j"))
-    entry = F.struct(*[F.col(o) for o in order], F.col(item).alias("_item"), F.col("_copies"))
+        cold = marked.filter(F.col("_n").isNull()).drop("_n").withColumn("part", F.lit(0))
+        equal = marked.filter(F.col("_n").isNotNull()).groupBy(key, category, *order, item).agg(F.count(F.lit(1)).alias("_m"))
+        runs = equal.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / part_size))).alias("_run"))
+        laid = runs.select(key, category, *order, item, "_run", F.explode(F.sequence(
+            F.lit(1), F.least(F.col("_m") - F.col("_run") * part_size, F.lit(part_size)))).alias("_copy"))
+        numbered = number_rows(laid, [*order, category, item, "_run", "_copy"], group=[key], name="_at")
+        split = numbered.withColumn("part", F.floor((F.col("_at") - 1) / part_size).cast("int")).drop("_run", "_copy", "_at")
+        parted = cold.unionByName(split)
+    entry = F.struct(*[F.col(o) for o in order], F.col(item).alias("_item"))
     gathered = parted.groupBy(key, "part").agg(*[
         F.array_sort(F.collect_list(F.when(F.col(category) == c, entry))).alias(c) for c in categories])
-    if n_hot == 0:
-        return gathered.select(key, "part", *[
-            F.transform(c, lambda e: e.getField("_item")).alias(c) for c in categories])
-    return gathered.select(key, "part", *[
-        F.flatten(F.transform(c, lambda e: F.array_repeat(e.getField("_item"), e.getField("_copies")))).alias(c)
-        for c in categories])
+    return gathered.select(key, "part", *[F.transform(c, lambda e: e.getField("_item")).alias(c) for c in categories])
 
 
 def unnest_skills(df: DataFrame, skills: str, keep: list[Column | str],

@@ -62,6 +62,14 @@ def nest_rows(spark, sf):
     return nested.select("l_orderkey", "part", *[_joined(F.col(c), c) for c in PART_TYPES])
 
 
+@query("p03_nest_rows_parts", f"""
+WITH {SKILL_ROWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, category, skill) AS nth FROM s)
+SELECT l_orderkey, ((nth - 1) // 3)::INTEGER AS part, {_PARTS} FROM r GROUP BY 1, 2""")
+def nest_rows_parts(spark, sf):
+    nested = nesting.nest_rows(skill_rows(spark, sf), "l_orderkey", "category", "skill", ["l_linenumber"], PART_TYPES, part_size=3)
+    return nested.select("l_orderkey", "part", *[_joined(F.col(c), c) for c in PART_TYPES])
+
+
 @query("p04_flat_to_nested_summary", f"""
 WITH {POSTING_SQL}
 SELECT d.doc_id, count(skill) AS count, coalesce(string_agg(skill, '|' ORDER BY pos), '') AS all_skills,
@@ -128,9 +136,12 @@ def compose_location(spark, sf):
     return both.select("n_nationkey", text.compose_location(city, country).alias("location"))
 
 
-@query("p11_stamp_source")
+@query("p11_stamp_source", """
+SELECT event_id, event_type, 'board' AS source, 'main' AS site, '2026-01-15 08:00:00' AS scraped_at FROM events""")
 def stamp_source(spark, sf):
-    return access.stamp_source(table(spark, sf, "events").select("event_id", "event_type"), source="board", site="main")
+    stamped = access.stamp_source(table(spark, sf, "events").select("event_id", "event_type"),
+                                  at=F.lit("2026-01-15 08:00:00").cast("timestamp"), source="board", site="main")
+    return stamped.withColumn("scraped_at", F.col("scraped_at").cast("string"))
 
 
 @query("p12_with_defaults", """

@@ -38,14 +38,16 @@ def test_nest_rows_splits_hot_keys_and_loses_nothing(spark):
     assert one.a == [item for k, _, c, item in sorted(rows, key=lambda r: r[1]) if k == 1 and c == "a"]
 
 
-def test_nest_rows_deals_out_equal_rows(spark):
-    rows = [(0, 1, "a", "same")] * 2000 + [(0, 2, "b", "x")] * 3 + [(1, 1, "a", "y")] * 5
+def test_nest_rows_parts_joined_are_the_whole_list(spark):
+    rows = [(0, 1, "a", "same")] * 2000 + [(0, 2, "b", "x")] * 3 + [(0, 0, "a", f"s{i:03}") for i in range(90)] + [(1, 1, "a", "y")] * 5
     for limit in (0, 200_000):  # with and without the broadcast
         joins.MAX_BROADCAST_ROWS = limit
         out = nesting.nest_rows(rows_df(spark, rows), "k", "cat", "item", ["pos"], ["a", "b"], part_size=200).collect()
-        hot = [r for r in out if r.k == 0]
-        assert sum(len(r.a) for r in hot) == 2000 and sum(len(r.b) for r in hot) == 3 and len(hot) == 11
-        assert max(len(r.a) + len(r.b) for r in hot) <= 203
+        hot = sorted((r for r in out if r.k == 0), key=lambda r: r.part)
+        assert [r.part for r in hot] == list(range(11)) and [len(r.a) + len(r.b) for r in hot] == [200] * 10 + [93]
+        whole = sorted(r for r in rows if r[0] == 0)
+        assert [x for r in hot for x in r.a] == [i for _, _, c, i in whole if c == "a"]
+        assert [x for r in hot for x in r.b] == ["x"] * 3
         assert [(r.part, r.a, r.b) for r in out if r.k == 1] == [(0, ["y"] * 5, [])]
 
 
@@ -141,3 +143,18 @@ def test_categories_partition_the_items(spark):
     df = spark.createDataFrame([(x,) for x in items], "t string")
     rows = df.select(Taxonomy(vocab.RESPONSIBILITY_TAXONOMY).first_match("t", "rest").alias("c")).groupBy("c").count().collect()
     assert sum(r["count"] for r in rows) == len(items)
+
+
+def test_running_total_needs_no_single_partition(spark):
+    from postloom.streaming import incremental
+
+    growth = spark.createDataFrame([(i, 1, i % 3) for i in range(500)], "page int, n_found long, n_new long")
+    out = incremental.running_new(growth)
+    assert [r.n_unique for r in out.orderBy("page").collect()] == list(itertools.accumulate(i % 3 for i in range(500)))
+
+
+def test_first_rows_are_grouped_by_digest_not_by_text(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 1, 1), (None, 1, 3), (None, 1, 4), ("b", None, 5)], "t string, k int, o int")
+    out = setops.dedup_keep_first(df, ["t", "k"], "o")
+    assert sorted(out.collect(), key=str) == sorted([("a", 1, 1), (None, 1, 3), ("b", None, 5)], key=str)
+    assert "hashpartitioning(t" not in out._jdf.queryExecution().executedPlan().toString()
