@@ -19,13 +19,22 @@ class Node:
         self.tag, self.attrs, self.children = tag, dict(attrs), []
 
     def text(self):
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children if isinstance(c, str) or c.tag not in HIDDEN)
+        """The visible text below; kept on an own stack, because raw pages nest without bound."""
+        out, left = [], list(reversed(self.children))
+        while left:
+            child = left.pop()
+            if isinstance(child, str):
+                out.append(child)
+            elif child.tag not in HIDDEN:
+                left.extend(reversed(child.children))
+        return "".join(out)
 
     def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+        left = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while left:
+            node = left.pop()
+            yield node
+            left.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
 
 class _Reader(HTMLParser):
@@ -50,6 +59,9 @@ class _Reader(HTMLParser):
                 del self.open[depth:]
                 return
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # `<![...` of any kind is skipped up to `>`
+
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
@@ -61,54 +73,59 @@ def read(html: str) -> Node:
     return reader.root
 
 
-def _list_lines(node: Node, depth: int) -> list[str]:
-    lines = []
-    for item in (c for c in node.children if isinstance(c, Node) and c.tag == "li"):
-        inner = next((n for n in item.walk() if n.tag == "ul"), None) or next(
-            (n for n in item.walk() if n.tag == "ol"), None)
-        if inner is None:
-            label = item.text().strip()
-        else:
-            parts = []
-            for child in item.children:
-                if child is inner:
-                    break
-                if isinstance(child, str):
-                    parts.append(child.strip())
-                elif child.tag not in LISTS:
-                    parts.append(child.text().strip())
-            label = " ".join(parts).strip()
-        label = re.sub(r"\s+:", ":", label)
-        if label:
+def _inner_list(item: Node) -> Node | None:
+    found = (next((n for n in item.walk() if n.tag == tag), None) for tag in LISTS)
+    return next(found) or next(found)
+
+
+def _label(item: Node, inner: Node | None) -> str:
+    """An item's own text: all of it, or what stands before the list inside it."""
+    if inner is None:
+        words = item.text().strip()
+    else:
+        own = item.children[:item.children.index(inner)] if inner in item.children else item.children
+        words = " ".join(c.strip() if isinstance(c, str) else c.text().strip() for c in own
+                         if isinstance(c, str) or c.tag not in LISTS).strip()
+    return re.sub(r"\s+:", ":", words)
+
+
+def _list_lines(node: Node) -> list[str]:
+    lines, left = [], [(node, 0)]
+    while left:
+        here, depth = left.pop()
+        if here.tag != "li":
+            left.extend((c, depth) for c in reversed(here.children) if isinstance(c, Node) and c.tag == "li")
+            continue
+        inner = _inner_list(here)
+        if label := _label(here, inner):
             lines.append("  " * depth + "- " + label)
         if inner is not None:
-            lines += _list_lines(inner, depth + 1)
+            left.append((inner, depth + 1))
     return lines
 
 
-def _flow(node: Node, out: list[str]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
-        elif child.tag in LISTS:
-            out.append("\n\n" + "\n".join(_list_lines(child, 0)) + "\n\n")
-        elif child.tag == "br":
+def _flow(root: Node) -> str:
+    """Running text of an element; what is still to come lies on a stack, closing breaks included."""
+    out, left = [], list(reversed(root.children))
+    while left:
+        part = left.pop()
+        if isinstance(part, str):
+            out.append(part)
+        elif part.tag in LISTS:
+            out.append("\n\n" + "\n".join(_list_lines(part)) + "\n\n")
+        elif part.tag == "br":
             out.append("\n")
-        elif child.tag in ("p", "div"):
-            out.append("\n\n")
-            _flow(child, out)
-            out.append("\n\n")
-        elif child.tag not in HIDDEN:
-            _flow(child, out)
+        elif part.tag not in HIDDEN:
+            rim = ["\n\n"] if part.tag in ("p", "div") else []
+            left.extend([*rim, *reversed(part.children), *rim])
+    return "".join(out)
 
 
 def to_markdown(html: str | None) -> str:
     """Lists as `- ` with two blanks per level, blocks apart by one empty line, inline tags dropped."""
     if not html:
         return ""
-    out: list[str] = []
-    _flow(read(html), out)
-    text = re.sub(r"\n\n\n+", "\n\n", "".join(out))
+    text = re.sub(r"\n\n\n+", "\n\n", _flow(read(html)))
     text = re.sub(r"(?<=[^ \t\n])[ \t]+", " ", text)
     for odd, plain in (("\xa0", " "), ("\u200b", ""), ("\u2028", " "), ("\u2029", " "), ("\u2003", " ")):
         text = text.replace(odd, plain)

@@ -7,6 +7,7 @@ need the element tree (markdown of nested lists, pills inside a section) go thro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,16 +20,16 @@ from postloom.functions.predicates import clean_token
 from postloom.functions.text import as_col, company_size, compose_location, let, strip
 from postloom.operators.setops import distinct_ordered_items
 
-# Named character references that occur in page texts.
-NAMED_REFERENCES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-                    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-                    "&hellip;": "…", "&bull;": "•", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&eacute;": "é"}
+# How page texts show these characters; all other names are those of HTML 5.
+SHOWN_AS = {"&nbsp;": " "}
+NAMED_REFERENCES = {**{f"&{name}": shown for name, shown in html5.items() if name.endswith(";")}, **SHOWN_AS}
 
 
 def unescape(c: Column | str) -> Column:
     """Decode character references in one pass (so `&amp;lt;` gives `&lt;`); unknown ones stay."""
     text = as_col(c)
-    names = F.create_map(*[F.lit(x) for pair in NAMED_REFERENCES.items() for x in pair])
+    # one literal, which the optimizer turns into a constant map
+    names = F.str_to_map(F.lit("\x01".join(f"{name}\x02{shown}" for name, shown in NAMED_REFERENCES.items())), F.lit("\x01"), F.lit("\x02"))
     # 128 to 159 mean windows-1252, as browsers read them
     low = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
     controls = F.create_map(*[F.lit(x) for n, c in low.items() if c for x in (n, c)])
@@ -41,9 +42,10 @@ def unescape(c: Column | str) -> Column:
         odd = (value == 0) | (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)  # no character
         number = F.decode(F.unhex(F.lpad(F.when(odd, F.lit("FFFD")).otherwise(code), 8, "0")), "UTF-32")
         number = F.coalesce(F.try_element_at(controls, value.cast("int")), number)
-        return F.coalesce(F.when(F.startswith(token, F.lit("&#")), number).otherwise(F.try_element_at(names, token)), token)
+        return F.coalesce(F.when(F.startswith(token, F.lit("&#")), number)
+                          .when(F.startswith(token, F.lit("&")), F.try_element_at(names, token)), token)
 
-    tokens = F.regexp_extract_all(text, F.lit(r"&#?\w{1,8};|[^&]+|&"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(r"&#?\w{1,31};|[^&]+|&"), F.lit(0))
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens, decode), "")).otherwise(text)
 
 
@@ -129,9 +131,10 @@ def posting_from_page(df: DataFrame, html: str = "html", *, source: str, markdow
     def missing(c: str, fallback: Column) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), fallback, F.lit(""))
 
-    salary = F.coalesce(F.try_variant_get("_ld", "$.baseSalary.value.value", "string"),
-                        F.try_variant_get("_ld", "$.baseSalary.value", "string"),
-                        F.try_variant_get("_ld", "$.baseSalary", "string"), F.lit(""))
+    # An object says its amount in `value`; one without an amount says nothing.
+    shape = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("_ld", path, "variant")), F.lit(""))
+    salary = F.when(~F.startswith(shape("$.baseSalary"), F.lit("OBJECT")), ld("$.baseSalary")).when(
+        ~F.startswith(shape("$.baseSalary.value"), F.lit("OBJECT")), ld("$.baseSalary.value")).otherwise(ld("$.baseSalary.value.value"))
     months = F.try_variant_get("_ld", "$.experienceRequirements.monthsOfExperience", "double")
     fields = page.withColumns({
         "title": ld("$.title"), "company": ld("$.hiringOrganization.name"),

@@ -54,6 +54,7 @@ def coerce_and_validate(df: DataFrame, payload: Column | str, rules: dict[str, F
         raw = F.col(f"_f_{name}")
         shape = F.schema_of_variant(raw)
         absent = raw.isNull() | (shape == "VOID")
+        listed = rule.type.startswith("array")
         value = F.try_variant_get(raw, "$", rule.type)
         if rule.type == "string":
             value = F.when(shape == "STRING", value)
@@ -63,7 +64,13 @@ def coerce_and_validate(df: DataFrame, payload: Column | str, rules: dict[str, F
             bad = bad | ~F.forall(F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array().cast("array<variant>")),
                                   lambda v: F.schema_of_variant(v) == "STRING")
         problems.append(F.when(F.col("_v").isNotNull() & F.lit(rule.required) & absent, F.lit(f"missing:{name}")))
-        problems.append(F.when(~absent & bad, F.lit(f"type:{name}")))
+        if rule.type == "array<struct<name:string,category:string>>":
+            bad = bad | ~F.forall(F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array().cast("array<variant>")), lambda v: F.forall(
+                F.array(F.lit("$.name"), F.lit("$.category")), lambda p: F.coalesce(
+                    F.schema_of_variant(F.try_variant_get(v, p, "variant")), F.lit("VOID")).isin("STRING", "VOID")))
+        # a list may be left out, but not be an explicit null
+        bad = ~absent & bad if not listed else (~absent & bad) | (raw.isNotNull() & (shape == "VOID"))
+        problems.append(F.when(bad, F.lit(f"type:{name}")))
         if rule.allowed:
             problems.append(F.when(value.isNotNull() & ~value.isin(*rule.allowed), F.lit(f"value:{name}")))
         if name == "skills":
@@ -86,13 +93,32 @@ class Extractor(Protocol):
     def __call__(self, batch: pd.DataFrame) -> pd.Series: ...
 
 
-def extract_with(df: DataFrame, extractor: Extractor, *, out: str = "payload") -> DataFrame:
-    """Run an external extractor over (title, company, description) batches; the JSON lands in `out`."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+def extract_with(df: DataFrame, extractor: Extractor, *, out: str = "payload", attempts: int = 3) -> DataFrame:
+    """Run an external extractor over (title, company, description) batches.
+
+    Adds `out` (the JSON, or null), `<out>_error` (type and message of the last failure, or null) and `<out>_attempts`.
+    A batch that fails is tried again row by row, each row up to `attempts` times (the batch call counts as one), so a
+    failing row costs neither the job nor its neighbours.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType()),
+                           T.StructField(f"{out}_attempts", T.IntegerType())])
+
+    def one(row: pd.DataFrame, error: Exception) -> tuple[str | None, str | None, int]:
+        for tried in range(2, attempts + 1):
+            try:
+                return extractor(row).iloc[0], None, tried
+            except Exception as again:  # noqa: BLE001, any failure is a result here
+                error = again
+        return None, f"{type(error).__name__}: {error}", attempts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(**{out: extractor(batch)})
+            try:
+                results = [(payload, None, 1) for payload in extractor(batch)]
+            except Exception as error:  # noqa: BLE001
+                results = [one(batch.iloc[[i]], error) for i in range(len(batch))]
+            payloads, errors, tries = zip(*results) if results else ((), (), ())
+            yield batch.assign(**{out: list(payloads), f"{out}_error": list(errors), f"{out}_attempts": list(tries)})
 
     return df.mapInPandas(run, schema)
 

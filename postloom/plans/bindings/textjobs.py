@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postloom import vocab
 from postloom.functions import text
 from postloom.operators import html, repair, validate
 from postloom.plans.bindings.common import query, table
@@ -19,7 +20,11 @@ def pages_with_json_ld(spark, sf):
         F.struct(F.concat(F.lit("Company "), F.col("page_id").cast("string")).alias("name")).alias("hiringOrganization"),
         F.struct(F.struct(F.lit("Berlin").alias("addressLocality"), F.lit("DEU").alias("addressCountry")).alias("address")).alias("jobLocation"),
         F.struct((F.col("page_id") * 6).alias("monthsOfExperience")).alias("experienceRequirements"),
-        F.array(F.lit("Software"), F.lit("Data")).alias("industry"), F.lit("2026-01-15").alias("datePosted")))
+        F.array(F.lit("Software"), F.lit("Data")).alias("industry"), F.lit("2026-01-15").alias("datePosted"),
+        F.concat(F.lit("<p>Work &amp; more</p><ul><li>"), F.col("url"), F.lit("<ul><li>Deep</li></ul></li></ul>")).alias("description"),
+        F.when(F.col("page_id") % 3 > 0, F.struct(
+            F.lit("EUR").alias("currency"), F.when(F.col("page_id") % 3 == 1, F.struct(F.col("page_id").alias("value"))).alias("value")))
+        .alias("baseSalary")))
     wrapped = F.when(F.startswith("url", F.lit("https")), F.concat(F.lit('{"@graph":[{"@type":"Organization"},'), posting, F.lit("]}"))).otherwise(posting)
     escaped = F.replace(F.replace(F.replace(wrapped, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("+"), F.lit("&#x2B;"))
     script = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld&#x2B;json"> '),
@@ -37,9 +42,18 @@ def extract_json_ld(spark, sf):
                         get("$.hiringOrganization.name").alias("company"), get("$.experienceRequirements.monthsOfExperience", "long").alias("months"))
 
 
-@query("x02_html_to_markdown")
+@query("x02_html_to_markdown", r"""
+WITH v AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS items,
+  regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<ul>.*?</ul>', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, array_to_string(list_transform(items, lambda x: '- ' || x), '|') AS bullets,
+  md5(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ''), '&amp;', '&'),
+    '[\s\x{A0}]+', '', 'g')) AS words FROM v""")
 def html_to_markdown(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
+    lines = table(spark, sf, "pages").select("page_id", F.split(html.html_to_markdown("html"), "\n").alias("l"))
+    bullet = lambda x: F.startswith(x, F.lit("- "))
+    rest = F.array_join(F.filter("l", lambda x: ~bullet(x)), "")
+    return lines.select("page_id", F.array_join(F.filter("l", bullet), "|").alias("bullets"),
+                        F.md5(F.regexp_replace(rest, r"[\s\x{A0}]+", "")).alias("words"))
 
 
 @query("x03_extract_top_skills", r"""
@@ -81,9 +95,12 @@ def posting_from_bare_page(spark, sf):
     return html.posting_from_page(table(spark, sf, "pages").drop("url"), source="board", markdown=False).select("page_id", "title", "company", "url", "job_id")
 
 
-@query("x05_full_posting")
+@query("x05_full_posting", r"""
+SELECT page_id, 'Company ' || page_id AS company, CASE WHEN page_id % 3 = 1 THEN page_id::VARCHAR ELSE '' END AS compensation, '' AS benefits,
+  'Work & more' || chr(10) || chr(10) || '- ' || replace(url, '&amp;', '&') || chr(10) || '  - Deep' AS description, '' AS skills, '' AS company_size FROM pages""")
 def full_posting(spark, sf):
-    return html.posting_from_page(pages_with_json_ld(spark, sf), source="board").drop("html")
+    posting = html.posting_from_page(pages_with_json_ld(spark, sf), source="board")
+    return posting.select("page_id", "company", "compensation", "benefits", "description", F.array_join("skills", "|").alias("skills"), "company_size")
 
 
 @query("x06_output_name", r"""
@@ -147,11 +164,36 @@ def coerce_and_validate(spark, sf):
     return checked.select("event_id", "k", "kind", F.array_join("errors", "|").alias("errors"), "status")
 
 
-@query("x09_rule_extraction", """
-SELECT status, count(*) AS n FROM (SELECT 'ok' AS status FROM documents) GROUP BY 1""")
+@query("x09_failed_extraction", """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '{"lang":"' || coalesce(lang, '') || '"}' END AS payload,
+  CASE WHEN doc_id % 7 = 0 THEN 'ValueError: no answer' END AS payload_error FROM documents""")
+def failed_extraction(spark, sf):
+    # The plugged-in step fails for every seventh document, and with it each batch that holds one.
+    def step(batch):
+        if (batch["doc_id"] % 7 == 0).any():
+            raise ValueError("no answer")
+        return '{"lang":"' + batch["lang"].fillna("") + '"}'
+
+    return validate.extract_with(table(spark, sf, "documents").select("doc_id", "lang"), step).drop("lang", "payload_attempts")
+
+
+_TERMS = [(c, t) for c, terms in vocab.COMPARED_SKILLS.items() for t in terms]
+_SKILLS_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{t.lower()}') THEN '{t}' END" for _, t in _TERMS)
+
+
+@query("x09_rule_extraction", f"""
+WITH l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS lines FROM documents)
+SELECT doc_id, 'ok' AS status, len(lines)::INTEGER AS n_lines, coalesce(sum_length, 0)::BIGINT AS line_chars,
+  array_to_string(list_filter([{_SKILLS_SQL}], lambda x: x IS NOT NULL), '|') AS skills,
+  contains(lower(text), 'customer') OR contains(lower(text), 'client') AS is_customer_facing, false AS is_management
+FROM (SELECT *, list_sum(list_transform(lines, lambda x: length(x))) AS sum_length FROM l)""")
 def rule_extraction(spark, sf):
     payload = table(spark, sf, "documents").select("doc_id", validate.rule_extraction("source", "text").alias("payload"))
-    return validate.coerce_and_validate(payload, "payload").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    lines = F.transform("responsibilities", lambda x: F.length(x).cast("long"))
+    return validate.coerce_and_validate(payload, "payload").select(
+        "doc_id", "status", F.size("responsibilities").alias("n_lines"),
+        F.aggregate(lines, F.lit(0).cast("long"), lambda a, b: a + b).alias("line_chars"),
+        F.array_join(F.transform("skills", lambda s: s["name"]), "|").alias("skills"), "is_customer_facing", "is_management")
 
 
 # Listing pages made from the navigation of each page: every entry becomes a card.

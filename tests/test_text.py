@@ -168,3 +168,40 @@ def test_odd_character_references(col):
 
     got = col(["&#9999999;", "&#xFFFFFF;", "&#xD800;", "&#0;", "&#146;", "&#65;&#x42;", "&amp;lt;", "&nosuch;"], unescape("t"))
     assert got == ["�"] * 4 + ["’", "AB", "&lt;", "&nosuch;"]
+
+
+def test_markup_survives_deep_and_odd_pages():
+    assert markup.to_markdown("<div>" * 5000 + "x") == "x"
+    assert markup.to_markdown("<b>" * 5000 + "y") == "y"
+    assert markup.to_markdown("<![foo[bar]]>z") == "z"
+    assert markup.to_markdown("<ul><li>" * 300 + "q").endswith("- q")
+    assert markup.to_markdown("a<p>b</p><ul><li>c :<ol><li>d</li></ol></li></ul>") == "a\n\nb\n\n- c:\n  - d"
+
+
+def test_compensation_goes_by_shape(spark):
+    cases = [('{"value":{"value":7}}', "7"), ('{"value":{"minValue":1,"maxValue":2}}', ""), ('{"currency":"EUR"}', ""),
+             ('{"value":"5k"}', "5k"), ('"6k"', "6k"), ("null", "")]
+    pages = spark.createDataFrame([(i, '<script type="application/ld+json">{"@type":"JobPosting","baseSalary":%s}</script>' % salary)
+                                   for i, (salary, _) in enumerate(cases)], "i int, html string")
+    got = html.posting_from_page(pages, source="s", markdown=False).orderBy("i").select("compensation").collect()
+    assert [r[0] for r in got] == [want for _, want in cases]
+
+
+def test_skill_names_must_be_text_and_lists_not_null(spark):
+    base = '{"ai_type":"unknown","ai_type_reasoning":"r"%s}'
+    cases = [('', []), (',"skills":[{"name":1,"category":"ml"}]', ["type:skills"]), (',"skills":null', ["type:skills"]),
+             (',"use_cases":null', ["type:use_cases"]), (',"company_stage":null', [])]
+    rows = spark.createDataFrame([(i, base % more) for i, (more, _) in enumerate(cases)], "i int, payload string")
+    got = validate.coerce_and_validate(rows, "payload").orderBy("i").select("errors").collect()
+    assert [r[0] for r in got] == [want for _, want in cases]
+
+
+def test_failing_extractor_costs_only_its_rows(spark):
+    def step(batch):
+        if (batch["i"] == 3).any():
+            raise ValueError("three")
+        return batch["i"].astype(str)
+
+    got = validate.extract_with(spark.range(5).select(F.col("id").alias("i")).coalesce(1), step).orderBy("i").collect()
+    assert [(r.payload, r.payload_error, r.payload_attempts) for r in got] == [
+        ("0", None, 2), ("1", None, 2), ("2", None, 2), (None, "ValueError: three", 3), ("4", None, 2)]
