@@ -47,9 +47,10 @@ def clean_token(c: Column | str, *, longer_than: int, shorter_than: int | None,
 
 
 def in_window(c: Column | str, anchor: Column, days: int) -> Column:
-    """Dates of the last `days` days up to and including `anchor`."""
-    day = as_col(c).cast("date")
-    return (day > F.date_sub(anchor, days)) & (day <= anchor)
+    """Dates of the last `days` days up to and including `anchor`, as a half-open range on the raw column, so that the
+    scan can prune on it. `anchor` is a date (a literal, or a scalar computed first)."""
+    first, behind = F.date_sub(anchor, days - 1), F.date_add(anchor, 1)
+    return (as_col(c) >= first.cast("timestamp")) & (as_col(c) < behind.cast("timestamp"))
 
 
 def between_months(c: Column | str, first_day: str, last_day: str) -> Column:

@@ -192,7 +192,7 @@ def quality_checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def sample_per_batch(df: DataFrame, batch: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """A repeatable sample of `n` rows per batch, chosen by hash of the key."""
-    return top_k_per_group(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), [batch], n,
+    return top_k_per_group(df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))), [batch], n,
                            [F.col("_h").asc(), F.col(key).asc()]).drop("_h")
 
 

@@ -46,8 +46,11 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row (by `order`) of every key combination; null keys are equal to each other.
 
     An aggregate with map-side combine, not a window: a key that holds a third of all rows
-    shrinks to one row per map task before the shuffle.
+    shrinks to one row per map task before the shuffle. Text keys are grouped by their SHA-256,
+    so that the aggregate sorts digests, not texts.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    kinds = dict(df.dtypes)
+    digests = [F.sha2(F.col(k), 256) if kinds[k] == "string" else F.col(k) for k in keys]
+    first = df.groupBy(*[d.alias(f"_k{i}") for i, d in enumerate(digests)]).agg(
+        F.min_by(F.struct(*df.columns), F.col(order)).alias("_first"))
+    return first.select("_first.*")

@@ -231,6 +231,8 @@ def quality_checks(spark, sf):
         "class_agrees": (F.col("company_focus") == "en") == (F.col("ai_type") == "ai-first")})
 
 
-@query("a23_sample_per_batch")
+@query("a23_sample_per_batch", """
+SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) AS n
+  FROM documents) WHERE n <= 7""")
 def sample_per_batch(spark, sf):
     return counts.sample_per_batch(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 7)

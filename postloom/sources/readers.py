@@ -6,7 +6,6 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,16 +116,15 @@ def read_cards_csv(spark: SparkSession, path: str, schema: T.StructType = schema
 
 def read_cards_json(spark: SparkSession, paths: list[str], schema: T.StructType | str = schemas.CARD, *, multi_line: bool = True) -> DataFrame:
     """A listed set of files, arrays of objects (`multi_line`) or JSON lines; missing files are passed over."""
-    out = spark.createDataFrame([], schema)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    conf, found = spark._jsc.hadoopConfiguration(), []
     for path in paths:
-        try:
-            part = spark.read.schema(schema).json(path, multiLine=multi_line)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        out = out.unionByName(part.select(*out.columns))
-    return out
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).globStatus(place):
+            found.append(path)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(found, multiLine=multi_line).select(*schema.names)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -17,10 +17,10 @@ def write_csv_projection(df: DataFrame, path: str, columns: list[str] = vocab.CA
 
 
 def write_json_by_site(df: DataFrame, path: str, *, site: str = "site", run_ts: str | Column | None = None, mode: str = "append") -> None:
-    """JSON lines under `site=…/run_ts=…`. A large site is spread over several files, never through one task."""
+    """JSON lines under `site=…/run_ts=…`. Rows are gathered by site; AQE splits a large site over several tasks and files."""
     stamp = run_ts if isinstance(run_ts, Column) else (
         F.lit(run_ts) if run_ts else F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))
-    df.withColumn("run_ts", stamp).write.mode(mode).partitionBy(site, "run_ts").json(path)
+    df.withColumn("run_ts", stamp).hint("rebalance", site).write.mode(mode).partitionBy(site, "run_ts").json(path)
 
 
 def write_structured(df: DataFrame, path: str, *, posted: str | None = None, fmt: str = "parquet", mode: str = "append") -> None:
@@ -28,6 +28,7 @@ def write_structured(df: DataFrame, path: str, *, posted: str | None = None, fmt
     out, parts = df, []
     if posted:
         out, parts = out.withColumn("posted_month", F.date_format(F.to_date(posted), "yyyy-MM")), ["posted_month"]
+        out = out.hint("rebalance", "posted_month")
     writer = out.write.mode(mode).partitionBy(*parts)
     if fmt == "json":
         writer.option("ignoreNullFields", "true").json(path)

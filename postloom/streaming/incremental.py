@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from postloom.session import checkpointed
+
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, *, fmt: str = "parquet",
                  pattern: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -65,6 +67,13 @@ def page_growth(df: DataFrame, page: Column, link: str) -> DataFrame:
 
 
 def running_new(growth: DataFrame) -> DataFrame:
-    """Unique links so far after each page (one row per page, so the ordered window stays small)."""
-    w = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    return growth.withColumn("n_unique", F.sum("n_new").over(w))
+    """Unique links so far after each page: sums within range partitions, then the totals of the partitions before."""
+    ordered = growth.repartitionByRange("page").withColumn("_part", F.spark_partition_id())
+    ordered = checkpointed(ordered)
+    totals = ordered.groupBy("_part").agg(F.sum("n_new").alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ordered.withColumn("n_unique", F.sum("n_new").over(inside))
+    joined = summed.join(F.broadcast(offsets), "_part")  # one row per shuffle partition
+    return joined.withColumn("n_unique", F.col("n_unique") + F.col("_before")).select(*growth.columns, "n_unique")
