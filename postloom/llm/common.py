@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.session import scratch_path
@@ -21,6 +22,21 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = PIECE_BYTES) -> Iterator[None]:
+    """Jobs started inside hand Python batches of at most about `size` bytes, so that rows with long arrays do not add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def row_key(columns: list[str]):
     """Two 64-bit values that stand for the content of a row, nulls included."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]

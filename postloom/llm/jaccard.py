@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import kept, map_text, row_key, text_bytes
+from postloom.llm.common import kept, map_text, row_key, small_batches, text_bytes
 from postloom.llm.words import mix, shingle_sets
 from postloom.operators.joins import join_known
 
@@ -338,16 +338,17 @@ def classes(docs: DataFrame, *, keys: list[str] = ("doc_id",), doc_id: str = "do
     """
     spark, keys = docs.sparkSession, list(dict.fromkeys([doc_id, *keys]))
     rows = docs.select(*keys, F.col(text).alias("_text"))
-    order = spark.sparkContext.broadcast(Order(frequent_shingles(rows, "_text")))   # at most FREQUENT values
-    bloom = spark.sparkContext.broadcast(_shared_bits(rows, "_text", order))         # 2^BLOOM_BITS bits
-    found = kept(_searched(rows, keys, "_text", order, bloom), "jaccard")
-    held = found.filter(F.col("set").isNotNull())
-    sets = held.groupBy("sig").agg(F.first("set").alias("set"))
-    postings = kept(held.select("sig", "n", F.explode("hits").alias("s")).distinct(), "postings")
-    comps = kept(postings.select("sig", F.col("sig").alias("comp")).distinct(), "comps")
-    for turn in range(2):
-        comps = _merge_components(comps, verified(_stars(postings, comps, turn), sets), forest=True)
-    comps = _merge_components(comps, _remaining(postings, comps, sets, long_, block))
+    with small_batches(spark):
+        order = spark.sparkContext.broadcast(Order(frequent_shingles(rows, "_text")))   # at most FREQUENT values
+        bloom = spark.sparkContext.broadcast(_shared_bits(rows, "_text", order))         # 2^BLOOM_BITS bits
+        found = kept(_searched(rows, keys, "_text", order, bloom), "jaccard")
+        held = found.filter(F.col("set").isNotNull())
+        sets = held.groupBy("sig").agg(F.first("set").alias("set"))
+        postings = kept(held.select("sig", "n", F.explode("hits").alias("s")).distinct(), "postings")
+        comps = kept(postings.select("sig", F.col("sig").alias("comp")).distinct(), "comps")
+        for turn in range(2):
+            comps = _merge_components(comps, verified(_stars(postings, comps, turn), sets), forest=True)
+        comps = _merge_components(comps, _remaining(postings, comps, sets, long_, block))
 
     least = found.filter("sig is not null").groupBy("sig").agg(F.min(doc_id).alias("low"))
     least = least.join(comps.withColumnRenamed("sig", "of"), F.col("sig") == F.col("of"), "left").select("sig", "low", F.coalesce("comp", "sig").alias("comp"))
