@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs (lines) are read in windows of up to 64 words. A softmax regression over word uni- and bigrams of the known notices
+Paragraphs (runs of lines up to a blank one) and their lines are read in windows of up to 64 words. A softmax regression over word uni- and bigrams of the known notices
 gives a window's licence family or `unknown`; it is trained on the notices with words dropped, changed and embedded in
 running text, against windows of the corpus itself that name no licence. Probabilities are calibrated by a temperature on variants and
 windows kept back, and the least probability for a family is set so that no more than one kept-back window in a thousand passes. A window passes
-only if one of the family's notices confirms it: most of its word bigrams must stand in the window.
+only if one of the family's notices confirms it: most of its word bigrams must stand in the window. Where several do, the
+most similar takes the places of its bigrams, and others need places of their own.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ NOTICES = {
                 "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "GPL-2.0": ["licensed under the GNU General Public License, version 2",
                 "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
-    "LGPL": ["under the terms of the GNU Lesser General Public License", "licensed under the GNU Lesser General Public License, version 2.1"],
-    "AGPL-3.0": ["under the terms of the GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3"],
+    "LGPL": ["under the terms of the GNU Lesser General Public License", "licensed under the GNU Lesser General Public License, version 2.1",
+             "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+             "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "AGPL-3.0": ["under the terms of the GNU Affero General Public License",
+                 "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+                 "licensed under the GNU Affero General Public License, version 3"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License",
             "Released under the BSD License"],
@@ -80,7 +85,7 @@ class LicenseModel:
     bias: np.ndarray
     heat: float           # temperature
     least: float          # probability a family needs
-    notices: list[list[np.ndarray]]  # per family the bigrams of each notice
+    notices: list[list[list[int]]]  # per family the bigrams of each notice as features, in order
 
     def features(self, values: np.ndarray) -> np.ndarray:
         at = self.place[(values & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
@@ -99,8 +104,9 @@ def train(corpus: list[bytes], *, seed: int = 3, turns: int = 400) -> LicenseMod
     vocabulary = np.unique(np.concatenate([_one(n.encode()) for ns in NOTICES.values() for n in ns]))
     place = np.full(1 << _BITS, -1, np.int64)
     place[(vocabulary & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = np.arange(len(vocabulary))
-    model = LicenseModel(families, place, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 1.0, 0.5,
-                         [[np.unique(gram_hashes(w, 2)) for n in ns for _, w, _ in batches([_strip(n.encode())])] for ns in NOTICES.values()])
+    model = LicenseModel(families, place, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 1.0, 0.5, [])
+    model.notices = [[list(dict.fromkeys(model.features(gram_hashes(w, 2)).tolist())) for n in ns for _, w, _ in batches([_strip(n.encode())])]
+                     for ns in NOTICES.values()]
     pool = [w for line in corpus for w in line.split()][:200_000] or [b"text"]
     rows, y = [], []
     for k, notices in enumerate(NOTICES.values()):
@@ -146,41 +152,114 @@ def train(corpus: list[bytes], *, seed: int = 3, turns: int = 400) -> LicenseMod
     return model
 
 
-def scan_lines(lines: list[bytes], model: LicenseModel) -> list[tuple[int, int, int, str, float, float]]:
-    """(line, first word, word behind, family, probability, similarity) of every notice found."""
+def _windows(at: np.ndarray, feature: np.ndarray, starts: np.ndarray, stops: np.ndarray, model: LicenseModel):
+    """(first word, word behind, scores by family) of each window that holds a feature. `at` ascends; a window stays in its segment."""
+    own = np.searchsorted(starts, at, "right") - 1
+    low = starts[own]
+    block = low + (at - low) // BLOCK * BLOCK
+    back = block > low
+    first = np.unique(np.concatenate((block, block[back] - BLOCK)))
+    last = int((first // BLOCK).max() - (first // BLOCK).min())
+    if last > 1 << 20:
+        raise ValueError("a line of more than 32 million words")
+    sums = np.zeros((len(first), len(model.families)))
+    np.add.at(sums, np.searchsorted(first, block), model.weights[feature])
+    np.add.at(sums, np.searchsorted(first, block[back] - BLOCK), model.weights[feature[back]])
+    ends = np.minimum(stops[np.searchsorted(starts, first, "right") - 1], first + 2 * BLOCK)
+    yield from zip(first.tolist(), ends.tolist(), (sums + model.bias) / model.heat)
+
+
+def _candidates(windows, pairs: np.ndarray, grams: np.ndarray, model: LicenseModel) -> set[tuple]:
+    """Notices that a window confirms: (similarity, bigrams met, first and behind of the window's `pairs`, family, notice, probability)."""
+    out = set()
+    for a, b, z in windows:
+        i, j = np.searchsorted(pairs, (a, b - 1))
+        if j - i < 2:
+            continue
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        met = set(grams[i:j].tolist())
+        for f in [int(p.argmax())]:
+            if f == len(model.families) - 1 or p[f] < model.least:
+                continue
+            for k, notice in enumerate(model.notices[f]):
+                n = len(met.intersection(notice))
+                if n >= CONFIRM * len(notice):
+                    out.add((n / len(notice), n, int(i), int(j), f, k, float(p[f])))
+    return out
+
+
+def _placed(found: set[tuple], pairs: np.ndarray, grams: np.ndarray, model: LicenseModel):
+    """(first word, word behind, family, probability, similarity) of the notices, the most similar first. A place of a bigram counts
+    for one notice: another needs half of its bigrams at places of its own, of a family already found there `CONFIRM` of the notice."""
+    taken: dict[int, int] = {}
+    for similar, n, i, j, f, k, p in sorted(found, key=lambda c: (-c[0], -c[1], c[2], c[3], c[4], c[5], -c[6])):
+        notice = model.notices[f][k]
+        places: dict[int, list[int]] = {g: [] for g in notice}
+        for at in range(i, j):
+            if (g := int(grams[at])) in places:
+                places[g].append(at)
+        while True:
+            free = {g: [x for x in xs if x not in taken] for g, xs in places.items()}
+            own = sum(map(bool, free.values()))
+            same = any(taken.get(x) == f for xs in places.values() for x in xs)
+            if own == 0 or own < (CONFIRM * len(notice) if same else n / 2):
+                break
+            at, spots = -1, []
+            for g in notice:
+                if xs := free[g]:
+                    at = next((x for x in xs if x > at), xs[0])
+                    spots.append(at)
+            shared = [xs[0] for g, xs in places.items() if xs and not free[g]]
+            taken.update((x, f) for x in spots)
+            all_ = spots if same else spots + shared
+            yield int(pairs[min(all_)]), int(pairs[max(all_)]) + 2, model.families[f], p, similar if not same else own / len(notice)
+
+
+def scan_paragraphs(paragraphs: list[list[bytes]], model: LicenseModel) -> list[tuple[int, int, int, int, str, float, float]]:
+    """(paragraph, line in it, first word, word behind, family, probability, similarity) of every notice found. The line is the one
+    in which the notice starts; the words count from its start and may lie in the lines that follow. Windows are cut from the
+    whole paragraph and from each of its lines."""
     out = []
-    for first, uni, bi, offsets in _grams(lines):
+    for first, uni, bi, offsets in _grams([b"\n".join(lines) for lines in paragraphs]):
         hits = np.flatnonzero((f := model.features(uni)) >= 0)
         pairs = np.flatnonzero((g := model.features(bi)) >= 0)
-        line = np.searchsorted(offsets, pairs, "right") - 1
-        good = pairs + 2 <= offsets[line + 1]
-        pairs = pairs[good]
-        if not len(pairs):
-            continue  # no notice without one of its bigrams
-        at, feature = np.concatenate((hits, pairs)), np.concatenate((f[hits], g[pairs]))
-        line = np.searchsorted(offsets, at, "right") - 1
-        wanted = np.isin(line, line[len(hits):])
-        at, feature, line = at[wanted], feature[wanted], line[wanted]
-        block = (at - offsets[line]) // BLOCK
-        for k in np.unique(line):
-            mine = line == k
-            last = int(block[mine].max())
-            if last > 1 << 20:
-                raise ValueError("a line of more than 32 million words")
-            sums = np.zeros((last + 2, len(model.families)))
-            np.add.at(sums, block[mine], model.weights[feature[mine]])
-            z = (sums[:-1] + sums[1:] + model.bias) / model.heat
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            best, done = p.argmax(1), -1
-            for w in np.flatnonzero((best < len(model.families) - 1) & (p.max(1) >= model.least)):
-                a = int(offsets[k] + w * BLOCK)
-                b = int(min(offsets[k + 1], a + 2 * BLOCK))
-                grams = np.unique(bi[a:b - 1])
-                similar = max((float(np.isin(n, grams).mean()) for n in model.notices[best[w]] if len(n)), default=0.0)
-                if similar >= CONFIRM and not (done >= 0 and w == done + 1 and model.families[best[w]] == out[-1][3]):
-                    out.append((first + int(k), a - int(offsets[k]), b - int(offsets[k]), model.families[best[w]], float(p[w].max()), similar))
-                    done = w
+        owner = np.searchsorted(offsets, pairs, "right") - 1
+        good = pairs + 2 <= offsets[owner + 1]
+        pairs, owner = pairs[good], owner[good]
+        for k in np.flatnonzero(np.bincount(owner, minlength=1) >= 2):  # no notice is confirmed by less
+            a, b = offsets[k], offsets[k + 1]
+            mine = pairs[owner == k] - a
+            grams = g[mine + a]
+            own = hits[np.searchsorted(hits, a):np.searchsorted(hits, b)]
+            at, feature = np.concatenate((own - a, mine)), np.concatenate((f[own], grams))
+            order = np.argsort(at, kind="stable")
+            at, feature = at[order], feature[order]
+            lines = np.cumsum([0] + [len(_strip(x).split()) for x in paragraphs[first + k]])
+            found = _candidates(_windows(at, feature, lines[:1], lines[-1:], model), mine, grams, model)
+            if len(lines) > 2:
+                inside = mine + 2 <= lines[np.searchsorted(lines, mine, "right")]
+                some = np.concatenate((np.ones(len(own), bool), inside))[order]
+                some &= np.isin(np.searchsorted(lines, at, "right"), np.searchsorted(lines, mine[inside], "right"))
+                if some.any():
+                    found |= _candidates(_windows(at[some], feature[some], lines[:-1], lines[1:], model), mine, grams, model)
+            for start, stop, family, p, similar in sorted(_placed(found, mine, grams, model)):
+                line = int(np.searchsorted(lines, start, "right")) - 1
+                out.append((int(first + k), line, start - int(lines[line]), stop - int(lines[line]), family, p, similar))
+    return out
+
+
+def paragraphs_of(text: bytes) -> list[tuple[int, list[bytes]]]:
+    """Runs of lines up to one without words, with the number of the first."""
+    out, open_ = [], False
+    for number, line in enumerate(text.split(b"\n")):
+        if not _strip(line).strip():
+            open_ = False
+        elif open_:
+            out[-1][1].append(line)
+        else:
+            out.append((number, [line]))
+            open_ = True
     return out
 
 
@@ -192,25 +271,24 @@ def fit(docs: DataFrame, *, text: str = "text", windows: int = FIT_WINDOWS) -> L
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, paragraph (line number from 0), word_from, word_to, family, score, similarity: one row per notice in a row of `docs`.
+    """doc_id, paragraph, word_from, word_to, family, score, similarity: one row per notice in a row of `docs`.
 
-    Whole texts are read. Null and empty texts have none, equal rows have equal results, an empty table gives none. Where two
-    overlapping windows of a line show the same family the first counts.
+    `paragraph` is the number (from 0) of the line in which the notice starts; its words count from the start of that line and go on
+    over line ends, up to a blank line. Whole texts are read. Null and empty texts have none, equal rows have equal results, an
+    empty table gives none. A place in a text counts for one notice, the most similar.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl = "doc_id long, found array<struct<paragraph: bigint, word_from: bigint, word_to: bigint, family: string, score: double, similarity: double>>"
 
     def make():
         def work(piece: pa.RecordBatch) -> dict:
-            lines, owner, number = [], [], []
+            paragraphs, owner, number = [], [], []
             for i, t in enumerate(text_bytes(piece.column("text"))):
-                own = (t or b"").split(b"\n")
-                lines += own
-                owner += [i] * len(own)
-                number += range(len(own))
+                for n, lines in paragraphs_of(t or b""):
+                    paragraphs.append(lines), owner.append(i), number.append(n)
             found: list[list[dict]] = [[] for _ in range(piece.num_rows)]
-            for k, a, b, family, score, similar in scan_lines(lines, shared.value):
-                found[owner[k]].append({"paragraph": number[k], "word_from": a, "word_to": b, "family": family, "score": score, "similarity": similar})
+            for k, line, a, b, family, score, similar in scan_paragraphs(paragraphs, shared.value):
+                found[owner[k]].append({"paragraph": number[k] + line, "word_from": a, "word_to": b, "family": family, "score": score, "similarity": similar})
             return {"doc_id": piece.column("doc_id"), "found": found}
         return work
 

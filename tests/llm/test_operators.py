@@ -223,3 +223,45 @@ def test_pipeline_stages(spark):
     end = corpus_pipeline.run(spark, SF)
     assert end.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and end.count() > 0
     assert hashlib.sha256(str(sorted(map(tuple, end.collect()))).encode()).digest()
+
+
+WRAPPED = {
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction""",
+    "BSD": """Redistribution and use in source and
+binary forms, with or without modification,
+are permitted provided that the following conditions are met:""",
+}
+
+
+@pytest.fixture(scope="module")
+def notices(spark):
+    model = licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+    def scan(texts):
+        rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+        return [sorted((r["paragraph"], r["family"]) for r in rows if r["doc_id"] == i) for i in range(len(texts))]
+    return scan
+
+
+def test_licenses_wrapped(notices):
+    got = notices([f"lorem ipsum\n\n{t}\n\ndolor sit" for t in WRAPPED.values()] + ["so it goes on\n" * 40 + t for t in WRAPPED.values()])
+    assert [{f for _, f in x} for x in got] == [{f} for f in WRAPPED] * 2
+    # the line in which the notice starts; a blank line ends a paragraph; neighbouring lines keep their notices
+    assert notices(["a b\nReleased under\nthe MIT License", "Released under the\n\nMIT License", "Released under the MIT License\n" * 3])[:2] == [[(1, "MIT")], []]
+    assert notices(["Released under the MIT License\n" * 3]) == [[(i, "MIT") for i in range(3)]]
