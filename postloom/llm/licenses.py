@@ -1,16 +1,18 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs (runs of lines up to a blank one) and their lines are read in windows of up to 64 words. A softmax regression over word uni- and bigrams of the known notices
-gives a window's licence family or `unknown`; it is trained on the notices with words dropped, changed and embedded in
-running text, against windows of the corpus itself that name no licence. Probabilities are calibrated by a temperature on variants and
-windows kept back, and the least probability for a family is set so that no more than one kept-back window in a thousand passes. A window passes
-only if one of the family's notices confirms it: most of its word bigrams must stand in the window. Where several do, the
-most similar takes the places of its bigrams, and others need places of their own.
+Paragraphs (runs of lines up to a blank one) and their lines are read in windows of up to 64 words. A softmax regression over
+word uni- and bigrams of the known notices gives a window's licence family or `unknown`; it is trained on the notices with words
+dropped, changed and embedded in running text, against windows of the corpus itself that name no licence. Probabilities are
+calibrated by a temperature on variants and windows kept back, and the least probability is set so that no more than one kept-back window in a thousand has a family that likely. A
+window passes with that probability for all families together, so that families named together do not divide it; the score of
+each is its probability against unknown alone. A window shows every family of which a notice confirms it: most of its word
+bigrams must stand in the window. Where several do, the most similar takes the places of its bigrams, and others need places of their own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +87,8 @@ class LicenseModel:
     bias: np.ndarray
     heat: float           # temperature
     least: float          # probability a family needs
-    notices: list[list[list[int]]]  # per family the bigrams of each notice as features, in order
+    notices: list[list[list[int]]]  # per family the distinct bigrams of each notice as features, in order
+    lengths: list[list[int]]        # and their number with repeats
 
     def features(self, values: np.ndarray) -> np.ndarray:
         at = self.place[(values & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
@@ -104,9 +107,9 @@ def train(corpus: list[bytes], *, seed: int = 3, turns: int = 400) -> LicenseMod
     vocabulary = np.unique(np.concatenate([_one(n.encode()) for ns in NOTICES.values() for n in ns]))
     place = np.full(1 << _BITS, -1, np.int64)
     place[(vocabulary & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = np.arange(len(vocabulary))
-    model = LicenseModel(families, place, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 1.0, 0.5, [])
-    model.notices = [[list(dict.fromkeys(model.features(gram_hashes(w, 2)).tolist())) for n in ns for _, w, _ in batches([_strip(n.encode())])]
-                     for ns in NOTICES.values()]
+    model = LicenseModel(families, place, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 1.0, 0.5, [], [])
+    every = [[model.features(gram_hashes(w, 2)).tolist() for n in ns for _, w, _ in batches([_strip(n.encode())])] for ns in NOTICES.values()]
+    model.notices, model.lengths = [[list(dict.fromkeys(n)) for n in ns] for ns in every], [[len(n) for n in ns] for ns in every]
     pool = [w for line in corpus for w in line.split()][:200_000] or [b"text"]
     rows, y = [], []
     for k, notices in enumerate(NOTICES.values()):
@@ -176,12 +179,11 @@ def _candidates(windows, pairs: np.ndarray, grams: np.ndarray, model: LicenseMod
         i, j = np.searchsorted(pairs, (a, b - 1))
         if j - i < 2:
             continue
-        p = np.exp(z - z.max())
-        p /= p.sum()
+        p = 1 / (1 + np.exp(np.clip(z[-1] - z[:-1], -500, 500)))  # of each family against unknown alone
+        if 1 - 1 / np.exp(np.clip(z - z[-1], None, 500)).sum() < model.least:
+            continue
         met = set(grams[i:j].tolist())
-        for f in [int(p.argmax())]:
-            if f == len(model.families) - 1 or p[f] < model.least:
-                continue
+        for f in range(len(model.notices)):
             for k, notice in enumerate(model.notices[f]):
                 n = len(met.intersection(notice))
                 if n >= CONFIRM * len(notice):
@@ -190,30 +192,36 @@ def _candidates(windows, pairs: np.ndarray, grams: np.ndarray, model: LicenseMod
 
 
 def _placed(found: set[tuple], pairs: np.ndarray, grams: np.ndarray, model: LicenseModel):
-    """(first word, word behind, family, probability, similarity) of the notices, the most similar first. A place of a bigram counts
-    for one notice: another needs half of its bigrams at places of its own, of a family already found there `CONFIRM` of the notice."""
+    """(first word, word behind, family, probability, similarity) of the notices, those first of which most is met at free places,
+    then the densest. A place of a bigram counts for one notice: another needs half of its bigrams at places of its own, of a
+    family already found there `CONFIRM` of the notice."""
     taken: dict[int, int] = {}
-    for similar, n, i, j, f, k, p in sorted(found, key=lambda c: (-c[0], -c[1], c[2], c[3], c[4], c[5], -c[6])):
+    heap = [((-2.0, 0, 0), i, j, f, k, -p) for _, _, i, j, f, k, p in found]
+    heapify(heap)
+    while heap:
+        key, i, j, f, k, p = heappop(heap)
         notice = model.notices[f][k]
         places: dict[int, list[int]] = {g: [] for g in notice}
         for at in range(i, j):
             if (g := int(grams[at])) in places:
                 places[g].append(at)
-        while True:
-            free = {g: [x for x in xs if x not in taken] for g, xs in places.items()}
-            own = sum(map(bool, free.values()))
-            same = any(taken.get(x) == f for xs in places.values() for x in xs)
-            if own == 0 or own < (CONFIRM * len(notice) if same else n / 2):
-                break
-            at, spots = -1, []
-            for g in notice:
-                if xs := free[g]:
-                    at = next((x for x in xs if x > at), xs[0])
-                    spots.append(at)
-            shared = [xs[0] for g, xs in places.items() if xs and not free[g]]
-            taken.update((x, f) for x in spots)
-            all_ = spots if same else spots + shared
-            yield int(pairs[min(all_)]), int(pairs[max(all_)]) + 2, model.families[f], p, similar if not same else own / len(notice)
+        free = [(at, xs) for at, g in enumerate(notice) if (xs := [x for x in places[g] if x not in taken])]
+        own, n = len(free), sum(map(bool, places.values()))
+        same = any(taken.get(x) == f for xs in places.values() for x in xs)
+        if own == 0 or own < (CONFIRM * len(notice) if same else n / 2):
+            continue
+        # from each place of the first bigram the others where the notice's order has them, or nearest to it
+        tries = [[min(xs, key=lambda x: abs(pairs[x] - pairs[x0] - at + free[0][0])) for at, xs in free] for x0 in free[0][1]]
+        spots = min(tries, key=lambda t: pairs[max(t)] - pairs[min(t)])
+        now = (-own / len(notice), max(0, int(pairs[max(spots)] - pairs[min(spots)]) + 1 - model.lengths[f][k]), -own)
+        if now > key:
+            heappush(heap, (now, i, j, f, k, p))
+            continue
+        taken.update((x, f) for x in spots)
+        if not same:
+            spots = spots + [xs[0] for xs in places.values() if xs and all(x in taken for x in xs) and not set(xs) & set(spots)]
+        yield int(pairs[min(spots)]), int(pairs[max(spots)]) + 2, model.families[f], -p, len(spots) / len(notice)
+        heappush(heap, ((-2.0, 0, 0), i, j, f, k, p))  # the window may hold it again
 
 
 def scan_paragraphs(paragraphs: list[list[bytes]], model: LicenseModel) -> list[tuple[int, int, int, int, str, float, float]]:

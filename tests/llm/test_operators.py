@@ -265,3 +265,21 @@ def test_licenses_wrapped(notices):
     # the line in which the notice starts; a blank line ends a paragraph; neighbouring lines keep their notices
     assert notices(["a b\nReleased under\nthe MIT License", "Released under the\n\nMIT License", "Released under the MIT License\n" * 3])[:2] == [[(1, "MIT")], []]
     assert notices(["Released under the MIT License\n" * 3]) == [[(i, "MIT") for i in range(3)]]
+
+
+def test_licenses_several_families(notices):
+    cases = {"Licensed under the MIT License or the Apache License, Version 2.0": {"MIT", "Apache-2.0"},
+             "Licensed under the Apache License, Version 2.0 or the MIT license, at your option": {"MIT", "Apache-2.0"},
+             "Licensed under the MIT License, the Apache License, Version 2.0 or the BSD 3-Clause License": {"MIT", "Apache-2.0", "BSD"},
+             "licensed under the GNU General Public License, version 2, or the GNU Lesser General Public License, version 2.1": {"GPL-2.0", "LGPL"},
+             "zlib: Released under the BSD License; core: Licensed under the Mozilla Public License 2.0; art: Licensed under CC BY-SA 4.0": {"BSD", "MPL-2.0", "CC-BY-SA"},
+             "Licensed under the GNU Affero General Public License, version 3": {"AGPL-3.0"},
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": {"CC-BY-SA"},
+             "the license version of the public domain under terms as published": set()}
+    assert [{f for _, f in x} for x in notices(list(cases))] == list(cases.values())
+    every = [n for ns in licenses.NOTICES.values() for n in ns]  # each notice alone, and next to another family's in one line
+    family = [f for f, ns in licenses.NOTICES.items() for _ in ns]
+    assert [{f for _, f in x} for x in notices(every)] == [{f} for f in family]
+    pairs = [(i, j) for i in range(len(every)) for j in range(len(every)) if family[i] != family[j]]
+    got = notices([f"{every[i]} and {every[j]}" for i, j in pairs])
+    assert [(every[i], every[j], x) for (i, j), x in zip(pairs, got) if {f for _, f in x} != {family[i], family[j]}] == []
