@@ -2,7 +2,7 @@
 
 Vectors get one more component so that all have the length of the longest: the nearest by distance is then the one with the
 largest inner product. They are dealt to lists by centroids, and rotated at random, so a run of components is a fair sample of
-the distance. A query scans the lists of its nearest centroids; in a list its distances grow block of columns by block, and
+the distance. A query scans the lists of its nearest centroids, as many more as it takes to hold enough candidates; in a list its distances grow block of columns by block, and
 after each block a test drops the candidates whose partial distance, scaled up, lies beyond the k-th best by more than chance
 allows. What is left is measured exactly, in double precision on the given vectors.
 """
@@ -103,7 +103,7 @@ def probes_needed(sample: np.ndarray, long_: np.ndarray, middle: np.ndarray, k:
 def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query (condition on `vec_id`), nearest first, ties to the smaller id.
 
-    A query is no candidate of its own; fewer candidates give fewer rows, an empty table none. Lists longer than PART_ROWS are
+    A query is no candidate of its own; fewer than `k` candidates in the whole table give fewer rows, an empty table none. Lists longer than PART_ROWS are
     split by hash of the id and so are their queries, so equal vectors, however many, are spread over tasks.
     """
     spark = vectors.sparkSession
@@ -126,15 +126,22 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
             b["list"] = (more @ middle.value.T * 2 - (middle.value**2).sum(1)).argmax(1)
             yield b
 
+    placed = rows.mapInPandas(place, "vec_id long, x array<double>, list long")
+    placed = kept(placed, "vector-lists")
+    held_by = np.zeros(lists, np.int64)
+    for r in placed.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        held_by[r["list"]] = r["count"]
+
     def probe(batches):
         for b in batches:
             q = np.array(b["x"].tolist())
-            near = np.argsort(-(q @ middle.value[:, :-1].T * 2 - (middle.value**2).sum(1)), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), probes), "list": near.ravel(),
-                                "q": [v for v in b["x"] for _ in range(probes)]})
+            near = np.argsort(-(q @ middle.value[:, :-1].T * 2 - (middle.value**2).sum(1)), axis=1, kind="stable")
+            full = (np.cumsum(held_by[near], 1) < k + 1).sum(1) + 1  # lists that hold k rows besides the query
+            most = np.minimum(np.maximum(probes, full), lists)
+            yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), most),
+                                "list": np.concatenate([row[:m] for row, m in zip(near, most)]),
+                                "q": [v for v, m in zip(b["x"], most) for _ in range(m)]})
 
-    placed = rows.mapInPandas(place, "vec_id long, x array<double>, list long")
-    placed = kept(placed, "vector-lists")
     asked = rows.filter(is_query).mapInPandas(probe, "query_id long, list long, q array<double>")
     sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     queries = max(1, rows.filter(is_query).count())

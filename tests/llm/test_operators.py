@@ -283,3 +283,15 @@ def test_licenses_several_families(notices):
     pairs = [(i, j) for i in range(len(every)) for j in range(len(every)) if family[i] != family[j]]
     got = notices([f"{every[i]} and {every[j]}" for i, j in pairs])
     assert [(every[i], every[j], x) for (i, j), x in zip(pairs, got) if {f for _, f in x} != {family[i], family[j]}] == []
+
+
+def test_neighbours_of_outliers(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((np.full((190, 8), 3.0), rng.normal(size=(10, 8)).round(2)))  # 95 % in one cluster, outliers in lists of one row
+    monkeypatch.setattr(neighbours, "MOST_LISTS", 11)
+    monkeypatch.setattr(neighbours, "centroids", lambda sample, lists: np.unique(sample, axis=0))
+    monkeypatch.setattr(neighbours, "round", lambda _: 11, raising=False)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 188).collect()
+    assert [q for q in range(188, 200) if sorted(r["rank"] for r in got if r["query_id"] == q) != list(range(1, 21))] == []
+    assert all(abs(r["score"] - float((x[r["query_id"]] * x[r["vec_id"]]).sum())) < 1e-9 for r in got)
