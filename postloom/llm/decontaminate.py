@@ -40,12 +40,14 @@ class ItemIndex:
 
 def build_index(items: list[tuple[int, str | None]]) -> ItemIndex:
     ids, sets, short, values, owners = [], [], {}, [], []
-    for (item, text), own in zip(items, shingle_sets([None if t is None else t.encode() for _, t in items])):
+    texts = [None if t is None else t.encode() for _, t in items]
+    sizes = [n for _, _, offsets in batches(texts) for n in np.diff(offsets).tolist()]
+    for (item, _), size, own in zip(items, sizes, shingle_sets(texts)):
         if not len(own):
             continue
         at = len(ids)
         ids.append(item), sets.append(own)
-        if len(text.split()) < SHINGLE and len(own) == 1:
+        if size < SHINGLE:
             short.setdefault(int(own[0]), []).append(at)
         n = len(own)
         top = (1 << n.bit_length()) - 1  # the largest size of the item's partition

@@ -295,3 +295,12 @@ def test_neighbours_of_outliers(spark, monkeypatch):
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 188).collect()
     assert [q for q in range(188, 200) if sorted(r["rank"] for r in got if r["query_id"] == q) != list(range(1, 21))] == []
     assert all(abs(r["score"] - float((x[r["query_id"]] * x[r["vec_id"]]).sum())) < 1e-9 for r in got)
+
+
+def test_decontaminate_short_items_with_other_blanks(spark):
+    said = ["a b c d e", "k　l　m　n　o p", "a\x1cb\x1dc\x1ed\x1fe f", "x\u0085y\u0085z\u0085v\u0085w u"]
+    items = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(said), (9, said[0] + " more")], "doc_id long, text string")
+    got = decontaminate.contained_items(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_item"], r["shared"]) for r in got) == [(i, i, 1, 1) for i in range(4)]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [9]
