@@ -24,6 +24,7 @@ from postloom.llm.words import batches, gram_hashes, mix
 
 UNKNOWN = "unknown"
 BLOCK = 32           # a window is two neighbouring blocks of a line
+RUN = 1 << 14        # windows weighed at a time, however long the line
 FIT_WINDOWS = 4000   # corpus windows that the unknown class learns from and is calibrated on
 VARIANTS = 60
 CONFIRM = 0.6
@@ -162,14 +163,16 @@ def _windows(at: np.ndarray, feature: np.ndarray, starts: np.ndarray, stops: np.
     block = low + (at - low) // BLOCK * BLOCK
     back = block > low
     first = np.unique(np.concatenate((block, block[back] - BLOCK)))
-    last = int((first // BLOCK).max() - (first // BLOCK).min())
-    if last > 1 << 20:
-        raise ValueError("a line of more than 32 million words")
-    sums = np.zeros((len(first), len(model.families)))
-    np.add.at(sums, np.searchsorted(first, block), model.weights[feature])
-    np.add.at(sums, np.searchsorted(first, block[back] - BLOCK), model.weights[feature[back]])
-    ends = np.minimum(stops[np.searchsorted(starts, first, "right") - 1], first + 2 * BLOCK)
-    yield from zip(first.tolist(), ends.tolist(), (sums + model.bias) / model.heat)
+    for k in range(0, len(first), RUN):
+        some = first[k:k + RUN]
+        i, j = np.searchsorted(at, (some[0], some[-1] + 2 * BLOCK))
+        sums = np.zeros((len(some), len(model.families)))
+        for base in (block[i:j], np.where(back[i:j], block[i:j] - BLOCK, -1)):
+            to = np.minimum(np.searchsorted(some, base), len(some) - 1)
+            own = some[to] == base
+            np.add.at(sums, to[own], model.weights[feature[i:j][own]])
+        ends = np.minimum(stops[np.searchsorted(starts, some, "right") - 1], some + 2 * BLOCK)
+        yield from zip(some.tolist(), ends.tolist(), (sums + model.bias) / model.heat)
 
 
 def _candidates(windows, pairs: np.ndarray, grams: np.ndarray, model: LicenseModel) -> set[tuple]:

@@ -285,6 +285,15 @@ def test_licenses_several_families(notices):
     assert [(every[i], every[j], x) for (i, j), x in zip(pairs, got) if {f for _, f in x} != {family[i], family[j]}] == []
 
 
+def test_licenses_in_a_line_of_millions_of_words(monkeypatch):
+    model = licenses.train([b"so it goes on"] * 50, turns=100)
+    monkeypatch.setattr(licenses, "BLOCK", 4)
+    monkeypatch.setattr(licenses, "RUN", 2)
+    said = b"Released under the MIT License . "
+    found = licenses.scan_paragraphs([[said * 9 + b"a " * (9 << 19) + said]], model)
+    assert [f for *_, f, _, _ in found] == ["MIT"] * 10 and found[-1][2] == 45 + (9 << 19)
+
+
 def test_neighbours_of_outliers(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = np.concatenate((np.full((190, 8), 3.0), rng.normal(size=(10, 8)).round(2)))  # 95 % in one cluster, outliers in lists of one row
