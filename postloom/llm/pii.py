@@ -10,6 +10,7 @@ enough seeds agree on become spans of that kind.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_RUN = re.compile(r"(?<!\w)[0-9]++(?:[ .()-]{1,3}[0-9]++)+(?!\w)")
+_DIGITS = re.compile(r"[0-9]+")
+_LENGTHS = {"card": (12, 19), "phone": (8, 15)}
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,12 +102,67 @@ def _could_be(token: str) -> list[str]:
     return kinds + (["phone"] if 8 <= digits <= 15 and digits * 3 >= len(token) * 2 else [])
 
 
+def _parts(groups: list[tuple[int, int]], least: int, most: int) -> list[list[tuple[int, int]]]:
+    """Neighbouring groups of digits as numbers of `least` to `most` digits: all, or cut into parts as even as the groups allow."""
+    sums = [0]
+    for a, b in groups:
+        sums.append(sums[-1] + b - a)
+    n = -(-sums[-1] // most)
+    out, first = [], 0
+    while first < len(groups):
+        last, aim = first + 1, sums[first] + (sums[-1] - sums[first]) / max(1, n - len(out))
+        while last < len(groups) and sums[last + 1] - sums[first] <= most and abs(sums[last + 1] - aim) <= abs(sums[last] - aim):
+            last += 1
+        if least <= sums[last] - sums[first] <= most:
+            out.append(groups[first:last])
+        first = last
+    return out
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending spans, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _runs(text: str, covered: list[tuple[int, int]], known: dict[str, list[tuple[int, int]]]):
+    """(kind, first, behind) of digits in several groups outside `covered` and, by kind, outside the tokens `known` already."""
+    edges = [0, *[x for span in covered for x in span], len(text)]
+    for start, stop in zip(edges[::2], edges[1::2]):
+        for m in _RUN.finditer(text, start, max(start, stop)):
+            groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+            for kind, (least, most) in _LENGTHS.items():
+                open_: list[list[tuple[int, int]]] = [[]]
+                at = bisect_right(known[kind], (m.start(), len(text))) - 1
+                near = known[kind][max(0, at):bisect_right(known[kind], (m.end(), 0))]
+                k = 0
+                for g in groups:
+                    while k < len(near) and near[k][1] <= g[0]:
+                        k += 1
+                    if k < len(near) and near[k][0] < g[1]:
+                        open_.append([])
+                    else:
+                        open_[-1].append(g)
+                for part in (p for gs in open_ for p in _parts(gs, least, most) if len(p) > 1):
+                    a, b = part[0][0], part[-1][1]
+                    if a > start and text[a - 1] == "(" and 0 <= text.find(")", a, b) and text.count("(", a, b) < text.count(")", a, b):
+                        a -= 1
+                    if a > start and text[a - 1] == "+":
+                        a -= 1
+                    yield kind, a, b
+
+
 def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and identifier-like tokens with their contexts."""
+    """Seeds, identifier-like tokens and runs of digit groups with their contexts."""
     out, covered = [], sorted((a, b) for _, a, b in base)
     for kind, a, b in base:
         out.append({"kind": kind, "seed": True, "a": a, "b": b, "token": text[a:b], "patterns": _contexts(text, a, b)})
-    k = 0
+    k, known = 0, {kind: [] for kind in KINDS}
     for m in _TOKEN.finditer(text) if _DIGIT.search(text) or "@" in text else ():
         while k < len(covered) and covered[k][1] <= m.start():
             k += 1
@@ -112,7 +171,10 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         token = m[0].strip(".,;:!?()[]{}<>\"'`")
         a = m.start() + m[0].find(token)
         for kind in _could_be(token) if token else ():
+            known[kind].append((a, a + len(token)))
             out.append({"kind": kind, "seed": False, "a": a, "b": a + len(token), "token": token, "patterns": _contexts(text, a, a + len(token))})
+    for kind, a, b in _runs(text, _joined(covered), known) if _DIGIT.search(text) else ():
+        out.append({"kind": kind, "seed": False, "a": a, "b": b, "token": text[a:b], "patterns": _contexts(text, a, b)})
     return out
 
 

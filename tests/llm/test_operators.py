@@ -313,3 +313,21 @@ def test_decontaminate_short_items_with_other_blanks(spark):
     got = decontaminate.contained_items(docs, items).collect()
     assert sorted((r["doc_id"], r["item_id"], r["n_item"], r["shared"]) for r in got) == [(i, i, 1, 1) for i in range(4)]
     assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [9]
+
+
+def test_pii_with_blanks(spark):
+    seeds = [(i, f"please call +{i % 9 + 1} (555) 010-{1000 + i} after noon") for i in range(30)]
+    said = ["(555) 123-4567", "0171 234 5678", "555.123.4567", "0171 234 5678 0171 234 5679"]
+    rows = seeds + [(100 + i, f"please call {t} after noon") for i, t in enumerate(said)] + [(200, "it was 0171 234 5678 then")]
+    cards = [f"4{i:014d}" for i in range(30)]
+    cards = [next(c + str(d) for d in range(10) if pii.luhn(c + str(d))) for c in cards]
+    rows += [(300 + i, f"charge my card {c} today") for i, c in enumerate(cards)] + [(400, "charge my card 4111 1111 1111 1112 today")]
+    found = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    got = {i: [(s["kind"], text[i][s["a"]:s["b"]]) for s in found[i]["spans"]] for i in (100, 101, 102, 103, 400)}
+    assert not any(found[i]["base"] for i in got)
+    assert got == {100: [("phone", said[0])], 101: [("phone", said[1])], 102: [("phone", said[2])],
+                   103: [("phone", "0171 234 5678"), ("phone", "0171 234 5679")], 400: [("card", "4111 1111 1111 1112")]}
+    assert [len(found[i]["spans"]) for i in range(30)] == [1] * 30
+    assert pii.occurrences("x1 2a (12) 34", []) == [] and [o["token"] for o in pii.occurrences("in (0171 234 5678)", [])] == ["0171 234 5678"]
+    assert len(pii.occurrences("1234 " * 50_000, [])) > 0
