@@ -166,3 +166,68 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
+
+
+def codebook_sql() -> str:
+    """Six rounds as a chain of CTEs: `a<k>` the nearest entry of each part (distance * 16 + index), `e<k>` the codebooks by component."""
+    near = """SELECT vec_id, p, min(16 * d + i) AS m FROM (SELECT vec_id, p, i, CAST(sum((x - e) * (x - e)) AS BIGINT) AS d
+  FROM parts JOIN e{k} USING (p, j) GROUP BY vec_id, p, i) GROUP BY vec_id, p"""
+    steps = []
+    for k in range(6):
+        steps.append(f"""a{k} AS MATERIALIZED ({near.format(k=k)}),
+e{k + 1} AS MATERIALIZED (SELECT o.p, o.i, o.j, coalesce(n.e, o.e) AS e FROM e{k} o LEFT JOIN (
+  SELECT p, i, j, CAST((s - ((s % c) + c) % c) // c AS BIGINT) AS e FROM (
+    SELECT p, m % 16 AS i, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS c FROM parts JOIN a{k} USING (vec_id, p) GROUP BY p, m % 16, j)) n
+  ON n.p = o.p AND n.i = o.i AND n.j = o.j)""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, (pos - 1) // 8 AS p, (pos - 1) % 8 AS j, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM kept),
+e0 AS MATERIALIZED (SELECT p, i, j, x AS e FROM parts JOIN first USING (vec_id) WHERE i < 16),
+{", ".join(steps)},
+a6 AS MATERIALIZED ({near.format(k=6)}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(e AS VARCHAR), ',' ORDER BY p, i, j)) FROM e6) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+@query("op12_value_codes", codebook_sql())
+def value_codes(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.value_codes import compress, with_label_error
+
+    coded, books = compress(table(spark, sf, "embeddings"))
+    return with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+numbered AS (SELECT lang, row_number() OVER () AS piece_no, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+w AS MATERIALIZED (SELECT lang, piece_no, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM numbered),
+total AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+runs AS MATERIALIZED (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY piece_no ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, 1 AS k, w AS phrase, count(*) AS f, w, w AS w2, w AS w3 FROM runs GROUP BY lang, w HAVING count(*) >= 10
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*), w, w2, w2 FROM runs WHERE w2 IS NOT NULL GROUP BY lang, w, w2 HAVING count(*) >= 10
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*), w, w2, w3 FROM runs WHERE w3 IS NOT NULL GROUP BY lang, w, w2, w3 HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f AS a, w, w2, w3 FROM f WHERE k > 1),
+parted AS (SELECT lang, k, phrase, a, 1 AS cut, w AS x, CASE WHEN k = 2 THEN w2 ELSE w2 || ' ' || w3 END AS y FROM c
+  UNION ALL SELECT lang, k, phrase, a, 2, w || ' ' || w2, w3 FROM c WHERE k = 3),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, cut, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM parted c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM c t WHERE t.lang = low.lang AND t.k > low.k AND 100 * t.a >= 50 * low.a
+  AND (t.w || ' ' || t.w2 = low.phrase OR t.w2 || ' ' || t.w3 = low.phrase))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.phrases import collocations
+
+    return collocations(table(spark, sf, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
