@@ -231,3 +231,21 @@ def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     from postloom.llm.phrases import collocations
 
     return collocations(table(spark, sf, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# On the given pages: the marked article, its blocks divided by `p` and `h1` tags, three named references.
+MAIN_TEXT_SQL = r"""
+WITH inner_ AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages),
+blocks AS (SELECT page_id, url, unnest(regexp_split_to_array(h, '</?(p|h1)>')) AS b, unnest(range(1, len(regexp_split_to_array(h, '</?(p|h1)>')) + 1)) AS i FROM inner_),
+plain AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '), '</?b>', '', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM blocks),
+joined AS (SELECT page_id, url, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM plain WHERE t <> '' GROUP BY page_id, url)
+SELECT p.page_id, p.url, coalesce(j.text, '') AS text, CAST(length(coalesce(j.text, '')) AS BIGINT) AS n_chars
+FROM pages p LEFT JOIN joined j ON j.page_id = p.page_id AND j.url = p.url"""
+
+
+@query("op11_main_text", MAIN_TEXT_SQL)
+def main_text(spark: SparkSession, sf: str) -> DataFrame:
+    from postloom.llm.site_templates import main_text
+
+    return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
