@@ -26,15 +26,13 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import kept, pieces, text_bytes
 from postloom.llm.words import _power_tables, mix
-from postloom.operators.joins import MAX_BROADCAST_ROWS
 
 LONGEST = 3
 PART_MASS = 1 << 21
 SPARE = 4
-CHUNK = 1 << 22        # codes a task counts at a time
+CHUNK = 1 << 21        # codes a task counts at a time
 SLICE = 1 << 20        # bytes hashed at a time
 BLOOM_BITS = 27
-SALTS = 16
 _INSIDE = np.ones(256, bool)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
@@ -287,16 +285,10 @@ def frequent_runs(docs: DataFrame, *, threshold: int = 10, lang: str = "lang", t
     return _exact_counts(rows, bloom, parts, threshold)
 
 
-def _looked_up(rows: DataFrame, of: DataFrame, n: int, part: Column, name: str) -> DataFrame:
-    """`name`: the count of the run `part` in `of` (lang, phrase, f; n rows). A hot word's row is copied to SALTS keys if it isn't broadcast."""
+def _looked_up(rows: DataFrame, of: DataFrame, part: Column, name: str) -> DataFrame:
+    """`name`: the count of the run `part` in `of`. Each run has one row there; AQE splits the partitions of a hot word and broadcasts a side it finds small."""
     side = of.select(F.col("lang").alias("_l"), F.col("phrase").alias("_p"), F.col("f").alias(name))
-    keyed = rows.withColumn("_part", part)
-    same = (F.col("lang") == F.col("_l")) & (F.col("_part") == F.col("_p"))
-    if n <= MAX_BROADCAST_ROWS:
-        return keyed.join(F.broadcast(side), same).drop("_l", "_p", "_part")
-    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    side = side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_s", F.col("_s").cast("long"))
-    return keyed.join(side, same & (F.col("_salt") == F.col("_s"))).drop("_l", "_p", "_part", "_s", "_salt")
+    return rows.withColumn("_part", part).join(side, (F.col("lang") == F.col("_l")) & (F.col("_part") == F.col("_p"))).drop("_l", "_p", "_part")
 
 
 def collocations(docs: DataFrame, *, threshold: int = 10, covered: int = 50, most: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -309,7 +301,6 @@ def collocations(docs: DataFrame, *, threshold: int = 10, covered: int = 50, mos
     """
     counts = kept(frequent_runs(docs, threshold=threshold, lang=lang, text=text), "runs")
     single, pairs, triples = (counts.filter(F.col("words") == n).select("lang", "phrase", "f") for n in (1, 2, 3))
-    sizes = {r["words"]: r["count"] for r in counts.groupBy("words").count().collect()}
     words = F.split("phrase", " ")
     wide = lambda c: F.col(c).cast("decimal(38,0)")
 
@@ -320,13 +311,13 @@ def collocations(docs: DataFrame, *, threshold: int = 10, covered: int = 50, mos
         top, bottom = F.lit(1_000_000).cast("decimal(38,0)") * wide("a") * wide("a"), wide(l) * wide(r)
         return F.floor((top - top % bottom) / bottom).cast("long")
 
-    two = _looked_up(pairs.withColumnRenamed("f", "a"), single, sizes.get(1, 0), joined(1, 1), "l")
-    two = _looked_up(two, single, sizes.get(1, 0), joined(2, 1), "r")
+    two = _looked_up(pairs.withColumnRenamed("f", "a"), single, joined(1, 1), "l")
+    two = _looked_up(two, single, joined(2, 1), "r")
     two = two.withColumn("score", scored(two, "l", "r"))
-    three = _looked_up(triples.withColumnRenamed("f", "a"), single, sizes.get(1, 0), joined(1, 1), "l1")
-    three = _looked_up(three, pairs, sizes.get(2, 0), joined(2, 2), "r1")
-    three = _looked_up(three, pairs, sizes.get(2, 0), joined(1, 2), "l2")
-    three = _looked_up(three, single, sizes.get(1, 0), joined(3, 1), "r2")
+    three = _looked_up(triples.withColumnRenamed("f", "a"), single, joined(1, 1), "l1")
+    three = _looked_up(three, pairs, joined(2, 2), "r1")
+    three = _looked_up(three, pairs, joined(1, 2), "l2")
+    three = _looked_up(three, single, joined(3, 1), "r2")
     three = three.withColumns({"s1": scored(three, "l1", "r1"), "s2": scored(three, "l2", "r2")})
     first = F.col("s1") <= F.col("s2")
     three = three.select("lang", "phrase", "a", *[F.when(first, F.col(x + "1")).otherwise(F.col(x + "2")).alias(y)
