@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>\n"
-_HEAD = r"(?s)^### ([^\\:]*(?:\\.[^\\:]*)*):(\\?) (.*)$"
+_HEAD = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+):(\\?) (.*)$"  # possessive: no way back, so no stack however long the name
 
 
 def escaped(text: Column) -> Column:
