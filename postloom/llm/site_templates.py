@@ -22,20 +22,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import kept, map_text
+from postloom.operators.joins import MAX_BROADCAST_ROWS
 
 LEAST_PAGES = 3
 SITE_PAGES = 5
 SITE_SHARE = 0.5
 SALTS = 16
-ROW_BYTES = 128        # of a host name, a hash and a flag
-MAX_BROADCAST_BYTES = 32 << 20
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -238,10 +240,10 @@ def host_of(url: Column) -> Column:
 
 
 def read_pages(pages: DataFrame, keys: list[str], url: str, html: str) -> DataFrame:
-    """keys, host, body (hash), blocks: array<struct<text, stays>>, nodes: array<struct<hash, a, b, plain, inside>>."""
-    rows = pages.select(*keys, F.coalesce(host_of(F.col(url)), F.lit("")).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    """keys, _host and body (hashes), blocks: array<struct<text, stays>>, nodes: array<struct<hash, a, b, plain, inside>>."""
+    rows = pages.select(*keys, F.xxhash64(F.coalesce(host_of(F.col(url)), F.lit(""))).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + (
-        ", _host string, body long, blocks array<struct<text: string, stays: boolean>>, "
+        ", _host long, body long, blocks array<struct<text: string, stays: boolean>>, "
         "nodes array<struct<hash: long, a: int, b: int, plain: boolean, inside: boolean, marked: boolean>>")
 
     def make():
@@ -267,33 +269,86 @@ def templates(read: DataFrame, *, least: int = LEAST_PAGES, pages: int = SITE_PA
     return counts.join(sizes, "_host").select("_host", "hash", ((F.col("n") >= pages) & (F.col("n") >= share * F.col("of"))).alias("usual"))
 
 
+class Known:
+    """Templates as sorted arrays: which (host, subtree) pairs are among them, by both values in full, and which of those are usual."""
+
+    def __init__(self, hosts: np.ndarray, hashes: np.ndarray, usual: np.ndarray):
+        order = np.lexsort((hosts, hashes))
+        self.hosts, self.hashes, self.usual = hosts[order], hashes[order], usual[order]
+
+    def find(self, hosts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, usual) per pair."""
+        out, usual = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+        at = np.searchsorted(self.hashes, hashes)
+        todo = np.arange(len(hashes))
+        while len(todo):  # a subtree's hosts stand side by side
+            todo = todo[at[todo] < len(self.hashes)]
+            todo = todo[self.hashes[at[todo]] == hashes[todo]]
+            same = self.hosts[at[todo]] == hosts[todo]
+            out[todo[same]], usual[todo[same]] = True, self.usual[at[todo[same]]]
+            todo = todo[~same]
+            at[todo] += 1
+        return out, usual
+
+
+def _cut(batch: pa.RecordBatch, gone: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Texts of the blocks that stay, joined, and how many went: nodes `gone` cover the blocks first..last of their row."""
+    blocks = batch.column("blocks")
+    bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(blocks).to_numpy(zero_copy_only=False))))
+    flat = blocks.flatten()
+    stays, hit = flat.field("stays").to_numpy(zero_copy_only=False).copy(), np.zeros(len(flat), bool)
+    for i in np.flatnonzero(gone).tolist():
+        at = bounds[rows[i]]
+        hit[at + first[i]:at + last[i]] = True
+    stays &= ~hit
+    counts = np.add.reduceat(np.append(stays, False).astype(np.int64), bounds[:-1]) * (np.diff(bounds) > 0) if batch.num_rows else np.zeros(0, np.int64)
+    lost = np.add.reduceat(np.append(hit, False).astype(np.int64), bounds[:-1]) * (np.diff(bounds) > 0) if batch.num_rows else counts
+    left = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))), flat.field("text").filter(pa.array(stays)))
+    return pc.binary_join(left, "\n\n"), lost
+
+
 def main_text(pages: DataFrame, *, keys: list[str] = ("page_id", "url"), url: str = "url", html: str = "html", least: int = LEAST_PAGES,
               site_pages: int = SITE_PAGES, share: float = SITE_SHARE) -> DataFrame:
-    """keys, text, n_chars, n_template (blocks that went with a template) per page.
+    """keys, text, n_chars, n_template (blocks that a template covers) per page.
 
     Blocks are joined by two line feeds, white space inside one is one space, character references are decoded. Null or empty html, and
     a page without main text: empty. Pages without a host form a host. Equal pages are rows of their own. No pages: no rows. Unclosed
-    elements end with what holds them, a page cut short with its last character. Other columns, whatever their names, are not read.
+    elements end with what holds them, a page cut short with its last character; hidden elements count as notices. Other columns, whatever
+    their names, are not read.
+
+    Up to MAX_BROADCAST_ROWS templates (24 bytes each) travel to the tasks; more are joined, a hot one on SALTS keys.
     """
     spark, keys = pages.sparkSession, list(keys)
     read = kept(read_pages(pages, keys, url, html).withColumn("_row", F.monotonically_increasing_id()), "pages")
     found = kept(templates(read, least=least, pages=site_pages, share=share), "templates")
-
-    # the subtrees of pages that are templates; beyond a proven size a hot template of a hot host meets its pages on SALTS keys
-    nodes = read.select("_row", "_host", F.inline("nodes")).filter("not (inside and plain)")
-    if found.count() * ROW_BYTES <= MAX_BROADCAST_BYTES:
-        hits = nodes.join(F.broadcast(found), ["_host", "hash"])
+    kinds = ", ".join(f"`{k}` {read.schema[k].dataType.simpleString()}" for k in keys) + ", text string, n_template long"
+    if found.count() <= MAX_BROADCAST_ROWS:
+        table = found.toPandas()
+        known = spark.sparkContext.broadcast(Known(*(table[c].to_numpy(t) for c, t in (("_host", np.int64), ("hash", np.int64), ("usual", bool)))))
+        source = read.select(*keys, "_host", "blocks", "nodes")
     else:
         salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        hits = nodes.withColumn("_salt", F.pmod("_row", F.lit(SALTS))).join(salted, ["_host", "hash", "_salt"])
-    hits = hits.filter((F.col("marked") & ~F.col("inside")) | F.col("usual"))
-    gone = hits.groupBy("_row").agg(F.collect_set(F.struct("a", "b")).alias("gone"))  # at most the page's own subtrees
-    cut = read.select("_row", *keys, "blocks").join(gone, "_row", "left")
-    cut = cut.withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<a:int,b:int>>")))
-
-    def deleted(i: Column) -> Column:
-        return F.exists("gone", lambda g: (g["a"] <= i) & (i < g["b"]))
-
-    text = F.array_join(F.transform(F.filter("blocks", lambda b, i: b["stays"] & ~deleted(i)), lambda b: b["text"]), "\n\n")
-    by_template = F.size(F.filter(F.transform("blocks", lambda b, i: deleted(i)), lambda d: d)).cast("long")
-    return cut.select(*keys, text.alias("text"), by_template.alias("n_template")).withColumn("n_chars", F.length("text").cast("long"))
+        nodes = read.select("_row", "_host", F.posexplode("nodes").alias("at", "n")).withColumns(
+            {"hash": F.col("n.hash"), "_salt": F.pmod("_row", F.lit(SALTS))})
+        hits = nodes.join(salted, ["_host", "hash", "_salt"]).groupBy("_row").agg(F.collect_list(F.struct("at", "usual")).alias("hits"))
+        known, source = None, read.join(hits, "_row", "left").select(*keys, "_host", "blocks", "nodes", "hits")  # a page's own subtrees
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("nodes")
+            sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            flat = column.flatten()
+            value = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("hash", "a", "b", "plain", "inside", "marked")}
+            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            if known is not None:
+                template, usual = known.value.find(batch.column("_host").to_numpy()[rows], value["hash"])
+            else:
+                template, usual, first = np.zeros(len(rows), bool), np.zeros(len(rows), bool), np.cumsum(sizes) - sizes
+                for i, own in enumerate(batch.column("hits").to_pylist()):
+                    for h in own or ():
+                        template[first[i] + h["at"]], usual[first[i] + h["at"]] = True, h["usual"]
+            gone = template & ~(value["inside"] & value["plain"]) & (usual | (value["marked"] & ~value["inside"]))
+            text, lost = _cut(batch, gone, rows, value["a"], value["b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), text, pa.array(lost)], [*keys, "text", "n_template"])
+
+    return source.mapInArrow(run, kinds).withColumn("n_chars", F.length("text").cast("long"))

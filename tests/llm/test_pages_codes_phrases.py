@@ -69,7 +69,7 @@ def test_pages_tables(spark):
 def test_pages_salted_templates(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     plain = sorted(map(tuple, site_templates.main_text(pages).collect()))
-    monkeypatch.setattr(site_templates, "MAX_BROADCAST_BYTES", -1)
+    monkeypatch.setattr(site_templates, "MAX_BROADCAST_ROWS", -1)
     assert sorted(map(tuple, site_templates.main_text(pages).collect())) == plain
 
 
