@@ -18,19 +18,25 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import pieces
+from postloom.llm.common import kept, pieces, text_bytes
+from postloom.operators.joins import join_known
 from postloom.session import scratch_path
 
 SEGMENT = 1 << 18
 RUN = 512
 END_ID = 2
-CACHED = 400_000
+CACHED = 1 << 20
+TAILS = ".,;:!?$%&*#+="
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100), 0x153]))
 SEGMENT_SCHEMA = ("part int, seq int, n_tokens long, doc_id array<long>, length array<long>, opens array<boolean>, "
                   "levels array<binary>, bitmaps array<binary>, ranks array<binary>")
 
@@ -74,53 +80,97 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return out
 
 
-class Encoder(dict):
-    """Ids of a text, little-endian uint32. Ids never span a blank, and a chunk of letters with punctuation behind it
-    falls apart there, so chunks are encoded apart and short ones remembered, in two generations of at most `CACHED`."""
+class Encoder:
+    """Ids of a batch of texts. Ids never span a blank, so texts fall into chunks at blanks, and before a mark that ends a
+    chunk behind a-z. The distinct chunks of a batch are encoded once and all ids gathered from there. At most about `CACHED` chunks of earlier
+    batches are known, as flat arrays; they go with the task.
+
+    A chunk of plain letters, with marks behind it, passes normaliser and pre-tokeniser in lower case and falls apart before the marks, so the
+    letters go to the model alone, in the byte alphabet that the pre-tokeniser shows; whether that holds for a tokenizer is tried once."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.encode, self.model, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
-
-    def _ids(self, chunk: str) -> bytes:
-        if m := _WORD.fullmatch(chunk):
-            if m[2]:
-                return self[m[1]] + self[m[2]]
-            ids = [t.id for t in self.model(chunk)]  # normaliser and pre-tokeniser leave a-z as they are
-        else:
-            ids = self.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.older.get(chunk)
-        out = self._ids(chunk) if out is None else out
-        if len(chunk) <= 48:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def __call__(self, text: str) -> np.ndarray:
-        if "<|" not in text:  # special strings are matched before the tokenizer lower-cases
-            text = text.encode().lower().decode()
-        chunks = _STOP.sub(r" \1 ", text.replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)) + _END, "<u4")
-
-
-_WORD = re.compile(r"([a-z]+)([.,;:!?]*)")
-_STOP = re.compile(r"(?<=[a-z])([.,]) ")
-_END = np.array([END_ID], "<u4").tobytes()
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(tokenizer_path: str) -> Encoder:
-    """One for all tasks of a worker."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = Encoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model.tokenize
+        shown = (lambda c: c) if self.tokenizer.pre_tokenizer is None else (lambda c: "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)))
+        self.shown = {ord(x): shown(c) for c in LETTERS for x in (c, c.upper()) if len(x) == 1 and x.lower() == c}
+        self.plain = re.compile(rf"([a-z{''.join(chr(c) for c in self.shown if c > 127)}]+)([{re.escape(TAILS)}]*)")
+        if [t.id for t in self.model(LETTERS.translate(self.shown))] != self.tokenizer.encode(LETTERS, add_special_tokens=False).ids:
+            self.plain = re.compile(r"(?!)")  # no chunk
+        self._forget()
+
+    def _forget(self) -> None:
+        self.tails: dict[str, list[int]] = {}
+        self.words, self.ids, self.counts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _chunks(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All chunks, and how many of them each text has. A-Z becomes a-z where no special string could be in a text."""
+        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        lower = _LOWER[raw]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        for i, t in enumerate(texts):
+            if b"<|" in t:  # special strings are matched before the tokenizer lower-cases
+                lower[ends[i] - 1 - len(t):ends[i]] = _BLANKS[raw[ends[i] - 1 - len(t):ends[i]]]
+        inside = lower != 0x20
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        stop = _STOPS[lower[1:-1]] & ~inside[2:]
+        begins[1:-1] |= stop & (lower[:-2] >= 0x61) & (lower[:-2] <= 0x7A)
+        starts = np.flatnonzero(begins)
+        sizes = np.cumsum(inside, dtype=np.int64)
+        offsets = np.append(sizes[starts] - 1, sizes[-1]).astype(np.int64)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(lower[inside])))
+        return chunks, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+    def _ids(self, chunk: str) -> list[int]:
+        m = self.plain.fullmatch(chunk)
+        if not m:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        letters, tail = m.groups()
+        ids = [t.id for t in self.model(letters if letters.isascii() else letters.translate(self.shown))]
+        if tail:
+            if tail not in self.tails and len(tail) < 9:
+                self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            ids += self.tails[tail] if tail in self.tails else self.tokenizer.encode(tail, add_special_tokens=False).ids
+        return ids
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each of the (distinct) words stand in `ids` and `counts`, which hold those of earlier batches too."""
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(known.is_null())
+        found = list(map(self._ids, new.to_pylist()))
+        places = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[known.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))))
+        self.counts = np.concatenate((self.counts, counts))
+        self.words = pa.concat_arrays([self.words, new])
+        return places
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind, and the bounds of the texts in them."""
+        if len(self.words) > CACHED:
+            self._forget()
+        chunks, per_text = self._chunks(texts)
+        coded = chunks.dictionary_encode()
+        places = self._places(coded.dictionary)
+        ids, counts = np.append(self.ids, np.uint32(END_ID)), np.append(self.counts, 1)  # one chunk more, the end
+        first = np.cumsum(counts) - counts
+        ends = np.cumsum(per_text)
+        order = np.insert(places[coded.indices.to_numpy(zero_copy_only=False)], ends, len(counts) - 1)
+        sizes = counts[order]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        out = ids[np.repeat(first[order] - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        return out, np.concatenate(([0], bounds[ends + np.arange(1, len(texts) + 1)]))
+
+
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(c) for c in ".,;:!?"]] = True
+_BLANKS = np.arange(256, dtype=np.uint8)
+_BLANKS[[0x09, 0x0A, 0x0D]] = 0x20
+_LOWER = _BLANKS.copy()
+_LOWER[65:91] += 32
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = None, doc_id: str = "doc_id",
@@ -138,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = No
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, seq = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         held, size, ids_of, lengths, opens = [], 0, [], [], []
 
         def segment():
@@ -148,11 +198,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = No
                  "levels": [levels], "bitmaps": [bitmaps], "ranks": [ranks]}, schema=schema)
 
         for piece in pieces(batches, "text"):
-            for key, value in zip(piece.column("doc_id").to_pylist(), piece.column("text")):
-                ids, first = encode(value.as_py()), True
+            flat, bounds = encode(text_bytes(piece.column("text")))
+            for key, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids, first = flat[a:b], True
                 while len(ids):
                     take = ids[:SEGMENT - size]
-                    held.append(take)
+                    held.append(take.copy())  # not the whole batch
                     ids_of.append(key)
                     lengths.append(len(take))
                     opens.append(first)
@@ -171,45 +222,71 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = No
     return path
 
 
-def part_starts(segments: DataFrame) -> DataFrame:
-    """Tokens before each part: part, part_start. One row per range partition."""
-    sums = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def crc32_joined(first: int, second: int, length: int) -> int:
+    """The CRC-32 of two byte strings one behind the other, from theirs and the length of the second: `length` zero bytes act on the
+    first as a linear map, whose powers of two are squared."""
+    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
+
+    def times(matrix: list[int], vector: int) -> int:
+        out, i = 0, 0
+        while vector:
+            if vector & 1:
+                out ^= matrix[i]
+            vector, i = vector >> 1, i + 1
+        return out
+
+    left = 8 * length
+    while left:
+        if left & 1:
+            first = times(step, first)
+        step, left = [times(step, x) for x in step], left >> 1
+    return first ^ second
+
+
+def segment_starts(segments: DataFrame) -> DataFrame:
+    """part, seq, start (tokens before the segment), opened (documents of the part that began before it): one small row per segment."""
+    sizes = segments.select("part", "seq", "n_tokens", F.size(F.filter("opens", lambda o: o)).alias("n"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("part_start"))
+    return sizes.join(F.broadcast(parts), "part").select(  # one row per range partition of the writer
+        "part", "seq", (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"),
+        F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("opened"))
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """Per document: doc_id, start (ids before it), n_tokens, ids_crc32 (unsigned, over little-endian uint32), from the files.
 
-    A part's segments are read in order by one task, which keeps a running checksum, never a document."""
+    Segments are read apart, wherever they lie; of a document that reaches over several, the checksums of its pieces are joined."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    with_start = segments.join(F.broadcast(part_starts(segments)), "part")  # one row per range partition of the writer
-    ordered = with_start.repartition("part").sortWithinPartitions("part", "seq")
+    starts = kept(segment_starts(segments), "segments")
+    placed = join_known(segments, starts, starts.count(), ["part", "seq"], "inner")
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32", "part", "nth", "edge"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, open_ = None, 0, None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["part"] != part:
-                    out += [open_] if open_ else []
-                    part, at, open_ = row["part"], row["part_start"], None
-                ids, first = unpack(row["levels"], row["bitmaps"]).astype("<u4"), 0
-                for key, length, opens in zip(row["doc_id"], row["length"], row["opens"]):
-                    raw = ids[first:first + length].tobytes()
-                    if opens:
-                        out += [open_] if open_ else []
-                        open_ = (key, at, length, zlib.crc32(raw))
-                    else:
-                        open_ = (key, open_[1], open_[2] + length, zlib.crc32(raw, open_[3]))
-                    first, at = first + length, at + length
-            yield pack_rows(out)
-        if open_:
-            yield pack_rows([open_])
-
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-
-    def pack_rows(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names)
-
-    return ordered.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at].as_py() for c in ("part", "start", "opened", "levels", "bitmaps", "doc_id", "length", "opens")}
+                ids, first, out = unpack(row["levels"], row["bitmaps"]).astype("<u4"), 0, []
+                nth = row["opened"] - 1
+                for i, (key, length, opens) in enumerate(zip(row["doc_id"], row["length"], row["opens"])):
+                    nth += opens
+                    edge = not opens or i == len(row["opens"]) - 1  # may have more pieces
+                    out.append((key, row["start"] + first, length, zlib.crc32(ids[first:first + length]), row["part"], nth, edge))
+                    first += length
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
+
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.bool_()]
+    found = kept(placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, nth long, edge boolean"), "pieces")
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("start")
+        crc = int(rows["ids_crc32"].iloc[0])
+        for other, length in zip(rows["ids_crc32"].iloc[1:], rows["n_tokens"].iloc[1:]):
+            crc = crc32_joined(crc, int(other), 4 * int(length))
+        out = rows[columns[:4]].head(1).copy()
+        out["n_tokens"], out["ids_crc32"] = rows["n_tokens"].sum(), crc
+        return out
+
+    edges = found.filter("edge").groupBy("part", "nth").applyInPandas(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.filter("not edge").select(*columns[:4]).unionByName(edges)
