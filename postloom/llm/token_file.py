@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -150,6 +149,8 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind, and the bounds of the texts in them."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if len(self.words) > CACHED:
             self._forget()
         chunks, per_text = self._chunks(texts)
@@ -279,14 +280,18 @@ def read_tokens(spark, path: str) -> DataFrame:
     kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.bool_()]
     found = kept(placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, nth long, edge boolean"), "pieces")
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start")
-        crc = int(rows["ids_crc32"].iloc[0])
-        for other, length in zip(rows["ids_crc32"].iloc[1:], rows["n_tokens"].iloc[1:]):
-            crc = crc32_joined(crc, int(other), 4 * int(length))
-        out = rows[columns[:4]].head(1).copy()
-        out["n_tokens"], out["ids_crc32"] = rows["n_tokens"].sum(), crc
-        return out
-
-    edges = found.filter("edge").groupBy("part", "nth").applyInPandas(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return found.filter("not edge").select(*columns[:4]).unionByName(edges)
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crcs = []
+            for own in batch.column("pieces").to_pylist():  # one entry per segment the document reaches over
+                crc = own[0]["crc"]
+                for piece in own[1:]:
+                    crc = crc32_joined(crc, piece["crc"], 4 * piece["n"])
+                crcs.append(crc)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:3]), pa.array(crcs, pa.int64())], columns[:4])
+
+    piece = F.struct("start", F.col("n_tokens").alias("n"), F.col("ids_crc32").alias("crc"))
+    edges = found.filter("edge").groupBy("part", "nth").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    joined = edges.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.filter("not edge").select(*columns[:4]).unionByName(joined)

@@ -183,6 +183,40 @@ def test_chat(spark):
     assert len(got) == 2 and chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_with_long_roles(spark):
+    said = [":" * 100_000, "\\" * 100_000, "a:\\" * 50_000, "</turn>\n### x: " * 10_000]
+    rows = [(i, 0, role, role) for i, role in enumerate(said)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"], r["identical"], r["turns"][0]["role"], r["turns"][0]["text"]) for r in got) == [(i, True, x, x) for i, x in enumerate(said)]
+
+
+def test_token_file_over_segments(spark, dirty, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = sorted(map(tuple, token_file.read_tokens(spark, token_file.write_tokens(dirty, path, parts=2)).select("start", "n_tokens", "ids_crc32").collect()))
+    monkeypatch.setattr(token_file, "SEGMENT", 999)
+    folder = token_file.write_tokens(dirty, path, parts=2)
+    assert max(r["n_tokens"] for r in spark.read.parquet(folder).select("n_tokens").collect()) <= 999
+    assert sorted(map(tuple, token_file.read_tokens(spark, folder).select("start", "n_tokens", "ids_crc32").collect())) == whole
+    for a, b in ((b"", b"x"), (b"abc", b""), (b"abc" * 99, b"\0" * 1000), (b"\xff" * 7, bytes(range(256)) * 64)):
+        assert token_file.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_token_encoder_on_odd_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encode, rng = Tokenizer.from_file(path), token_file.Encoder(path), np.random.default_rng(6)
+    pool = [*"abz AZ.,;:!?\n\t\r\x0b\x1c\x00'\"-_<|>/[]0 9$*", *"éÉßẞİıœŒÿ½中한　", "\u0301", "\u200d", "\ufeff", "😀", "👍🏽", "<|endoftext|>", "don't", "Été. "]
+    texts = ["".join(rng.choice(pool, int(rng.integers(0, 40)))) for _ in range(3000)]
+    for at in range(0, 3000, 300):
+        flat, bounds = encode([t.encode() for t in texts[at:at + 300]])
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts[at:at + 300]]
+    assert encode([])[1].tolist() == [0]
+
+
 def test_decontaminate(spark, dirty):
     item = " ".join(f"k{i}" for i in range(30))
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one two")], "item_id long, text string")
