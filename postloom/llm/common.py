@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,21 @@ def row_key(columns: list[str]):
     return F.xxhash64(*cells, *marks), F.xxhash64(F.lit(1), *marks, *cells)
 
 
+def give_back() -> None:
+    """What a Python worker no longer uses goes back to the system: workers outlive their tasks, and the pools keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run` over batches, with its memory given back at the end of the task."""
+    def work(batches):
+        yield from run(batches)
+        give_back()
+    return work
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -77,4 +93,4 @@ def map_text(df: DataFrame, column: str, schema: str, make: Callable[[], Callabl
                 [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type
                  else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

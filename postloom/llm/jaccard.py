@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import kept, map_text, row_key, small_batches, text_bytes
+from postloom.llm.common import kept, lean, map_text, row_key, small_batches, text_bytes
 from postloom.llm.words import mix, shingle_sets
 from postloom.operators.joins import join_known
 
@@ -120,7 +120,7 @@ def _shared_bits(rows: DataFrame, text: str, order) -> np.ndarray:
             flat = np.unique(np.concatenate(_bloom_keys(b["s"].to_numpy(np.int64))))
             yield pd.DataFrame({"k": flat})
 
-    bits = shared.mapInPandas(keys, "k long").groupBy(F.bitmap_bucket_number(F.col("k") + 1).alias("bucket")).agg(
+    bits = shared.mapInPandas(lean(keys), "k long").groupBy(F.bitmap_bucket_number(F.col("k") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("k") + 1)).alias("bits"))
     table = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
     for r in bits.toLocalIterator():
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = [linked(xv[xo[i]:xo[i + 1]], yv[yo[i]:yo[i + 1]]) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(lean(check), "a long, b long")
 
 
 def _close(n_a: Column, n_b: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import kept, pieces, text_bytes
+from postloom.llm.common import kept, lean, pieces, text_bytes
 from postloom.llm.words import _power_tables, mix
 
 LONGEST = 3
@@ -185,7 +185,7 @@ def _partial_counts(docs: DataFrame, parts: int) -> DataFrame:
         if size:
             yield pack(held)
 
-    return docs.mapInArrow(run, "part long, mass long, codes binary, counts binary")
+    return docs.mapInArrow(lean(run), "part long, mass long, codes binary, counts binary")
 
 
 def _survivors(partial: DataFrame, threshold: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _survivors(partial: DataFrame, threshold: int) -> DataFrame:
         yield from done()
 
     dealt = partial.repartition(F.col("part")).sortWithinPartitions("part", F.col("mass").isNull())
-    return dealt.mapInArrow(run, "k long")
+    return dealt.mapInArrow(lean(run), "k long")
 
 
 def bloom_key(found: np.ndarray, k: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def _exact_counts(docs: DataFrame, bloom, parts: int, threshold: int) -> DataFra
                          pa.array([x for _, t, _ in found for x in t], pa.binary()),
                          pa.array(np.concatenate([c.astype(np.int64) for _, _, c in found]))], ["lang", "words", "phrase", "f"])
 
-    rows = docs.mapInArrow(run, "lang string, words int, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
+    rows = docs.mapInArrow(lean(run), "lang string, words int, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= threshold) | (F.col("words") == 0))
 
 

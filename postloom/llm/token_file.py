@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import kept, pieces, text_bytes
+from postloom.llm.common import kept, lean, pieces, text_bytes
 from postloom.operators.joins import join_known
 from postloom.session import scratch_path
 
 SEGMENT = 1 << 18
 RUN = 512
 END_ID = 2
-CACHED = 1 << 20
+CACHED = 1 << 19
 TAILS = ".,;:!?$%&*#+="
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100), 0x153]))
 SEGMENT_SCHEMA = ("part int, seq int, n_tokens long, doc_id array<long>, length array<long>, opens array<boolean>, "
@@ -219,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, parts: int | None = No
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(SEGMENT_SCHEMA))
-    ordered.mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(lean(run), SEGMENT_SCHEMA).write.parquet(path)
     return path
 
 
@@ -278,7 +278,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
 
     kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.bool_()]
-    found = kept(placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, nth long, edge boolean"), "pieces")
+    found = kept(placed.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, part int, nth long, edge boolean"), "pieces")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,5 +293,5 @@ def read_tokens(spark, path: str) -> DataFrame:
     piece = F.struct("start", F.col("n_tokens").alias("n"), F.col("ids_crc32").alias("crc"))
     edges = found.filter("edge").groupBy("part", "nth").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    joined = edges.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    joined = edges.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(lean(join), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return found.filter("not edge").select(*columns[:4]).unionByName(joined)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import kept
+from postloom.llm.common import kept, lean
 from postloom.operators.joins import MAX_BROADCAST_ROWS
 
 BLOCK_VALUES = 1 << 19
@@ -87,7 +87,7 @@ def _blocks(rows: DataFrame, dims: int, scale: int) -> DataFrame:
         if n:
             yield pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 class Codebooks:
@@ -147,7 +147,7 @@ def _refined(blocks: DataFrame, books: Codebooks) -> list[list[list[int]]]:
 
     schema = "p int, i int, n long, sums array<string>"
     entries = [[list(e) for e in part] for part in books.entries]
-    for r in blocks.select("values", "codes").mapInArrow(run, schema).groupBy("p", "i").applyInPandas(add, schema).collect():  # parts x entries rows
+    for r in blocks.select("values", "codes").mapInArrow(lean(run), schema).groupBy("p", "i").applyInPandas(add, schema).collect():  # parts x entries rows
         entries[r["p"]][r["i"]] = [int(s) // r["n"] for s in r["sums"]]
     return entries
 
@@ -203,7 +203,7 @@ def compress(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embed
                 yield pa.RecordBatch.from_arrays([ids_, labels, pa.array(texts), errors], ["vec_id", "label", "code", "error"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("vec_id", "label")}
-    coded = blocks.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, code string, error long")
+    coded = blocks.mapInArrow(lean(run), f"vec_id {kinds['vec_id']}, label {kinds['label']}, code string, error long")
     other = rows.filter(F.size("v") != dims).select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
     return coded.unionByName(other), books
 
