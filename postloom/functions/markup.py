@@ -11,12 +11,12 @@ LISTS = ("ul", "ol")
 
 
 class Node:
-    """An element; children are nodes and plain strings."""
+    """An element; children are nodes and plain strings, `parent` is the element that was open around it."""
 
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent")
 
-    def __init__(self, tag, attrs=()):
-        self.tag, self.attrs, self.children = tag, dict(attrs), []
+    def __init__(self, tag, attrs=(), parent=None):
+        self.tag, self.attrs, self.children, self.parent = tag, dict(attrs), [], parent
 
     def text(self):
         """The visible text below; kept on an own stack, because raw pages nest without bound."""
@@ -44,13 +44,13 @@ class _Reader(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag, attrs))
+        self.open[-1].children.append(Node(tag, attrs, self.open[-1]))
 
     def handle_endtag(self, tag):
         # An end tag closes everything opened since its start tag; one without a start tag is ignored.

@@ -1,7 +1,7 @@
 """From raw pages to records.
 
-Everything a regular expression can answer stays a JVM expression. Only the two questions that
-need the element tree (markdown of nested lists, pills inside a section) go through Arrow.
+Everything a regular expression can answer stays a JVM expression. Only what needs the element
+tree (markdown of nested lists, pills inside a section, cards, selectors) goes through Arrow.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import vocab
-from postloom.functions import markup
+from postloom.functions import markup, selectors
 from postloom.functions.classify import months_to_level
 from postloom.functions.predicates import clean_token
 from postloom.functions.text import as_col, company_size, compose_location, let, strip
@@ -159,30 +159,38 @@ def posting_from_page(df: DataFrame, html: str = "html", *, source: str, markdow
     return fields.drop("_ld", "_description")
 
 
-def cards(df: DataFrame, html: str = "html", keep: list[str] = (), *, card_start: str = r'<div\b[^>]*\bid="job-card-') -> DataFrame:
-    """One row per listing card with a title and a company; the page is cut at each card's opening tag."""
-    pieces = F.slice(F.split(F.concat(F.lit("\n"), F.col(html)), f"(?i)(?={card_start})"), 2, 2_000_000_000)
-    card = df.select(*keep, F.posexplode(pieces).alias("card_no", "_card"))
-    inside = lambda pattern, group=1: F.regexp_extract("_card", pattern, group)
-    company_link = r'(?is)<a\b[^>]*\bhref="[^"]*/company[^"]*"[^>]*>(.*?)</a>'
-    alt = F.regexp_extract(inside(company_link), r'(?is)<img\b[^>]*\balt="([^"]*)"', 1)
-    span = F.regexp_extract(inside(company_link), r"(?is)<span\b[^>]*>(.*?)</span>", 1)
-
-    def icon(name: str) -> Column:
-        label = F.regexp_extract("_card", rf'(?is)<i\b[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>\s*</i>\s*(?:</\w+>\s*)*(?:<\w+[^>]*>\s*)*([^<]*)', 1)
-        return strip(F.regexp_replace(unescape(label), r"(?U)\s+", " "))
-
-    title_link = r'(?is)<h2\b[^>]*>\s*<a\b[^>]*\bhref="([^"]*/job/[^"]*)"[^>]*>(.*?)</a>'
-    out = card.select(
-        *keep, "card_no",
-        strip(visible_text(inside(title_link, 2))).alias("title"),
-        inside(title_link, 1).alias("link"),
-        F.coalesce(F.nullif(strip(F.replace(F.replace(unescape(alt), F.lit(" Logo"), F.lit("")), F.lit(" logo"), F.lit(""))), F.lit("")),
-                   F.nullif(strip(visible_text(span)), F.lit("")),
-                   strip(visible_text(inside(company_link)))).alias("company"),
-        icon("fa-location-dot").alias("location"), icon("fa-house-building").alias("work_type"),
-        icon("fa-sack-dollar").alias("compensation"), icon("fa-trophy").alias("level"))
-    return out.filter((F.length("title") > 0) & (F.length("company") > 0))
+CARD_ROW = "card_no int, title string, link string, company string, location string, work_type string, compensation string, level string"
+
+
+def cards(df: DataFrame, html: str = "html", keep: list[str] = (), *, url: str | None = None) -> DataFrame:
+    """One row per listing card with a title and a company (Arrow): the cards of both forms, from one parse of the page.
+
+    `url` names the column with the page's address, against which links are resolved. Null and empty pages have no cards."""
+
+    @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in CARD_ROW.split(', '))}>>")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, places in batches:
+            yield pd.Series([selectors.cards_of(page, place) for page, place in zip(pages, places)], dtype=object)
+
+    place = F.col(url) if url else F.lit(None).cast("string")
+    return df.select(*keep, read(F.col(html), place).alias("_cards")).select(*keep, F.inline("_cards"))
+
+
+def elements(html: Column | str, wanted: dict[str, str], attribute: str | None = None) -> Column:
+    """struct of the named selectors: per page the texts (white space as one blank) of all elements that fit, in page order, or the values of
+    an attribute of theirs (Arrow). One parse answers all of them."""
+
+    for text in wanted.values():
+        selectors.selector(text)  # errors are the caller's, not a task's
+
+    @F.pandas_udf("struct<" + ", ".join(f"`{name}`: array<string>" for name in wanted) + ">")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            roots = [markup.read(page or "") for page in batch]
+            yield pd.DataFrame({name: [[selectors.squeezed(n) if attribute is None else n.attrs.get(attribute) for n in selectors.select(root, text)]
+                                       for root in roots] for name, text in wanted.items()}, index=batch.index)
+
+    return find(as_col(html))
 
 
 def card_text(c: Column | str) -> Column:

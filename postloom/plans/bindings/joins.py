@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postloom import vocab
 from postloom.functions.text import contains_any, url_tail_id
-from postloom.operators import cooccur, counts, joins
+from postloom.operators import cooccur, counts, joins, keywords
 from postloom.plans.bindings.common import DOC_TAXONOMY, SKILL_ROWS_SQL, any_sql, lit_sql, query, skill_rows, table
 
 
@@ -35,6 +35,43 @@ def keyword_join(spark, sf):
     return joins.keyword_join(table(spark, sf, "documents"), "text", DOC_TAXONOMY, ["doc_id"])
 
 
+# An order's text lists its parts by name, brand and number; the keywords are all numbers (one inside the other: `id 1`, `id 12`), names, brands and types.
+_ORDER_TEXT_SQL = """t AS (SELECT l_orderkey, string_agg(p_name || ' ' || p_brand || ' id ' || p_partkey, ', ' ORDER BY l_linenumber, p_partkey) AS text
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+k AS (SELECT DISTINCT lower(k) AS k FROM (SELECT 'ID ' || p_partkey AS k FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part
+  UNION ALL SELECT p_type FROM part))"""
+
+
+def _order_texts(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand", F.lit(" id "), F.col("p_partkey").cast("string")).alias("item"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    items = F.sort_array(F.collect_list(F.struct("l_linenumber", "p_partkey", "item")))  # a few lines an order
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda i: i["item"]), ", ").alias("text"))
+
+
+def _part_words(spark, sf):
+    part = table(spark, sf, "part")
+    numbers = F.concat(F.lit("ID "), F.col("p_partkey").cast("string"))
+    return part.select(F.explode(F.array(numbers, "p_name", "p_brand", "p_type", F.lit(""), F.lit(None))).alias("k"))
+
+
+@query("j04_keyword_table", f"""
+WITH {_ORDER_TEXT_SQL}, l AS (SELECT l_orderkey, lower(text) AS text FROM t)
+SELECT l_orderkey, k AS keyword, ((length(text) - length(replace(text, k, ''))) // length(k))::BIGINT AS n FROM l JOIN k ON contains(text, k)""")
+def keyword_table(spark, sf):
+    return keywords.keyword_table_join(_order_texts(spark, sf), "text", _part_words(spark, sf), "k", ["l_orderkey"])
+
+
+@query("j04_keyword_table_whole_words", f"""
+WITH {_ORDER_TEXT_SQL}, w AS (SELECT l_orderkey, unnest(string_split(lower(text), ', ')) AS item FROM t),
+w2 AS (SELECT l_orderkey, string_split(item, ' id ') AS x FROM w),
+f AS (SELECT l_orderkey, 'id ' || x[2] AS keyword FROM w2 UNION ALL SELECT l_orderkey, regexp_extract(x[1], '^(.*) ', 1) FROM w2
+  UNION ALL SELECT l_orderkey, regexp_extract(x[1], '[^ ]*$') FROM w2 UNION ALL SELECT l_orderkey, unnest(string_split(regexp_extract(x[1], '^(.*) ', 1), ' ')) FROM w2)
+SELECT l_orderkey, keyword, count(*) AS n FROM f JOIN k ON keyword = k GROUP BY ALL""")
+def keyword_table_whole_words(spark, sf):
+    return keywords.keyword_table_join(_order_texts(spark, sf), "text", _part_words(spark, sf), "k", ["l_orderkey"], whole_words=True, block_bytes=1 << 14)
+
+
 @query("j05_cooccurrence_self", f"""
 WITH {SKILL_ROWS_SQL}, u AS (SELECT DISTINCT l_orderkey, skill FROM s)
 SELECT x.skill AS a, y.skill AS b, count(*) AS n FROM u x JOIN u y ON x.l_orderkey = y.l_orderkey AND x.skill < y.skill GROUP BY ALL""")

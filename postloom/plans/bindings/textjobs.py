@@ -212,6 +212,38 @@ def cards_from_listing(spark, sf):
     return html.cards(listing, keep=["page_id"])
 
 
+# Entries with an odd number of letters become cards of the second form; a footer with an icon of its own ends each list.
+_CARD_2 = ('<article class="job-bounded-responsive"><div><div><h2><a href="./job/$1?r=1">$2</a></h2></div><a href="/company/$1"><span> $1 </span></a></div>'
+           '<ul><li><span><i class="fa-regular fa-house-building"></i></span><b>Remote</b> only</li><li>' + "x" * 100 + ' <i class="fa-trophy"></i></li></ul></article>')
+_FOOTER = '<footer><a href="/company/none">Footer</a><div><i class="fa-trophy"></i>Awards</div><div><i class="fa-sack-dollar"></i>Pay</div></footer>'
+
+
+@query("x10_cards_of_both_forms", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') AS host, regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) AS folder,
+  regexp_extract_all(html, '<li><a href="/([^"]*)">[^<]*</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1) AS t FROM pages),
+c AS (SELECT page_id, host, folder, unnest(h) AS h, unnest(t) AS t, unnest(range(0, len(h))) AS card_no FROM p),
+k AS (SELECT *, regexp_full_match(h, '([a-z]{2})*[a-z]') AS second FROM c WHERE regexp_full_match(h, '[a-z]+'))
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY card_no) - 1)::INTEGER AS card_no, t AS title,
+  CASE WHEN second THEN folder || 'job/' || h || '?r=1' ELSE host || '/job/' || h END AS link, h AS company,
+  CASE WHEN second THEN '' ELSE t || ' City' END AS location, CASE WHEN second THEN 'Remote only' ELSE '' END AS work_type, '' AS compensation,
+  CASE WHEN second THEN '' ELSE 'Senior level' END AS level FROM k""")
+def cards_of_both_forms(spark, sf):
+    page = F.regexp_replace("html", '<li><a href="/(?:[a-z]{2})*[a-z]">', "$0\u0001")  # marks entries of the second form
+    page = F.regexp_replace(page, '<li><a href="/([a-z]+)">\u0001([^<]*)</a></li>', _CARD_2)
+    page = F.regexp_replace(page, '<li><a href="/([a-z]+)">([^<]*)</a></li>', _CARD)
+    return html.cards(table(spark, sf, "pages").withColumn("html", F.replace(page, F.lit("</nav>"), F.lit(_FOOTER + "</nav>"))), keep=["page_id"], url="url")
+
+
+@query("x10_elements_by_selector", r"""
+SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) <> '' AS has_title, array_to_string(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1), '|') AS entries,
+  len(regexp_extract_all(html, '<li><a href="[^"]*th[^"]*">')) AS n_th, len(regexp_extract_all(html, '<div class="ad">')) AS n_ads FROM pages""")
+def elements_by_selector(spark, sf):
+    wanted = {"title": "head > title", "entries": "nav li > a", "th": 'ul a[href*="th"], x[y]', "ads": "body > div.ad"}
+    found = table(spark, sf, "pages").select("page_id", html.elements("html", wanted).alias("e"))
+    return found.select("page_id", (F.size("e.title") > 0).alias("has_title"), F.array_join("e.entries", "|").alias("entries"),
+                        F.size("e.th").cast("long").alias("n_th"), F.size("e.ads").cast("long").alias("n_ads"))
+
+
 @query("x11_links_from_page", """
 SELECT page_id, pos - 1 AS pos, link FROM (SELECT page_id, unnest(l) AS link, unnest(range(1, len(l) + 1)) AS pos FROM (
   SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: contains(x, '/th')) AS l FROM pages))""")

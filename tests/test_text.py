@@ -6,8 +6,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from postloom.functions import markup, text
-from postloom.operators import counts, html, repair, validate
+from postloom.functions import markup, selectors, text
+from postloom.operators import counts, html, keywords, repair, validate
 
 
 def test_python_like_strip_and_words(col):
@@ -96,6 +96,43 @@ def test_cards(spark):
     assert [(r.title, r.link, r.company, r.location, r.level) for r in got] == [("AI & Co", "/job/1", "Acme", "Berlin, DE", "")]
 
 
+SECOND = """<base href="https://jobs.org/list/"><div class=list><div class="job-bounded-responsive"><div><h2><a href="../job/7">Second</a></h2></div>
+<a href=/company/b><span>Beta</span></a><p><span><i class="fa fa-trophy"></i></span> Senior</p><p>%s<i class="fa-sack-dollar"></i></p></div>
+<div id="job-card-9"><h2><a href="/job/9">No company of its own</a></h2></div></div><footer><div><i class="fa-location-dot"></i>Awards</div></footer>""" % ("x" * 100)
+
+
+def test_cards_of_the_second_form(spark):
+    pages = [(1, CARD, "https://a.org/x/y"), (2, SECOND, None), (3, None, None), (4, "<footer><i class=fa-trophy></i>Awards</footer>", "x")]
+    got = html.cards(spark.createDataFrame(pages, "id int, html string, url string"), keep=["id"], url="url").collect()
+    assert [(r.id, r.card_no, r.title, r.link, r.company, r.location, r.level, r.compensation) for r in got] == [
+        (1, 0, "AI & Co", "https://a.org/job/1", "Acme", "Berlin, DE", "", ""), (2, 0, "Second", "https://jobs.org/job/7", "Beta", "", "Senior", "")]
+
+
+def test_selectors():
+    root = markup.read('<div id=a class="x y"><ul><li data-k="one two"><a href="/p/1">1</a></li><li><b><a href="/p/2" title="a,b]">2</a></b></li></ul></div><p class=y><a>3</a></p>')
+    found = lambda text: [n.text() for n in selectors.select(root, text)]
+    assert found("a") == ["1", "2", "3"] and found("a[href]") == ["1", "2"] and found("li > a") == ["1"] and found("#a .y, p.y a") == ["3"]
+    assert found('a[href$="2"]') == found("div b>a") == found('[title="a,b]"]') == ["2"] and found("[data-k~=two] a") == ["1"] and found("[data-k~=tw] a") == []
+    assert found("div.x.y a[href^='/p']") == ["1", "2"] and found("[href*='']") == [] and found("*") and found("ul > a") == [] and found("div > ul a") == ["1", "2"]
+    deep = markup.read("<i><div><s><div><p><div><u><a>x</a>" + "<b>" * 3000 + "<a>y</a>")
+    assert [n.text() for n in selectors.select(deep, "i > div > s a")] == ["x", "y"] and not list(selectors.select(deep, "i > s a"))
+    for bad in ("", "a >", "> a", "a b >", "a + b", "a:first-child", "[a", "a,,b"):
+        with pytest.raises(ValueError):
+            selectors.Selector(bad)
+
+
+def test_keyword_table(spark):
+    texts = spark.createDataFrame([(1, "Ab abab x_ab"), (1, None), (2, ""), (2, "no hit"), (None, "ÄB ab.")], "id int, keyword string")
+    words = spark.createDataFrame([("ab",), ("AB",), ("äb",), ("",), (None,), ("ab x",)], "w string")
+    run = lambda **kw: sorted((r.id or 0, r.keyword, r.n) for r in keywords.keyword_table_join(texts.withColumnRenamed("keyword", "t"), "t", words, "w", ["id"], **kw).collect())
+    assert run() == [(0, "ab", 1), (0, "äb", 1), (1, "ab", 4), (1, "ab x", 1)]
+    assert run(whole_words=True) == [(0, "ab", 1), (0, "äb", 1), (1, "ab", 1)]
+    assert run(lower=False) == [(0, "ab", 1), (1, "ab", 3), (1, "ab x", 1)]
+    assert run(block_bytes=4) == run() and keywords.keyword_table_join(texts, "keyword", words.limit(0), "w", ["id"]).count() == 0
+    plan = keywords.keyword_table_join(texts, "keyword", words, "w", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Exchange" not in plan
+
+
 def test_card_text(col):
     texts = ["Acme — Rome\nx", "Acme - Rome\nRemote ok", "London office\nAcme - Rome", "nothing", "a-Berlin-c"]
     got = [tuple(r) for r in col(texts, html.card_text("t"))]
