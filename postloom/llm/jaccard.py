@@ -342,6 +342,8 @@ def classes(docs: DataFrame, *, keys: list[str] = ("doc_id",), doc_id: str = "do
         order = spark.sparkContext.broadcast(Order(frequent_shingles(rows, "_text")))   # at most FREQUENT values
         bloom = spark.sparkContext.broadcast(_shared_bits(rows, "_text", order))         # 2^BLOOM_BITS bits
         found = kept(_searched(rows, keys, "_text", order, bloom), "jaccard")
+        for sent in (order, bloom):  # the tables are written: nothing asks for these again
+            sent.destroy()
         held = found.filter(F.col("set").isNotNull())
         sets = held.groupBy("sig").agg(F.first("set").alias("set"))
         postings = kept(held.select("sig", "n", F.explode("hits").alias("s")).distinct(), "postings")
