@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from postloom.functions.access import row_count
 from postloom.functions.text import as_col
 from postloom.operators.joins import join_checked
+from postloom.session import checkpointed
 
 
 def pair_counts(df: DataFrame, items: Column | str, *, min_count: int = 1, keep: list[str] = ()) -> DataFrame:
     """Unordered pairs of distinct items inside each record's array: `a < b, n`.
 
-    Two nested generators stream the pairs of one record into the partial aggregate; no pair
-    array is ever built, and nothing but partial counts is shuffled. (The outer form keeps the
-    optimizer from evaluating the array a second time in a filter below the generator.)
+    With a minimum count the items go on as rows (`pair_counts_rows`), so that rare items leave before any pair is formed and a wide
+    record is many tasks. Without one, two nested generators stream the pairs of a record into the partial aggregate; no pair array
+    is ever built, and nothing but partial counts is shuffled. (The outer form keeps the optimizer from evaluating the array a
+    second time in a filter below the generator.)
     """
+    if min_count > 1:
+        records = df.select(*keep, F.array_distinct(F.array_compact(as_col(items))).alias("_s")).withColumn("_k", F.monotonically_increasing_id())
+        rows = records.select("_k", *keep, F.explode_outer("_s").alias("_i")).filter(F.col("_i").isNotNull())
+        # `keep` is the same for all items of a record, so it goes along inside the item
+        pairs = pair_counts_rows(rows.select("_k", F.struct(*keep, "_i").alias("_v")), "_k", "_v", min_count=min_count)
+        return pairs.select(*[F.col(f"a.{c}").alias(c) for c in keep], F.col("a._i").alias("a"), F.col("b._i").alias("b"), "n")
     sets = df.select(*keep, F.array_sort(F.array_distinct(F.array_compact(as_col(items)))).alias("_s"))
     left = sets.select(*keep, "_s", F.posexplode_outer("_s").alias("_i", "a"))
     pairs = left.select(*keep, "a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("b"))
@@ -30,8 +38,9 @@ def pair_counts_rows(rows: DataFrame, key: str, item: str, *, min_count: int = 1
       items leave before any pair is formed. This is exact.
     * A key with more than `block` distinct items is cut into item blocks, and each pair of blocks
       is its own join key: a hot key spreads over many tasks, each of at most block x block pairs.
+    * The distinct (key, item) rows are written once (shared scratch table); support, block counts and both sides read them.
     """
-    sets = rows.select(F.col(key).alias("_k"), F.col(item).alias("_v")).dropna().distinct()
+    sets = checkpointed(rows.select(F.col(key).alias("_k"), F.col(item).alias("_v")).dropna().distinct())
     if min_count > 1:
         support = sets.groupBy("_v").agg(row_count().alias("_n")).filter(F.col("_n") >= min_count).select("_v")
         sets = join_checked(sets, support, "_v", how="left_semi")

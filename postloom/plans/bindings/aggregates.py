@@ -204,6 +204,13 @@ def run_tally(spark, sf):
     return counts.run_tally(rows.withColumn("status", status), "status")["status"]
 
 
+@query("a20_first_errors", """
+SELECT error FROM (SELECT 'order ' || o_orderkey || ': ' || o_orderstatus AS error FROM orders WHERE o_orderstatus = 'P') ORDER BY error LIMIT 5""")
+def first_errors(spark, sf):
+    error = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(": "), F.col("o_orderstatus")))
+    return counts.run_tally(table(spark, sf, "orders").withColumn("error", error), "o_orderstatus", errors="error")["errors"]
+
+
 @query("a21_profile_summary", """
 WITH l AS (SELECT 'location' AS section, CAST(c_nationkey AS VARCHAR) AS key, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey LIMIT 10),
   c AS (SELECT 'company' AS section, c_mktsegment AS key, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY n DESC, c_mktsegment LIMIT 10)

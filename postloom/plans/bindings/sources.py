@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom import schemas
 from postloom.plans.bindings.common import query, table
 from postloom.session import scratch_path
-from postloom.sources import readers, writers
+from postloom.sources import readers, writers, yaml_source
 
 
 @query("s01_read_structured", """
@@ -36,6 +36,22 @@ def read_extracted(spark, sf):
     return good.unionByName(bad.select("file_name", *empty, F.lit("bad").alias("error")))
 
 
+@query("s02_yaml_source", """
+SELECT CAST(s_suppkey AS VARCHAR) AS job_id, s_name AS title, 'x|y' AS skills, false AS bad FROM supplier WHERE s_nationkey <> 3
+UNION ALL SELECT '', '', '', true FROM supplier WHERE s_nationkey = 3""")
+def yaml_records(spark, sf):
+    # One small file per supplier, written by the tasks; those of nation 3 are malformed.
+    title = F.when(F.col("s_nationkey") == 3, F.concat(F.lit("a: b: "), F.col("s_name"))).otherwise(F.col("s_name"))
+    record = F.concat(F.lit("job_id: '"), F.col("s_suppkey").cast("string"), F.lit("'\ntitle: "), title, F.lit("\nskills:\n  - x\n  - y\n"))
+    path = scratch_path(spark, "yaml-files")
+    rows = table(spark, sf, "supplier").select(record.alias("value"), (F.col("s_suppkey") % 64).alias("part"))
+    rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    parsed = yaml_source.load(spark, path, schemas.EXTRACTED, pattern="part-*", taskFiles=50)
+    ok, bad = yaml_source.records(parsed, schemas.EXTRACTED)
+    good = ok.select("job_id", "title", F.array_join("skills", "|").alias("skills"), F.lit(False).alias("bad"))
+    return good.unionByName(bad.select(*[F.lit("").alias(c) for c in ("job_id", "title", "skills")], F.lit(True).alias("bad")))
+
+
 def _cards(spark, sf):
     rows = table(spark, sf, "customer")
     link = F.when(F.col("c_nationkey") == 7, "").otherwise(F.concat(F.lit("https://board.example.com/job/"), F.col("c_custkey").cast("string")))
@@ -150,6 +166,11 @@ def numbered_lines(spark, sf):
     return writers.numbered_lines(items, "item", ["conv_id", "turn", "pos"])
 
 
+@query("s12_listing_header", "SELECT 'Total job titles: ' || count(DISTINCT p_name || p_brand) AS line FROM part")
+def listing_header(spark, sf):
+    return writers.listing_header(table(spark, sf, "part").select("p_name", "p_brand").distinct(), "job titles")
+
+
 @query("s14_write_missing_only", """
 SELECT d.doc_id, source, CASE WHEN l.doc_id IS NULL THEN 'second' ELSE 'first' END AS run FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 UNION ALL SELECT -1, 'skipped', CAST(count(*) AS VARCHAR) FROM labels UNION ALL SELECT -1, 'written', CAST((SELECT count(*) FROM documents) - count(*) AS VARCHAR) FROM labels""")

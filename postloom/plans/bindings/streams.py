@@ -54,6 +54,18 @@ def dead_letter(spark, sf):
     return _drain(spark, started, out).select("event_id", "status", "retry_line")
 
 
+@query("st03_two_tables", """
+SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN event_id || '|bad payload of user ' || user_id END AS retry_line FROM events""")
+def two_tables(spark, sf):
+    ok, failed, ledger, state = (scratch_path(spark, name) for name in ("ok", "failed", "ledger", "state"))
+    cut = F.when(F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    parsed = _stream(spark, sf, "events").select("event_id", "user_id", F.try_parse_json(cut).isNotNull().alias("good"))
+    error = F.when(~F.col("good"), F.concat(F.lit("bad payload of user "), F.col("user_id").cast("string")))
+    I.TwoSinks(F.col("event_id"), error, ok, failed, ledger).start(parsed, state).awaitTermination()
+    good = spark.read.parquet(ok).select("event_id", "user_id", F.lit(None).cast("string").alias("retry_line"))
+    return good.unionByName(spark.read.parquet(failed).select("event_id", "user_id", "retry_line"))
+
+
 @query("st04_page_growth", """
 WITH f AS (SELECT user_id, min(ts::DATE) AS page FROM events GROUP BY 1), n AS (SELECT page, count(*) AS n_new FROM f GROUP BY 1)
 SELECT e.page, n_found, coalesce(n_new, 0) AS n_new, (sum(coalesce(n_new, 0)) OVER (ORDER BY e.page))::BIGINT AS n_unique

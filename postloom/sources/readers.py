@@ -42,30 +42,28 @@ def _wrong_types(value: object, kind: T.DataType, path: str) -> Iterator[str]:
         yield path
 
 
-def _yaml_to_json(schema: T.StructType):
-    """Text to JSON text, or the reason why not: a file ends in exactly one of the two, whatever it holds."""
+def yaml_record(text: str | None, schema: T.StructType | None) -> tuple[str | None, str | None]:
+    """JSON text of a YAML record, or the reason why there is none: a file ends in exactly one of the two, whatever it holds."""
+    import yaml
+
+    try:
+        record = yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        if not isinstance(record, dict):
+            return None, "not a record"
+        wrong = sorted(set(_wrong_types(record, schema, ""))) if schema is not None else []
+        if wrong:
+            return None, "type:" + ",".join(wrong)
+        return json.dumps(record, default=str, ensure_ascii=False), None
+    except yaml.YAMLError as error:
+        return None, (str(error).splitlines() or ["YAMLError"])[0]
+    except Exception as error:  # noqa: BLE001  an odd date, key, number, alias or depth must not end the job
+        return None, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}".strip()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-
-        def one(text: str | None) -> tuple[str | None, str | None]:
-            try:
-                record = yaml.load(text or "", loader)
-                if not isinstance(record, dict):
-                    return None, "not a record"
-                wrong = sorted(set(_wrong_types(record, schema, "")))
-                if wrong:
-                    return None, "type:" + ",".join(wrong)
-                return json.dumps(record, default=str, ensure_ascii=False), None
-            except yaml.YAMLError as error:
-                return None, (str(error).splitlines() or ["YAMLError"])[0]
-            except Exception as error:  # noqa: BLE001  an odd date, key, number, alias or depth must not end the job
-                return None, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}".strip()
 
+def _yaml_to_json(schema: T.StructType):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = [one(v) for v in batch["value"]]
+            parsed = [yaml_record(v, schema) for v in batch["value"]]
             yield pd.DataFrame({"file_name": batch["file_name"], "json": [p[0] for p in parsed], "error": [p[1] for p in parsed]})
 
     return run

@@ -54,6 +54,40 @@ def dead_letter(source: DataFrame, key: Column, error: Column, out: str, checkpo
     return incremental(source, lambda df: with_outcome(df, key, error), out, checkpoint, partition_by=["status"])
 
 
+class TwoSinks:
+    """Batches of a stream dealt into two tables, each batch exactly once in each, even where a batch comes again.
+
+    A batch owns the folder `batch=<id>` of either table and overwrites it; a ledger file per batch and table is written behind it. A batch
+    that comes again finds its ledger files and writes nothing; one that was cut short finds some missing and writes those tables' folders
+    anew. Rows are `ok` where `error` is null, else `failed` with a retry line.
+    """
+
+    def __init__(self, key: Column, error: Column, ok: str, failed: str, ledger: str):
+        self.key, self.error, self.paths, self.ledger = key, error, {"ok": ok, "failed": failed}, ledger.rstrip("/")
+
+    def _file(self, spark: SparkSession, batch: int, sink: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.ledger}/{batch}.{sink}")
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        open_ = [sink for sink in self.paths if not (lambda p, fs: fs.exists(p))(*self._file(spark, batch, sink))]
+        if not open_:
+            return
+        judged = with_outcome(df, self.key, self.error).persist()
+        try:
+            for sink in open_:
+                rows = judged.filter(F.col("status") == sink).drop("status")
+                (rows.drop("retry_line") if sink == "ok" else rows).write.mode("overwrite").parquet(f"{self.paths[sink]}/batch={batch}")
+                path, fs = self._file(spark, batch, sink)
+                fs.create(path).close()
+        finally:
+            judged.unpersist()
+
+    def start(self, source: DataFrame, checkpoint: str) -> StreamingQuery:
+        return source.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def page_growth(df: DataFrame, page: Column, link: str) -> DataFrame:
     """Per page: links found and links not seen on an earlier page.
 

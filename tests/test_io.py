@@ -1,12 +1,15 @@
 """Readers, writers and streams on small folders."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from postloom import schemas
 from postloom.functions.access import drop_empty_fields
-from postloom.sources import readers, writers
+from postloom.operators import cooccur
+from postloom.sources import readers, writers, yaml_source
 from postloom.streaming import incremental as I
 
 LIVE = """company:
@@ -194,3 +197,72 @@ def test_odd_files_are_reported_and_end_nothing(spark):
     assert set(reasons) == set(odd) - {"good", "deep"} and reasons["list"] == "type:skills" and all(reasons.values())
     _, bad = readers.structured_records(spark.createDataFrame([("a", "position: {skills: [RAG, LLM]}\n")], "file_name string, value string"))
     assert bad.first()["error"] == "type:position.skills"
+
+
+def test_two_sinks_write_a_batch_once(spark, tmp_path):
+    ok, failed, ledger = (str(tmp_path / name) for name in ("ok", "failed", "ledger"))
+    rows = spark.createDataFrame([(1, None), (2, "HTTP 500"), (3, None)], "id int, why string")
+    sinks = I.TwoSinks(F.col("id"), F.col("why"), ok, failed, ledger)
+    read = lambda: (sorted(r.id for r in spark.read.parquet(ok).collect()), sorted((r.id, r.retry_line) for r in spark.read.parquet(failed).collect()))
+    want = ([1, 3], [(2, "2|HTTP 500")])
+    sinks(rows, 0)
+    assert read() == want
+    sinks(rows.unionAll(rows), 0)  # the batch comes again, with whatever it holds
+    assert read() == want
+    os.remove(f"{ledger}/0.failed")  # cut short behind the first table
+    sinks(rows, 0)
+    assert read() == want and sorted(os.listdir(ledger))[-1] == "0.ok"
+    sinks(rows, 1)
+    assert read() == ([1, 1, 3, 3], want[1] * 2)
+
+
+def test_two_sinks_replay_of_a_stream(spark, tmp_path):
+    source, state = str(tmp_path / "in"), tmp_path / "state"
+    spark.range(4).selectExpr("id", "if(id = 2, 'bad', null) AS why").coalesce(1).write.parquet(source)
+    sinks = I.TwoSinks(F.col("id"), F.col("why"), *(str(tmp_path / name) for name in ("ok", "failed", "ledger")))
+    stream = lambda: I.stream_files(spark, source, spark.read.parquet(source).schema)
+    sinks.start(stream(), str(state)).awaitTermination()
+    for commit in (state / "commits").iterdir():  # as if the driver was lost before the batch was committed
+        commit.unlink()
+    sinks.start(stream(), str(state)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "ok")).count() == 3 and spark.read.parquet(str(tmp_path / "failed")).count() == 1
+
+
+YAML_FILES = {"a.yaml": "job_id: 1\ntitle: A", "b.yml": "job_id: '2'\nskills: [x, y]", "c.yaml": "a: b: c", "d.yaml": "- 1", "e.yaml": "", "_skip.yaml": "x: 1", "f.txt": "job_id: 9"}
+
+
+def test_yaml_source_equals_the_reader(spark, tmp_path):
+    for name, text in YAML_FILES.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "g.yaml").write_bytes(b"job_id: \xff")
+    ok, bad = yaml_source.records(yaml_source.load(spark, str(tmp_path), schemas.EXTRACTED, taskFiles=2), schemas.EXTRACTED)
+    files = readers.yaml_files(spark, str(tmp_path / "[a-e].*"))
+    plain, wrong = readers.parse_yaml(files, schemas.EXTRACTED)
+    assert sorted(map(str, ok.collect())) == sorted(map(str, plain.collect()))
+    assert sorted(r.file_name for r in bad.collect()) == sorted({*(r.file_name for r in wrong.collect()), "e.yaml", "g.yaml"})  # the text reader passes an empty file over
+    tasks = yaml_source.dealt([(0, str(i), size) for i, size in enumerate([5, 5, 50, 1, 1, 1])], 10, 2)
+    assert [t.paths for t in tasks] == [["0", "1"], ["2"], ["3", "4"], ["5"]] and yaml_source.dealt([], 1, 1) == []
+    assert yaml_source.load(spark, str(tmp_path / "none"), schemas.EXTRACTED).count() == 0
+
+
+def test_yaml_stream_takes_each_file_once(spark, tmp_path):
+    drop, out, state = tmp_path / "drop", str(tmp_path / "out"), str(tmp_path / "state")
+    drop.mkdir()
+    for turn in range(3):
+        for i in range(3):
+            (drop / f"{turn}-{i}.yaml").write_text(f"job_id: {turn}{i}" if i else "a: b: c")
+        source = yaml_source.load(spark, str(drop), schemas.EXTRACTED, stream=True, settle=0, maxFilesPerTrigger=2)
+        query = source.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).start()
+        query.processAllAvailable()
+        query.stop()
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.file_name for r in rows) == sorted(f"{t}-{i}.yaml" for t in range(3) for i in range(3))
+    assert sorted(r.file_name for r in rows if r.error) == ["0-0.yaml", "1-0.yaml", "2-0.yaml"]
+
+
+def test_pairs_of_wide_records(spark):
+    wide = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("s"), F.lit(None).cast("string").alias("g"))
+    few = spark.createDataFrame([(["w1", "w2", "w2", None], None), (["w2", "w1", "z"], "h"), ([], None), (None, None)], "s array<string>, g string")
+    rows = wide.unionByName(few)
+    assert [tuple(r) for r in cooccur.pair_counts(rows, "s", min_count=3).collect()] == [("w1", "w2", 3)]
+    assert [tuple(r) for r in cooccur.pair_counts(rows, "s", min_count=2, keep=["g"]).collect()] == [(None, "w1", "w2", 2)]
