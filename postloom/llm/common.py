@@ -20,6 +20,7 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     """`df` written as a table in the shared folder and read back: its work is done once, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    give_back()  # the driver's Python is a long-lived one too
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +47,7 @@ def row_key(columns: list[str]):
 
 
 def give_back() -> None:
-    """What a Python worker no longer uses goes back to the system: workers outlive their tasks, and the pools keep what they once had."""
+    """What this Python process no longer uses goes back to the system: workers outlive their tasks, and the pools keep what they once had."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL("libc.so.6").malloc_trim(0)

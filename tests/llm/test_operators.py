@@ -1,6 +1,5 @@
 """Each operator against brute force, an exact round trip or held-out labels, and on dirty small tables."""
 
-import hashlib
 import re
 import zlib
 
@@ -254,9 +253,64 @@ def test_pipeline_stages(spark):
     items = [shingles(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {r["doc_id"] for r in docs.collect() if not any(100 * len(shingles(r["text"]) & i) >= 80 * len(i) for i in items if i)}
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == want
-    end = corpus_pipeline.run(spark, SF)
-    assert end.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and end.count() > 0
-    assert hashlib.sha256(str(sorted(map(tuple, end.collect()))).encode()).digest()
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage's rows from the rows of the stage before, in plain Python."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, rows = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    given = docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, given, SF).write.parquet(str(tmp_path / str(n)))
+        given = spark.read.parquet(str(tmp_path / str(n)))
+        rows[n] = given.collect()
+        assert n == 4 or given.columns == docs.columns
+    first = docs.collect()
+
+    model = quality.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    good, bad = (quality._compressor(d).compress for d in (model.good, model.bad))
+    x = quality.difference([(r["text"] or "").encode() for r in first], good, bad)
+    stays = 1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -40, 40))) >= 0.7
+    assert sorted(map(str, rows[0])) == sorted(str(r) for r, s in zip(first, stays) if s) and 0 < len(rows[0]) < len(first)
+
+    sets, low = {r["doc_id"]: shingles(r["text"]) for r in rows[0]}, {r["doc_id"]: r["doc_id"] for r in rows[0]}
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert sorted(map(str, rows[1])) == sorted(str(r) for r in rows[0] if low[r["doc_id"]] == r["doc_id"]) and links
+
+    items = [i for i in (shingles(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()) if i]
+    assert sorted(map(str, rows[2])) == sorted(str(r) for r in rows[1] if not any(100 * len(shingles(r["text"]) & i) >= 80 * len(i) for i in items))
+
+    size, taken, whole = {}, {}, {}
+    for r in rows[2]:
+        size[r["source"]] = size.get(r["source"], 0) + len(words(r["text"]))
+        whole[r["doc_id"]] = r
+    for r in rows[3]:
+        taken[r["source"]] = taken.get(r["source"], 0) + len(words(r["text"]))
+        was = whole[r["doc_id"]]
+        assert (r["text"] or "").strip() in (was["text"] or "") and r["lang"] == was["lang"] and r["source"] == was["source"]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    want, left, open_ = {}, 1.5 * sum(size.values()), set(size)
+    while open_:
+        part = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = {s for s in open_ if part[s] > 2 * size[s]} or None
+        for s in over or open_:
+            want[s] = 2 * size[s] if over else part[s]
+            left -= want[s]
+        open_ = open_ - over if over else set()
+    assert all(abs(taken.get(s, 0) - want[s]) <= 1 for s in size) and len(set(size)) > 1
+
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
+    ids = [(r["doc_id"], encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in rows[3]]
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows[4]) == sorted((i, len(t), zlib.crc32(np.array(t, "<u4").tobytes())) for i, t in ids)
+    ordered = sorted(rows[4], key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == [0, *np.cumsum([r["n_tokens"] for r in ordered])[:-1]] and [r["doc_id"] for r in ordered] == sorted(i for i, _ in ids)
 
 
 WRAPPED = {
