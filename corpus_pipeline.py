@@ -55,7 +55,7 @@ STAGES = [
     ("token-ID / binary output", encode),
 ]
 
-# The classifier, the permutations and the tokenizer have no SQL form; tests compare with brute force.
+# The classifier, the permutations and the tokenizer have no SQL form; the tests compute each stage from the rows of the one before.
 ORACLE_SQL = None
 
 
