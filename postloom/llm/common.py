@@ -41,8 +41,9 @@ def small_batches(spark: SparkSession, size: int = PIECE_BYTES) -> Iterator[None
 
 def row_key(columns: list[str]):
     """Two 64-bit values that stand for the content of a row, nulls included."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
-    marks = [F.col(c).isNull() for c in columns]
+    quoted = [F.col(f"`{c}`") for c in columns]
+    cells = [F.coalesce(c.cast("string"), F.lit("\0")) for c in quoted]
+    marks = [c.isNull() for c in quoted]
     return F.xxhash64(*cells, *marks), F.xxhash64(F.lit(1), *marks, *cells)
 
 

@@ -6,8 +6,8 @@ passes over its line and then a part of one more, block after block in a keyed p
 the last block only as far as needed. The drawn blocks of a source are its quota.
 
 The tree splits the vector of quotas among the output shards: a node that stands for s shards halves them and draws, source
-by source, how many blocks go left: hypergeometric given what is left of the node and of its left half. The leaves hold
-exact counts, and a shard takes consecutive draws of every source: disjoint permuted blocks. Inside a shard the blocks are
+by source, how many blocks go left: hypergeometric given what is left of the node and of its left half, drawn by one method at
+every size. The leaves hold exact counts, and a shard takes consecutive draws of every source: disjoint permuted blocks. Inside a shard the blocks are
 shuffled by a keyed hash.
 
 Only word counts travel; one row per source, per shard and source, and per block is all that is gathered. The order inside
@@ -58,18 +58,69 @@ def targets(sizes: DataFrame, *, weights: list[int] = (5, 2, 1), share: float =
         F.col("weight") * F.col("open"), F.lit(math.inf))).alias("target"))
 
 
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without the loss of digits where both are close."""
+    if x == 0:
+        return mean
+    gap = (x - mean) / (x + mean)
+    if abs(gap) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, power, k = (x - mean) * gap, 2 * x * gap, 0
+    while True:
+        power *= gap * gap
+        k += 1
+        grown = total + power / (2 * k + 1)
+        if grown == total:
+            return total
+        total = grown
+
+
+def _stirling_rest(n: float) -> float:
+    """log n! less Stirling's (n + 1/2) log n - n + log(2 pi) / 2."""
+    if n <= 15:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    if x in (0, n):
+        return n * math.log(q if x == 0 else p) if n else 0.0
+    return (_stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+            + 0.5 * math.log(n / (2 * math.pi * x * (n - x))))
+
+
+def log_chance(x: int, own: int, others: int, drawn: int) -> float:
+    """Logarithm of the hypergeometric chance of x of `own` among `drawn` of own + others, precise at any size (saddle point form)."""
+    if x < max(0, drawn - others) or x > min(own, drawn):
+        return -math.inf
+    every = own + others
+    p, q = drawn / every, (every - drawn) / every
+    return _log_binomial(x, own, p, q) + _log_binomial(drawn - x, others, p, q) - _log_binomial(drawn, every, p, q)
+
+
+def hypergeometric(own: int, others: int, drawn: int, rng: np.random.Generator) -> int:
+    """How many of `own` are among `drawn` of own + others: rejection for log-concave chances from their mode, alike at every size."""
+    if not own or not drawn:
+        return 0
+    if drawn == own + others or not others:
+        return min(own, drawn)
+    mode = (own + 1) * (drawn + 1) // (own + others + 2)
+    top = log_chance(mode, own, others, drawn)
+    peak = math.exp(top)
+    wide = 1 + peak / 2
+    while True:
+        far = rng.random() * wide / peak if rng.random() <= wide / (1 + wide) else (wide + rng.exponential()) / peak
+        x = mode + (round(far) if rng.random() < 0.5 else -round(far))
+        if math.log(1 - rng.random()) + min(0.0, wide - peak * far) <= log_chance(x, own, others, drawn) - top:
+            return x
+
+
 def split(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Rows of quotas for the left and the right half of `shards` shards, exact by source; each half gets its share of blocks."""
-    total = int(quota.sum())
-    left_total, left, rest = total * (shards // 2) // shards, np.zeros_like(quota), total
-    need = left_total
-    for i, own in enumerate(quota):
-        own = int(own)
-        if own and need:
-            left[i] = need if rest == own else rng.hypergeometric(own, rest - own, need) if rest < 10**9 else min(
-                own, max(0, max(need - (rest - own), round(rng.normal(need * own / rest, math.sqrt(
-                    max(0.0, need * own / rest * (1 - own / rest) * (rest - need) / max(1, rest - 1))))))))
-            left[i] = min(int(left[i]), need)
+    rest = int(quota.sum())
+    need, left = rest * (shards // 2) // shards, np.zeros_like(quota)
+    for i, own in enumerate(map(int, quota)):
+        left[i] = hypergeometric(own, rest - own, need, rng)
         need -= int(left[i])
         rest -= own
     return np.stack([left, quota - left])
@@ -86,7 +137,8 @@ def _descend(node: pd.DataFrame, seed: int, stop: int) -> pd.DataFrame:
     while work:
         first, shards, quota = work.pop()
         if shards <= stop:
-            out.append(pd.DataFrame({"source": node["source"].to_numpy(), "first": first, "shards": shards, "quota": quota}))
+            some = (quota > 0) | (first == 0)  # sources that give nothing go no further down; the first shard names them all
+            out.append(pd.DataFrame({"source": node["source"].to_numpy()[some], "first": first, "shards": shards, "quota": quota[some]}))
             continue
         halves = split(quota, shards, np.random.default_rng([seed, first, shards]))
         work += [(first, shards // 2, halves[0]), (first + shards // 2, shards - shards // 2, halves[1])]
@@ -136,13 +188,13 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         block: int = BLOCK, weights: list[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED):
     """(sizes, runs).
 
-    sizes: k1, k2, doc_id, source, size, copies, source_size, target: one row per distinct row; the columns doc_id, text and source
-    tell rows apart, equal rows are one with their number in `copies` (their words stand behind each other in the line).
+    sizes: k1, k2, doc_id, source, size, copies, source_size, target: one row per distinct row; all columns tell rows apart, rows
+    equal in all are one with their number in `copies` (their words stand behind each other in the line). Columns may have any name.
     runs: k1, k2, shard, place, turn, word_from, word_to: the words the mix takes, shard by shard in the order of place; word
     positions count through the copies. A run lies in one block. Null or empty text, or a source without words: nothing to take.
     An empty table gives empty results. Fixed seed and data: the same mix.
     """
-    k1, k2 = row_key([doc_id, source, text])
+    k1, k2 = row_key(docs.columns)
     entries = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                           n_words(F.col(text)).alias("size"))
     entries = kept(entries.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
@@ -224,11 +276,11 @@ def cut_words(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def mixed_rows(docs: DataFrame, runs: DataFrame, sizes: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+def mixed_rows(docs: DataFrame, runs: DataFrame, sizes: DataFrame, *, text: str = "text",
                length: str | None = "n_chars") -> DataFrame:
     """The rows of `docs` as the mix takes them: once per pass, shard by shard, a document that a block border or the end of the
-    draw cuts with the words taken only (`length`, if it is a column, is that of the text given out). Columns as in `docs`."""
-    k1, k2 = row_key([doc_id, source, text])
+    draw cuts with the words taken only (`length`, if it is a column, is that of the text given out). Columns as in `docs`, of any name."""
+    k1, k2 = row_key(docs.columns)
     spans = runs.join(sizes.select("k1", "k2", "size"), ["k1", "k2"])
     each = spans.select("k1", "k2", "shard", "place", "size", "word_from", "word_to", "turn", F.explode(F.sequence(
         (F.col("word_from") / F.col("size")).cast("long"), ((F.col("word_to") - 1) / F.col("size")).cast("long"))).alias("copy"))
@@ -242,12 +294,14 @@ def mixed_rows(docs: DataFrame, runs: DataFrame, sizes: DataFrame, *, doc_id: st
         F.min(F.struct("a", "shard", "place")).alias("m"), F.max("b").alias("b")).select(
         "k1", "k2", "size", F.col("m.a").alias("a"), "b", F.col("m.shard").alias("_shard"), F.col("m.place").alias("_place"))
     cut = F.pandas_udf(cut_words, "string")
-    names = [F.col(c) for c in docs.columns]
-    one = docs.select(F.struct(*names).alias("row"), k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.select(row.alias("row"), k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.first("row").alias("row"))  # equal rows
     joined = one.join(each, ["k1", "k2"])
     whole = (F.col("a") == 0) & (F.col("b") == F.col("size"))
-    rows = joined.filter(whole).select("row.*", "_shard", "_place")
-    bits = joined.filter(~whole).select("row.*", "_shard", "_place", "a", "b").withColumn(text, cut(F.col(text), "a", "b")).drop("a", "b")
+    rows = joined.filter(whole).select("row", "_shard", "_place")
+    bits = joined.filter(~whole).select("row", "_shard", "_place", cut(F.col("row").getField(text), "a", "b").alias("text"))
+    new = F.col("row").withField(f"`{text}`", F.col("text"))
     if length in docs.columns:
-        bits = bits.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return rows.unionByName(bits).repartition("_shard").sortWithinPartitions("_shard", "_place").drop("_shard", "_place")
+        new = new.withField(f"`{length}`", F.length("text").cast(docs.schema[length].dataType))
+    mixed = rows.unionByName(bits.select(new.alias("row"), "_shard", "_place"))
+    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place").select("row.*")
