@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents linked by 80 % of their distinct word shingles, exactly, as a T-occurrence search.
 
-Documents are lists of 64-bit shingles; equal sets are one class from the start. A link needs at least T = ceil(80 % n) common
+Documents are lists of 64-bit shingles; equal sets (by 128 bits) are one class from the start. A link needs at least T = ceil(80 % n) common
 shingles, so in any common order the first n - T + l shingles of both share at least l (l about 5 % of n). These prefixes
 are the inverted lists. The order puts shingles that a bounded sample shows to be frequent last: it decides what is
 cheap, never what is found.
@@ -56,9 +56,12 @@ def _bloom_keys(values: np.ndarray) -> list[np.ndarray]:
     return [((u >> np.uint64(s)) & low).astype(np.int64) for s in (0, 18, 36)]
 
 
-def _signature(own: np.ndarray) -> int:
+def _signature(own: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit values that stand for a set; the first is its class, the second tells sets apart that share the first."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(own.view(np.uint64)).sum() + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
+        once = mix(own.view(np.uint64))
+        sums = np.array([once.sum() + np.uint64(len(own)), mix(once).sum()], np.uint64)
+        return tuple(mix(sums).view(np.int64).tolist())
 
 
 class Order:
@@ -109,7 +112,7 @@ def _shared_bits(rows: DataFrame, text: str, order) -> np.ndarray:
     def make():
         def work(piece: pa.RecordBatch) -> dict:
             sets = list(shingle_sets(text_bytes(piece.column(text))))
-            return {"sig": [_signature(s) if len(s) else None for s in sets], "s": _arrays([order.value.prefix(s) for s in sets])}
+            return {"sig": [_signature(s)[0] if len(s) else None for s in sets], "s": _arrays([order.value.prefix(s) for s in sets])}
         return work
 
     lists = map_text(rows.select(text), text, "sig long, s array<long>", make).select("sig", F.explode("s").alias("s"))
@@ -137,15 +140,15 @@ def _in_bloom(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _searched(rows: DataFrame, keys: list[str], text: str, order, bloom) -> DataFrame:
-    """keys, n, sig, set, hits: the set and its shared prefix shingles where a link is possible, else null."""
-    ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, sig long, set array<long>, hits array<long>"
+    """keys, n, sig, sig2, set, hits: the set and its shared prefix shingles where a link is possible, else null."""
+    ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, sig long, sig2 long, set array<long>, hits array<long>"
 
     def make():
         def work(piece: pa.RecordBatch) -> dict:
-            n, sig, sets, hits = [], [], [], []
+            n, marks, sets, hits = [], [], [], []
             for own in shingle_sets(text_bytes(piece.column(text))):
                 n.append(len(own))
-                sig.append(_signature(own) if len(own) else None)
+                marks.append(_signature(own) if len(own) else (None, None))
                 got = None
                 if len(own):
                     prefix = order.value.prefix(own)
@@ -154,12 +157,24 @@ def _searched(rows: DataFrame, keys: list[str], text: str, order, bloom) -> Data
                         got = None
                 sets.append(None if got is None else own)
                 hits.append(got)
-            return {**{k: piece.column(k) for k in keys}, "n": n, "sig": sig, "set": _arrays(sets), "hits": _arrays(hits)}
+            return {**{k: piece.column(k) for k in keys}, "n": n, "sig": [a for a, _ in marks], "sig2": [b for _, b in marks],
+                    "set": _arrays(sets), "hits": _arrays(hits)}
         return work
 
     return map_text(rows.select(*keys, text), text, ddl, make)
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """`found` with a `sig` of its own for every set: where sets that differ (by `sig2`) share one, both values together give new ones."""
+    shared = found.filter("sig is not null").groupBy("sig").agg(F.min("sig2").alias("low"), F.max("sig2").alias("high"))
+    shared = shared.filter("low <> high").select(F.col("sig").alias("twice"))
+    if shared.isEmpty():
+        return found
+    marked = found.join(shared, F.col("sig") == F.col("twice"), "left")
+    fresh = F.when(F.col("twice").isNotNull(), F.xxhash64("sig", "sig2")).otherwise(F.col("sig"))
+    return apart(kept(marked.withColumn("sig", fresh).drop("twice").select(*found.columns), "jaccard"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node each node of `edges` (a, b) reaches. Labels fall along the edges and jump to their label's label."""
     both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -344,6 +359,7 @@ def classes(docs: DataFrame, *, keys: list[str] = ("doc_id",), doc_id: str = "do
         found = kept(_searched(rows, keys, "_text", order, bloom), "jaccard")
         for sent in (order, bloom):  # the tables are written: nothing asks for these again
             sent.destroy()
+        found = apart(found)
         held = found.filter(F.col("set").isNotNull())
         sets = held.groupBy("sig").agg(F.first("set").alias("set"))
         postings = kept(held.select("sig", "n", F.explode("hits").alias("s")).distinct(), "postings")

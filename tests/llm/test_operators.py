@@ -1,7 +1,9 @@
 """Each operator against brute force, an exact round trip or held-out labels, and on dirty small tables."""
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +67,46 @@ def test_splitting_tree_is_exact(spark):
     assert {(r["source"], r["q"]) for r in leaves} == {("a", 1000), ("b", 7), (None, 0)} and all(r["m"] >= 0 for r in leaves)
 
 
+def test_draws_are_hypergeometric_at_every_size():
+    rng = np.random.default_rng(5)
+    for own, others, drawn in ((7, 5, 4), (30, 100, 25), (3, 2000, 900), (400, 10, 390)):
+        exact = {x: math.comb(own, x) * math.comb(others, drawn - x) / math.comb(own + others, drawn)
+                 for x in range(max(0, drawn - others), min(own, drawn) + 1)}
+        assert all(abs(mixing.log_chance(x, own, others, drawn) - math.log(p)) < 1e-9 for x, p in exact.items())
+        seen = Counter(mixing.hypergeometric(own, others, drawn, rng) for _ in range(8000))
+        assert set(seen) <= set(exact)
+        assert sum((seen[x] - 8000 * p) ** 2 / (8000 * p) for x, p in exact.items() if 8000 * p > 5) < 3 * len(exact) + 15
+    own, others, drawn = 3 * 10**12, 5 * 10**12, 4 * 10**12  # far past what the numbers of numpy's own draw may be
+    mean, spread = drawn * own / (own + others), math.sqrt(drawn * own / (own + others) * others / (own + others) * 0.5)
+    z = np.array([(mixing.hypergeometric(own, others, drawn, rng) - mean) / spread for _ in range(4000)])
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and abs(np.mean(np.abs(z) < 1) - 0.683) < 0.04
+    assert [mixing.hypergeometric(*a, rng) for a in ((0, 5, 3), (5, 0, 3), (5, 5, 0), (5, 5, 10), (1, 0, 1))] == [0, 3, 0, 5, 1]
+
+
+def test_mix_keeps_rows_alike_in_id_text_and_source(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "s", lang, 0, 0, 0, 0, 0.5, "r", lang) for lang in ("de", "en", "fr", None)] + [(2, text, "t", "x", 1, 1, 1, 1, 0.5, "r", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, a int, b int, _shard int, _place int, "
+                                       "`k.1` double, row string, size string")
+    sizes, runs = mixing.mix(docs, block=7, shard_words=50, share=2.0)
+    out = mixing.mixed_rows(docs, runs, sizes)
+    got = out.collect()
+    assert out.columns == docs.columns and {(r["doc_id"], r["lang"], r["size"]) for r in got} == {(r[0], r[3], r[10]) for r in rows}
+    taken = {(r["doc_id"], r["lang"]): 0 for r in got}
+    for r in got:
+        assert r["text"] in text and r["k.1"] == 0.5 and r["row"] == "r"
+        taken[r["doc_id"], r["lang"]] += len(words(r["text"]))
+    assert set(taken.values()) == {80}
+
+
+def test_sets_that_share_a_value_are_told_apart(spark):
+    rows = [(1, 5, 1), (2, 5, 2), (3, 5, 1), (4, 6, 1), (5, None, None), (6, 7, 3), (7, 7, 3)]
+    out = {r["doc_id"]: r["sig"] for r in jaccard.apart(spark.createDataFrame(rows, "doc_id long, sig long, sig2 long")).collect()}
+    assert out[1] == out[3] != out[2] and out[6] == out[7] == 7 and out[4] == 6 and out[5] is None
+    one, two = jaccard._signature(np.array([1, 2, 3])), jaccard._signature(np.array([1, 2, 4]))
+    assert one == jaccard._signature(np.array([1, 2, 3])) and one[0] != two[0] and one[1] != two[1]
+
+
 def test_permutation():
     for n in (1, 2, 5, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 77, np.uint64))) == list(range(n))
