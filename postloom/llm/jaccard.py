@@ -56,7 +56,7 @@ def _bloom_keys(values: np.ndarray) -> list[np.ndarray]:
     return [((u >> np.uint64(s)) & low).astype(np.int64) for s in (0, 18, 36)]
 
 
-def _signature(own: np.ndarray) -> tuple[int, int]:
+def signature(own: np.ndarray) -> tuple[int, int]:
     """Two 64-bit values that stand for a set; the first is its class, the second tells sets apart that share the first."""
     with np.errstate(over="ignore"):
         once = mix(own.view(np.uint64))
@@ -98,7 +98,7 @@ def frequent_shingles(rows: DataFrame, text: str) -> np.ndarray:
     return np.sort(top["s"].to_numpy(np.int64))
 
 
-def _arrays(values: list[np.ndarray | None]) -> pa.Array:
+def arrays(values: list[np.ndarray | None]) -> pa.Array:
     """array<long> without a Python object per element."""
     sizes = [0 if v is None else len(v) for v in values]
     offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -112,18 +112,21 @@ def _shared_bits(rows: DataFrame, text: str, order) -> np.ndarray:
     def make():
         def work(piece: pa.RecordBatch) -> dict:
             sets = list(shingle_sets(text_bytes(piece.column(text))))
-            return {"sig": [_signature(s)[0] if len(s) else None for s in sets], "s": _arrays([order.value.prefix(s) for s in sets])}
+            return {"sig": [signature(s)[0] if len(s) else None for s in sets], "s": arrays([order.value.prefix(s) for s in sets])}
         return work
 
     lists = map_text(rows.select(text), text, "sig long, s array<long>", make).select("sig", F.explode("s").alias("s"))
-    shared = lists.groupBy("s").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("s")
+    return bit_table(lists.groupBy("s").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("s"))
 
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """The Bloom table of the 64-bit values in column s: 2^BLOOM_BITS bits, however many they are."""
     def keys(batches):
         for b in batches:
             flat = np.unique(np.concatenate(_bloom_keys(b["s"].to_numpy(np.int64))))
             yield pd.DataFrame({"k": flat})
 
-    bits = shared.mapInPandas(lean(keys), "k long").groupBy(F.bitmap_bucket_number(F.col("k") + 1).alias("bucket")).agg(
+    bits = values.mapInPandas(lean(keys), "k long").groupBy(F.bitmap_bucket_number(F.col("k") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("k") + 1)).alias("bits"))
     table = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
     for r in bits.toLocalIterator():
@@ -132,10 +135,12 @@ def _shared_bits(rows: DataFrame, text: str, order) -> np.ndarray:
     return table
 
 
-def _in_bloom(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    found = np.ones(len(values), bool)
-    for k in _bloom_keys(values):
-        found &= (table[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+def in_bloom(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    first, *rest = _bloom_keys(values)
+    found = (table[first >> 3] >> (first & 7).astype(np.uint8)) & 1 == 1
+    for k in rest:
+        at = np.flatnonzero(found)
+        found[at] = (table[k[at] >> 3] >> (k[at] & 7).astype(np.uint8)) & 1 == 1
     return found
 
 
@@ -148,17 +153,17 @@ def _searched(rows: DataFrame, keys: list[str], text: str, order, bloom) -> Data
             n, marks, sets, hits = [], [], [], []
             for own in shingle_sets(text_bytes(piece.column(text))):
                 n.append(len(own))
-                marks.append(_signature(own) if len(own) else (None, None))
+                marks.append(signature(own) if len(own) else (None, None))
                 got = None
                 if len(own):
                     prefix = order.value.prefix(own)
-                    got = prefix[_in_bloom(bloom.value, prefix)]
+                    got = prefix[in_bloom(bloom.value, prefix)]
                     if len(got) < int(extra(least_common(len(own)))):
                         got = None
                 sets.append(None if got is None else own)
                 hits.append(got)
             return {**{k: piece.column(k) for k in keys}, "n": n, "sig": [a for a, _ in marks], "sig2": [b for _, b in marks],
-                    "set": _arrays(sets), "hits": _arrays(hits)}
+                    "set": arrays(sets), "hits": arrays(hits)}
         return work
 
     return map_text(rows.select(*keys, text), text, ddl, make)
