@@ -103,8 +103,8 @@ def test_sets_that_share_a_value_are_told_apart(spark):
     rows = [(1, 5, 1), (2, 5, 2), (3, 5, 1), (4, 6, 1), (5, None, None), (6, 7, 3), (7, 7, 3)]
     out = {r["doc_id"]: r["sig"] for r in jaccard.apart(spark.createDataFrame(rows, "doc_id long, sig long, sig2 long")).collect()}
     assert out[1] == out[3] != out[2] and out[6] == out[7] == 7 and out[4] == 6 and out[5] is None
-    one, two = jaccard._signature(np.array([1, 2, 3])), jaccard._signature(np.array([1, 2, 4]))
-    assert one == jaccard._signature(np.array([1, 2, 3])) and one[0] != two[0] and one[1] != two[1]
+    one, two = jaccard.signature(np.array([1, 2, 3])), jaccard.signature(np.array([1, 2, 4]))
+    assert one == jaccard.signature(np.array([1, 2, 3])) and one[0] != two[0] and one[1] != two[1]
 
 
 def test_permutation():
@@ -436,6 +436,29 @@ def test_neighbours_of_outliers(spark, monkeypatch):
     assert all(abs(r["score"] - float((x[r["query_id"]] * x[r["vec_id"]]).sum())) < 1e-9 for r in got)
 
 
+def test_decontaminate_hot_items_copies_and_other_columns(spark):
+    """A third of all documents hold one item, many items share a passage, texts and items come several times, columns clash."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(25)]
+    said = [common + [f"i{k}x{j}" for j in range(int(rng.integers(0, 40)))] for k in range(30)]
+    said += [said[3], said[4][:6], ["two", "words"], [f"w{j}" for j in rng.integers(0, 9, 70)]]
+    texts = [[f"w{j}" for j in rng.integers(0, 9, 60)] for _ in range(40)]
+    texts += [t + said[int(rng.integers(len(said)))] for t in texts for _ in range(2)]
+    texts += [texts[1] + common + texts[2]] * 50 + [sum(said, [])] * 2 + [["two", "words"], []]
+    for t in texts[60:100]:
+        t[int(rng.integers(len(t)))] = "changed"
+    rows = [(i, " ".join(t), 0, 0, "r") for i, t in enumerate(texts)] + [(7, None, 0, 0, "r"), (7, None, 0, 0, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int, h1 int, row string").repartition(5)
+    items = spark.createDataFrame([(k, " ".join(w), 0) for k, w in enumerate(said)], "item_id long, text string, n int")
+    sets = {k: shingles(" ".join(w)) for k, w in enumerate(said)}
+    want = sorted((i, k, len(own), len(own & shingles(t))) for i, t, *_ in rows for k, own in sets.items() if 100 * len(own & shingles(t)) >= 80 * len(own))
+    got = decontaminate.contained_items(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_item"], r["shared"]) for r in got) == want and len(want) > 100
+    clean, dirty_ids = decontaminate.decontaminated(docs, items), {(i, t) for i, t, *_ in rows if any(100 * len(o & shingles(t)) >= 80 * len(o) for o in sets.values())}
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(str(r) for r in docs.collect() if (r["doc_id"], r["text"]) not in dirty_ids)
+    assert decontaminate.decontaminated(docs, items.limit(0)).count() == len(rows) and decontaminate.decontaminated(docs.limit(0), items).count() == 0
+
+
 def test_decontaminate_short_items_with_other_blanks(spark):
     said = ["a b c d e", "k　l　m　n　o p", "a\x1cb\x1dc\x1ed\x1fe f", "x\u0085y\u0085z\u0085v\u0085w u"]
     items = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
