@@ -47,6 +47,16 @@ def distinct_count(df: DataFrame, *columns: str, approximate: bool = False) -> D
     return df.agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
+def distinct_sketches(df: DataFrame, by: list[str], column: str, *, lg: int = 12) -> DataFrame:
+    """`by`, sketch: a HyperLogLog sketch of 2^lg cells per group, to be stored. A new period is a new row: nothing is read again."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(column, lg).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: list[str] = (), n: str = "n_about") -> DataFrame:
+    """Distinct values of all sketches of a group; with 2^12 cells the standard error is under 2 %."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(n))
+
+
 def composite_counts(df: DataFrame, left: str, right: str, *, top: int | None = None) -> DataFrame:
     """Frequency of `left + ' ' + right`; a null on either side leaves the row out."""
     return value_counts(df.select(F.concat(F.col(left), F.lit(" "), F.col(right)).alias("value")), "value", top=top)

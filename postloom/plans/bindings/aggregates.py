@@ -13,6 +13,7 @@ from postloom.plans.bindings.common import (
     PART_TYPES, POSTING_SQL, SKILL_ROWS_SQL, STATUSES, TYPED_SKILL_ROWS_SQL, extractions, first_match_sql, lit_sql, query,
     skill_rows, table, typed_skill_rows)
 from postloom.plans.bindings.rules import PRIORITIES
+from postloom.session import scratch_path
 
 
 @query("a01_value_counts", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
@@ -32,6 +33,20 @@ def distinct_count(spark, sf):
     return counts.distinct_count(table(spark, sf, "orders"), "o_custkey", "o_orderpriority")
 
 
+@query("a03_distinct_sketches", """
+SELECT year(o_orderdate)::INT AS year, count(DISTINCT o_custkey) AS n_exact, true AS within FROM orders GROUP BY 1""")
+def distinct_sketches(spark, sf):
+    # Sketches per month are stored in two runs, as months come; years are merged from them and held against the exact counts at 6 %.
+    months = table(spark, sf, "orders").withColumns({"year": F.year("o_orderdate"), "month": F.month("o_orderdate")})
+    path = scratch_path(spark, "sketches")
+    for part in (F.col("month") <= 6, F.col("month") > 6):
+        counts.distinct_sketches(months.filter(part), ["year", "month"], "o_custkey").write.mode("append").parquet(path)
+    about = counts.merged_distinct(spark.read.parquet(path), ["year"])
+    exact = months.groupBy("year").agg(F.countDistinct("o_custkey").alias("n_exact"))
+    off = F.abs(F.col("n_about") - F.col("n_exact"))
+    return exact.join(about, "year").select("year", "n_exact", (off <= 0.06 * F.col("n_exact")).alias("within"))
+
+
 @query("a04_composite_counts", "SELECT p_name || ' ' || p_brand AS value, count(*) AS n FROM part GROUP BY 1")
 def composite_counts(spark, sf):
     return counts.composite_counts(table(spark, sf, "part"), "p_name", "p_brand")

@@ -72,3 +72,13 @@ SELECT e.page, n_found, coalesce(n_new, 0) AS n_new, (sum(coalesce(n_new, 0)) OV
 FROM (SELECT ts::DATE AS page, count(*) AS n_found FROM events GROUP BY 1) e LEFT JOIN n ON e.page = n.page""")
 def page_growth(spark, sf):
     return I.running_new(I.page_growth(table(spark, sf, "events"), F.col("ts").cast("date"), "user_id"))
+
+
+@query("st04_page_growth_stream", """
+WITH f AS (SELECT user_id, min(ts::DATE) AS page FROM events GROUP BY 1), n AS (SELECT page, count(*) AS n_new FROM f GROUP BY 1)
+SELECT e.page, n_found, coalesce(n_new, 0)::BIGINT AS n_new
+FROM (SELECT ts::DATE AS page, count(*) AS n_found FROM events GROUP BY 1) e LEFT JOIN n ON e.page = n.page""")
+def page_growth_stream(spark, sf):
+    out = scratch_path(spark, "growth")
+    grow = lambda df: I.page_growth_stream(df, F.col("ts").cast("date"), "user_id", "ts", horizon_days=60)
+    return I.summed_growth(_drain(spark, I.incremental(_stream(spark, sf, "events"), grow, out, scratch_path(spark, "state")), out))

@@ -100,6 +100,48 @@ def page_growth(df: DataFrame, page: Column, link: str) -> DataFrame:
     return found.join(new, "page", "left").select("page", "n_found", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
 
+def page_growth_stream(source: DataFrame, page: Column, link: str, event_time: str, *, horizon_days: int) -> DataFrame:
+    """`page_growth` of a stream whose pages come in order: parts (page, n_found, n_new), to be added up per page (`summed_growth`).
+
+    A link is new on the first page that names it; of several in one batch, on the smallest. Links not met for `horizon_days` of event
+    time are forgotten, so the state is bounded; rows later than that play no part. Null links or pages count nowhere. Rows are added up per
+    Arrow batch before the shuffle, so a link found very often stays small.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    rows = source.select(page.alias("page"), F.col(link).alias("link"), F.col(event_time).cast("timestamp").alias("at")).dropna()
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page", "link")}
+    wait = horizon_days * 86_400_000
+
+    def partial(batches):
+        for b in batches:
+            yield b.groupby(["page", "link"], as_index=False).agg(at=("at", "max"), n=("at", "size"))
+
+    def grow(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found, last = {}, state.getCurrentWatermarkMs()
+        for b in batches:
+            for at, n, ms in zip(b["page"], b["n"], b["ms"]):
+                found[at], last = found.get(at, 0) + int(n), max(last, int(ms))
+        first = None if state.exists else min(found)
+        state.update((True,))
+        state.setTimeoutTimestamp(last + wait)
+        yield pd.DataFrame({"page": list(found), "n_found": list(found.values()), "n_new": [int(at == first) for at in found]})
+
+    parts = rows.mapInPandas(partial, f"page {kinds['page']}, link {kinds['link']}, at timestamp, n long")
+    timed = parts.withWatermark("at", f"{horizon_days} days").withColumn("ms", F.unix_millis("at"))
+    return timed.groupBy("link").applyInPandasWithState(
+        grow, f"page {kinds['page']}, n_found long, n_new long", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def summed_growth(parts: DataFrame) -> DataFrame:
+    """What `page_growth_stream` wrote, added up per page."""
+    return parts.groupBy("page").agg(F.sum("n_found").alias("n_found"), F.sum("n_new").alias("n_new"))
+
+
 def running_new(growth: DataFrame) -> DataFrame:
     """Unique links so far after each page: sums within range partitions, then the totals of the partitions before."""
     ordered = growth.repartitionByRange("page").withColumn("_part", F.spark_partition_id())

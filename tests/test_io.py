@@ -172,6 +172,31 @@ def test_page_growth(spark):
     assert got == [(1, 2, 2, 2), (2, 2, 1, 3), (3, 1, 0, 3)]
 
 
+def test_page_growth_of_a_stream_equals_the_batch(spark, tmp_path):
+    """Three drops in the order of their pages, a restart for each; a link in a third of all rows, null links and pages."""
+    drops = [[(day, "hot" if i % 3 == 0 else f"l{(i * 7 + day) % (20 * day)}", f"2024-01-{day:02} 0{i % 9}:00:00") for i in range(200)
+              for day in (2 * d + 1, 2 * d + 2)] + [(None, "x", "2024-01-01 00:00:00"), (1, None, "2024-01-01 00:00:00")] for d in range(3)]
+    schema, source = "page int, link string, ts string", str(tmp_path / "in")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for rows in drops:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        I.incremental(stream, lambda df: I.page_growth_stream(df, F.col("page"), "link", "ts", horizon_days=30), out, state).awaitTermination()
+    everything = spark.createDataFrame(sum(drops, []), schema).dropna()
+    want = {tuple(r) for r in I.page_growth(everything, F.col("page"), "link").collect()}
+    assert {tuple(r) for r in I.summed_growth(spark.read.parquet(out)).collect()} == want and len(want) == 6
+
+
+def test_sketches_of_months_merge_to_those_of_all(spark):
+    from postloom.operators import counts
+
+    df = spark.range(60_000).selectExpr("id % 12 as month", "if(id % 3 = 0, 7, id % 9000) as user")
+    stored = counts.distinct_sketches(df, ["month"], "user")
+    whole = counts.merged_distinct(counts.distinct_sketches(df, [], "user")).first()["n_about"]
+    merged, exact = counts.merged_distinct(stored).first()["n_about"], df.selectExpr("count(distinct user)").first()[0]
+    assert abs(merged - exact) <= 0.06 * exact and abs(whole - exact) <= 0.06 * exact and stored.count() == 12
+
+
 def test_shared_folder_comes_from_the_session(spark):
     from postloom.session import scratch_path
 
