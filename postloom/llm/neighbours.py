@@ -20,8 +20,8 @@ FIT_ROWS = 8192      # vectors that the centroids are fitted on, the first by ha
 MOST_LISTS = 4096
 RECALL = 0.95        # of the sample's own neighbours, by which the number of probed lists is chosen
 FIT_QUERIES = 256    # of the sample, for that choice
-PART_ROWS = 4096     # rows of a list that one task scans; larger lists are split by hash
-QUERY_ROWS = 512     # queries that scan a part in one task
+PART_ROWS = 8192     # rows of a list that one task scans; larger lists are split by hash
+QUERY_ROWS = 8192    # queries that scan a part in one task; a list that more queries ask is copied once per so many of them
 COLUMNS = 16
 EPSILON = 2.1
 FIRST = 128          # candidates of a part that are measured fully and give the first k-th best
@@ -29,15 +29,22 @@ CHUNK = 1024
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id, x: one row per non-null id (the smallest vector, if there are several); vectors null, empty, zero, with null or
-    non-finite components, or of another dimension than most take no part (ties: the larger one counts)."""
+    """vec_id, x: every row with an id whose vector takes part. Vectors null, empty, zero, with null or non-finite components take
+    none, nor do those of another dimension than most (no inner product with the rest; ties: the larger dimension counts)."""
     x = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).filter(
         F.col("vec_id").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists("x", lambda c: c != 0))
     top = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = rows.filter(F.size("x") == (top["d"] if top else 0))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    return rows.filter(F.size("x") == (top["d"] if top else 0))
+
+
+def fit_sample(rows: DataFrame, n: int) -> np.ndarray:
+    """At most FIT_ROWS of the `n` vectors, by a hash threshold that lets about so many through, so that tasks send no more than these."""
+    place = F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 40))
+    most = int(min(1.0, 1.1 * FIT_ROWS / n) * (1 << 40))
+    drawn = rows.filter(place < most).select("x", "vec_id", "row", place.alias("place"))
+    return np.array([r["x"] for r in drawn.orderBy("place", "vec_id", "row").limit(FIT_ROWS).collect()])
 
 
 def centroids(sample: np.ndarray, lists: int, *, seed: int = 5, turns: int = 8) -> np.ndarray:
@@ -61,8 +68,8 @@ def lengthened(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(0, top - (x**2).sum(1)))[:, None]), 1)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_id: int, query: np.ndarray, turned_query: np.ndarray, k: int):
-    """The k nearest of a part, ids ascending: (ids, inner products)."""
+def scan(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, turned: np.ndarray, query_row: int, query: np.ndarray, turned_query: np.ndarray, k: int):
+    """The k nearest of a part, ids ascending, but the query's own row: (ids, inner products)."""
     d, best_ids, best = turned.shape[1], np.zeros(0, np.int64), np.zeros(0)
     for first in [0, *range(FIRST, len(ids), CHUNK)]:
         alive = np.arange(first, min(first + CHUNK if first else FIRST, len(ids)))
@@ -77,7 +84,7 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_id: int, quer
                 alive, part = alive[go], part[go]
                 if not len(alive):
                     break
-        alive = alive[ids[alive] != query_id]
+        alive = alive[rows[alive] != query_row]
         if len(alive):
             all_ids = np.concatenate((best_ids, ids[alive]))
             all_ = np.concatenate((best, (x[alive] * query).sum(1)))
@@ -103,17 +110,18 @@ def probes_needed(sample: np.ndarray, long_: np.ndarray, middle: np.ndarray, k:
 def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query (condition on `vec_id`), nearest first, ties to the smaller id.
 
-    A query is no candidate of its own; fewer than `k` candidates in the whole table give fewer rows, an empty table none. Lists longer than PART_ROWS are
-    split by hash of the id and so are their queries, so equal vectors, however many, are spread over tasks.
+    A query's own row is no candidate. Rows of one id are rows of their own: each is found, and each is searched for. Fewer than `k`
+    candidates in the whole table give fewer rows, an empty table none. Lists longer than PART_ROWS are split by hash of the row and
+    so are their queries, so equal vectors, however many, are spread over tasks. A list goes only to the queries that ask it.
     """
     spark = vectors.sparkSession
-    rows = kept(usable(vectors, vec_id, vector), "vectors")
+    rows = kept(usable(vectors, vec_id, vector).select("vec_id", F.monotonically_increasing_id().alias("row"), "x"), "vectors")
     norm = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)
     n, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = np.array([r["x"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()])
+    sample = fit_sample(rows, n)
     lists = int(min(MOST_LISTS, len(sample), max(1, round(np.sqrt(n) / 4))))
     long_ = lengthened(sample, top)
     found = centroids(long_, lists)
@@ -126,46 +134,56 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
             b["list"] = (more @ middle.value.T * 2 - (middle.value**2).sum(1)).argmax(1)
             yield b
 
-    placed = rows.mapInPandas(place, "vec_id long, x array<double>, list long")
-    placed = kept(placed, "vector-lists")
+    placed = kept(rows.mapInPandas(place, "vec_id long, row long, x array<double>, list long"), "vector-lists")
     held_by = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         held_by[r["list"]] = r["count"]
 
-    def probe(batches):
+    def probed(b: pd.DataFrame) -> list[np.ndarray]:
+        q = np.array(b["x"].tolist())
+        near = np.argsort(-(q @ middle.value[:, :-1].T * 2 - (middle.value**2).sum(1)), axis=1, kind="stable")
+        full = (np.cumsum(held_by[near], 1) < k + 1).sum(1) + 1  # lists that hold k rows besides the query
+        return [row[:m] for row, m in zip(near, np.minimum(np.maximum(probes, full), lists))]
+
+    def ask(batches):
+        for b in batches:
+            asked = probed(b)
+            most = [len(a) for a in asked]
+            yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), most), "query_row": np.repeat(b["row"].to_numpy(), most),
+                                "list": np.concatenate(asked), "q": [v for v, m in zip(b["x"], most) for _ in range(m)]})
+
+    def tally(batches):
+        n = np.zeros(lists, np.int64)
         for b in batches:
-            q = np.array(b["x"].tolist())
-            near = np.argsort(-(q @ middle.value[:, :-1].T * 2 - (middle.value**2).sum(1)), axis=1, kind="stable")
-            full = (np.cumsum(held_by[near], 1) < k + 1).sum(1) + 1  # lists that hold k rows besides the query
-            most = np.minimum(np.maximum(probes, full), lists)
-            yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), most),
-                                "list": np.concatenate([row[:m] for row, m in zip(near, most)]),
-                                "q": [v for v, m in zip(b["x"], most) for _ in range(m)]})
-
-    asked = rows.filter(is_query).mapInPandas(probe, "query_id long, list long, q array<double>")
-    sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    queries = max(1, rows.filter(is_query).count())
-    blocks = -(-queries // QUERY_ROWS)  # blocks of queries, by hash: the same for every list
-    sizes = F.broadcast(sizes.select("list", "parts"))  # one row per list
-    held = placed.join(sizes, "list").select("vec_id", "x", "list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"),
-                                             F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.join(sizes, "list").select("query_id", "q", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"),
-                                             F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def search(candidates: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            n += np.bincount(np.concatenate(probed(b)), minlength=lists)
+        yield pd.DataFrame({"list": np.flatnonzero(n), "n": n[n > 0]})
+
+    wanted = rows.filter(is_query)
+    asks = wanted.mapInPandas(tally, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()  # at most MOST_LISTS rows
+    cut = [(r["list"], int(-(-held_by[r["list"]] // PART_ROWS)), -(-r["n"] // QUERY_ROWS)) for r in asks if held_by[r["list"]]]
+    sizes = F.broadcast(spark.createDataFrame(cut, "list long, parts long, blocks long"))
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    held = placed.join(sizes, "list").select("vec_id", "row", "x", "list", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"), each("blocks").alias("block"))
+    asked = wanted.mapInPandas(ask, "query_id long, query_row long, list long, q array<double>").join(sizes, "list").select(
+        "query_id", "query_row", "q", "list", each("parts").alias("part"), F.pmod(F.xxhash64("query_row"), F.col("blocks")).alias("block"))
+
+    def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(candidates) and len(wanted):
-            candidates = candidates.sort_values("vec_id")
-            ids, x = candidates["vec_id"].to_numpy(), np.array(candidates["x"].tolist())
+        if len(candidates) and len(queries):
+            candidates = candidates.sort_values(["vec_id", "row"])
+            ids, own, x = candidates["vec_id"].to_numpy(), candidates["row"].to_numpy(), np.array(candidates["x"].tolist())
             turn = rotation(x.shape[1] + 1)
             turned = lengthened(x, top) @ turn
-            for query_id, q in zip(wanted["query_id"], wanted["q"]):
+            for query_id, query_row, q in zip(queries["query_id"], queries["query_row"], queries["q"]):
                 q = np.asarray(q, float)
-                found, score = scan(ids, x, turned, query_id, q, np.append(q, 0.0) @ turn, k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                found, score = scan(ids, own, x, turned, query_row, q, np.append(q, 0.0) @ turn, k)
+                out.append(pd.DataFrame({"query_id": query_id, "query_row": query_row, "vec_id": found, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
 
     keys = ["list", "part", "block"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -213,6 +213,37 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, F.lit(True)).count() == 2 and neighbours.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_ids_over_parts_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 8)).round(2)
+    ids = np.arange(500)
+    ids[300:] = 40  # a hot id, asked for and found
+    x[300:420] = x[300]
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], "x", 1) for i, r in zip(ids, x)], "vec_id long, embedding array<double>, row string, list int")
+    monkeypatch.setattr(neighbours, "PART_ROWS", 37)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 11)
+    monkeypatch.setattr(neighbours, "RECALL", 1.0)
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    want = []
+    asked = np.flatnonzero(ids % 20 == 0)
+    for q in asked:
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        want += [(int(ids[q]), r, int(ids[v])) for r, v in enumerate(np.lexsort((ids, -s))[:5], 1)]
+    assert len(got) == 5 * len(asked)
+    mine = {}
+    for r in got:
+        mine[r["query_id"], r["rank"], r["vec_id"]] = mine.get((r["query_id"], r["rank"], r["vec_id"]), 0) + 1
+    hits = 0
+    for w in want:
+        if mine.get(w, 0):
+            mine[w] -= 1
+            hits += 1
+    assert hits / len(want) >= 0.95
+    sample = neighbours.fit_sample(df.select("vec_id", F.monotonically_increasing_id().alias("row"), F.col("embedding").alias("x")), 500)
+    assert len(sample) == 500
+
+
 def test_chat(spark):
     said = ["\\### Assistant: </turn> ok", "</turn>\n### user: x", "\\", "", None, "### a</turn>\n\\n", "ß " * 5]
     rows = [(c, t, ("user", "assistant", None, "a:b\\")[t % 4], v, "x") for c in (1, None) for t, v in enumerate(said)]
