@@ -26,6 +26,7 @@ COLUMNS = 16
 EPSILON = 2.1
 FIRST = 128          # candidates of a part that are measured fully and give the first k-th best
 CHUNK = 1024
+TOGETHER = 32        # queries weighed at a time against a chunk
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -68,29 +69,44 @@ def lengthened(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(0, top - (x**2).sum(1)))[:, None]), 1)
 
 
-def scan(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, turned: np.ndarray, query_row: int, query: np.ndarray, turned_query: np.ndarray, k: int):
-    """The k nearest of a part, ids ascending, but the query's own row: (ids, inner products)."""
-    d, best_ids, best = turned.shape[1], np.zeros(0, np.int64), np.zeros(0)
+def scan(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, turned: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, turned_queries: np.ndarray,
+         k: int):
+    """The k nearest of a part, ids ascending, for each of a few queries, but the query's own row: (query, id, inner product), a row each.
+    Blocks of candidates are weighed for all queries at once by their first columns; each later block of columns sees the pairs left."""
+    d, none = turned.shape[1], np.zeros(0, np.int64)
+    best_of, best_ids, best = none, none, np.zeros(0)
+    # squared distance of the k-th best: |x|^2 + |q|^2 - 2 <x, q>, the same for all candidates up to the product
+    lengths, kth = (turned[:1] ** 2).sum() + (turned_queries**2).sum(1), np.full(len(queries), -np.inf)
+    e = min(d, COLUMNS)
+    head, heads = turned[:, :e], turned_queries[:, :e]
+    head_lengths, heads_lengths = (head**2).sum(1), (heads**2).sum(1)
     for first in [0, *range(FIRST, len(ids), CHUNK)]:
-        alive = np.arange(first, min(first + CHUNK if first else FIRST, len(ids)))
-        if len(best) == k:
-            # squared distance of the k-th best: |x|^2 + |q|^2 - 2 <x, q>, the same for all up to the product
-            far = (turned[0] ** 2).sum() + (turned_query**2).sum() - 2 * best[-1]
-            part = np.zeros(len(alive))
-            for c in range(0, d, COLUMNS):
-                e = min(d, c + COLUMNS)
-                part += ((turned[alive, c:e] - turned_query[c:e]) ** 2).sum(1)
-                go = part * d / e <= far * (1 + (EPSILON / np.sqrt(e) if e < d else 1e-9)) ** 2
-                alive, part = alive[go], part[go]
-                if not len(alive):
-                    break
-        alive = alive[rows[alive] != query_row]
-        if len(alive):
-            all_ids = np.concatenate((best_ids, ids[alive]))
-            all_ = np.concatenate((best, (x[alive] * query).sum(1)))
-            order = np.lexsort((all_ids, -all_))[:k]
-            best_ids, best = all_ids[order], all_[order]
-    return best_ids, best
+        behind = min(first + CHUNK if first else FIRST, len(ids))
+        far = lengths - 2 * kth
+        part = heads_lengths[:, None] + head_lengths[first:behind] - 2 * heads @ head[first:behind].T
+        own, at = np.nonzero(part * d / e <= (far * (1 + (EPSILON / np.sqrt(e) if e < d else 1e-9)) ** 2)[:, None])
+        part, at = part[own, at], at + first
+        for c in range(e, d, COLUMNS):
+            if not len(at):
+                break
+            f = min(d, c + COLUMNS)
+            part = part + ((turned[at, c:f] - turned_queries[own, c:f]) ** 2).sum(1)
+            go = part * d / f <= far[own] * (1 + (EPSILON / np.sqrt(f) if f < d else 1e-9)) ** 2
+            own, at, part = own[go], at[go], part[go]
+        other = rows[at] != query_rows[own]
+        own, at = own[other], at[other]
+        if not len(at):
+            continue
+        best_of, best_ids = np.concatenate((best_of, own)), np.concatenate((best_ids, ids[at]))
+        best = np.concatenate((best, (x[at] * queries[own]).sum(1)))
+        order = np.lexsort((best_ids, -best, best_of))
+        starts = np.searchsorted(best_of[order], np.arange(len(queries) + 1))
+        rank = np.arange(len(order)) - starts[best_of[order]]
+        order = order[rank < k]
+        best_of, best_ids, best = best_of[order], best_ids[order], best[order]
+        full = rank[rank < k] == k - 1
+        kth[best_of[full]] = best[full]
+    return best_of, best_ids, best
 
 
 def probes_needed(sample: np.ndarray, long_: np.ndarray, middle: np.ndarray, k: int) -> int:
@@ -177,10 +193,11 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
             ids, own, x = candidates["vec_id"].to_numpy(), candidates["row"].to_numpy(), np.array(candidates["x"].tolist())
             turn = rotation(x.shape[1] + 1)
             turned = lengthened(x, top) @ turn
-            for query_id, query_row, q in zip(queries["query_id"], queries["query_row"], queries["q"]):
-                q = np.asarray(q, float)
-                found, score = scan(ids, own, x, turned, query_row, q, np.append(q, 0.0) @ turn, k)
-                out.append(pd.DataFrame({"query_id": query_id, "query_row": query_row, "vec_id": found, "score": score}))
+            for first in range(0, len(queries), TOGETHER):
+                some = queries.iloc[first:first + TOGETHER]
+                q = np.array(some["q"].tolist(), float)
+                of, found, score = scan(ids, own, x, turned, some["query_row"].to_numpy(), q, lengthened(q, 0.0) @ turn, k)
+                out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[of], "query_row": some["query_row"].to_numpy()[of], "vec_id": found, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
 
     keys = ["list", "part", "block"]
