@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postloom.functions import tables
 from postloom.functions.access import row_count
 from postloom import vocab
 from postloom.functions.predicates import matches
@@ -162,6 +163,22 @@ def word_frequency(spark, sf):
     return counts.word_frequency(table(spark, sf, "documents"), "text", stop_words=vocab.USE_CASE_STOP_WORDS)
 
 
+@query("a14_word_table", """
+SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents) WHERE length(word) > 3 GROUP BY ALL""")
+def word_table(spark, sf):
+    return tables.words_by(table(spark, sf, "documents"), "text", "lang")
+
+
+@query("a14_word_table_sql", f"""
+SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents)
+WHERE length(word) > 3 AND word NOT IN ({_STOP}) GROUP BY 1 ORDER BY n DESC, word LIMIT 30""")
+def word_table_sql(spark, sf):
+    tables.register(spark)
+    return spark.sql(f"""
+SELECT word, sum(n) AS n FROM tokenize(TABLE(SELECT pmod(xxhash64(doc_id), 64) AS part, text FROM {{docs}}) PARTITION BY part, text => 'text',
+  keep => 'part', longer_than => 3) WHERE word NOT IN ({_STOP}) GROUP BY word ORDER BY n DESC, word LIMIT 30""", docs=table(spark, sf, "documents"))
+
+
 @query("a15_group_items", """
 WITH p AS (SELECT p_brand, p_name, count(*) AS c FROM part GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS rn FROM p)

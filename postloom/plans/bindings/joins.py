@@ -6,6 +6,8 @@ from postloom import vocab
 from postloom.functions.text import contains_any, url_tail_id
 from postloom.operators import cooccur, counts, joins, keywords
 from postloom.plans.bindings.common import DOC_TAXONOMY, SKILL_ROWS_SQL, any_sql, lit_sql, query, skill_rows, table
+from postloom.session import scratch_path
+from postloom.sources.staging import KeyIndex
 
 
 @query("j01_pending_urls", r"""
@@ -17,6 +19,16 @@ def pending_urls(spark, sf):
     return joins.pending(queue, done, "job_id")
 
 
+@query("j01_pending_by_index", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IS NULL OR l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25 OR p_brand LIKE '%3')""")
+def pending_by_index(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_brand")
+    index = KeyIndex(spark, scratch_path(spark, "done"), "l_partkey", dict(part.dtypes)["l_partkey"], buckets=8)
+    index.add(part.filter(F.col("p_size") <= 25))
+    index.add(part.filter(F.col("p_brand").endswith("3")))  # a later run: some of its keys are held already
+    return index.pending(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+
+
 @query("j02_pending_outputs", """
 SELECT doc_id || '.yaml' AS file_name, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def pending_outputs(spark, sf):

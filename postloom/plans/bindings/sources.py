@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom import schemas
 from postloom.plans.bindings.common import query, table
 from postloom.session import scratch_path
-from postloom.sources import readers, writers, yaml_source
+from postloom.sources import readers, staging, writers, yaml_source
 
 
 @query("s01_read_structured", """
@@ -180,3 +180,16 @@ def write_missing_only(spark, sf):
     writers.write_missing_only(documents.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("run", F.lit("first")), path, "doc_id")
     tally = writers.write_missing_only(documents.withColumn("run", F.lit("second")), path, "doc_id")
     return spark.read.parquet(path).unionByName(tally.select(F.lit(-1).cast("long").alias("doc_id"), F.col("status").alias("source"), F.col("n").cast("string").alias("run")))
+
+
+@query("s10_staged_quarter", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS posted_month, o_orderstatus, quarter(o_orderdate)::INTEGER AS quarter,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority || ' of ' || o_custkey END AS description
+FROM orders WHERE quarter(o_orderdate) = 4""")
+def staged_quarter(spark, sf):
+    described = F.when(F.col("o_orderstatus") != "P", F.concat("o_orderpriority", F.lit(" of "), F.col("o_custkey").cast("string")))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", described.alias("description"))
+    staged = staging.write_staged(orders, scratch_path(spark, "staged"), key="o_orderkey", posted="o_orderdate", long="description")
+    calendar = staged.rows().select("posted_month").distinct().withColumn("quarter", F.ceil(F.substring("posted_month", 6, 2).cast("int") / 3).cast("int"))
+    rows = staged.of_periods(calendar.filter(F.col("quarter") == 4))
+    return staged.with_texts(rows).select("o_orderkey", "posted_month", "o_orderstatus", "quarter", "description")

@@ -74,20 +74,21 @@ def listing_header(df: DataFrame, label: str) -> DataFrame:
 def write_missing_only(df: DataFrame, path: str, key: str) -> DataFrame:
     """Append the rows whose key the target does not hold yet; returns the tally per status.
 
-    The decision is stored first (shared scratch table), so a retried or repeated run neither
-    writes a row twice nor changes its report.
+    What is decided and stored first are the keys and their numbers of rows (shared scratch table), so a retried or repeated run
+    neither writes a row twice nor changes its report, and the rows themselves are computed once. A null key is never held.
     """
     from postloom.session import checkpointed
 
     spark = df.sparkSession
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     if exists:
         done = spark.read.schema(T.StructType([df.schema[key]])).parquet(path).withColumn("_done", F.lit(True)).distinct()
-        marked = df.join(done, key, "left").withColumn(
-            "status", F.when(F.col("_done"), "skipped").otherwise("written")).drop("_done")
+        keys = keys.join(done, key, "left").select(key, "n", F.when(F.col("_done"), "skipped").otherwise("written").alias("status"))
     else:
-        marked = df.withColumn("status", F.lit("written"))
-    marked = checkpointed(marked)
-    marked.filter(F.col("status") == "written").drop("status").write.mode("append").parquet(path)
-    return marked.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+        keys = keys.withColumn("status", F.lit("written"))
+    keys = checkpointed(keys)
+    rows = df.join(keys.filter(F.col("status") == "skipped").select(key), key, "left_anti") if exists else df
+    rows.write.mode("append").parquet(path)
+    return keys.groupBy("status").agg(F.sum("n").alias("n"))
