@@ -515,3 +515,27 @@ def test_pii_with_blanks(spark):
     assert [len(found[i]["spans"]) for i in range(30)] == [1] * 30
     assert pii.occurrences("x1 2a (12) 34", []) == [] and [o["token"] for o in pii.occurrences("in (0171 234 5678)", [])] == ["0171 234 5678"]
     assert len(pii.occurrences("1234 " * 50_000, [])) > 0
+
+
+def test_licenses_titles_short_forms_and_unknown_families(notices):
+    cases = {"SPDX-License-Identifier: MIT": {"MIT"}, "// SPDX-License-Identifier: GPL-2.0-only": {"GPL-2.0"}, "# SPDX-License-Identifier: Apache-2.0 #": {"Apache-2.0"},
+             "Apache License\nVersion 2.0, January 2004": {"Apache-2.0"}, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": {"GPL-3.0"},
+             "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": {"LGPL"}, "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": {"AGPL-3.0"},
+             "The MIT License (MIT)": {"MIT"}, "Distributed under the GNU GPL v3": {"GPL-3.0"}, "Eclipse Public License 2.0": {"EPL-2.0"},
+             "In no event will the authors be held liable for any damages\narising from the use of this software.": {"Zlib"},
+             "This data is licensed under the Open Wombat Charter, edition 7": {"unknown"}, "Released under the terms of the Foo Sharing Pact": {"unknown"},
+             "under the terms of the treaty the border is open": set(), "she has a driving license and the version of the story is public": set(),
+             "the software is released in may and the authors claim it is fast": set(), "": set()}
+    got = [{f for _, f in x} for x in notices(list(cases))]
+    assert dict(zip(cases, got)) == cases
+    assert [{f for _, f in x} for x in notices([f"some words go on here and there\n\n{c}\n\nand end so" for c in cases])] == list(cases.values())
+
+
+def test_license_rows_of_repeats_and_empty_tables(spark):
+    from pyspark.sql import Row
+
+    docs = spark.createDataFrame([(i, t, "x") for i, t in [(1, "Released under the MIT License")] * 3 + [(2, None), (3, "")]], "doc_id long, text string, family string")
+    model = licenses.fit(docs)
+    got = licenses.scan_licenses(docs, model).collect()
+    assert len(got) == 3 and len(set(got)) == 1 and isinstance(got[0], Row) and got[0]["family"] == "MIT"
+    assert licenses.scan_licenses(docs.limit(0), licenses.fit(docs.limit(0))).count() == 0
