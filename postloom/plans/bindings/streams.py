@@ -9,7 +9,8 @@ from postloom.streaming import incremental as I
 
 
 def _stream(spark, sf, name):
-    return I.stream_files(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
+    # A pattern, since a stream's path may not name a single file: it finds the table as one file and as a folder of files.
+    return I.stream_files(spark, f"{sf}/{{{name}}}.parquet", table(spark, sf, name).schema)
 
 
 def _drain(spark, started, path):
