@@ -126,7 +126,8 @@ def extract_with(df: DataFrame, extractor: Extractor, *, out: str = "payload", a
 def rule_extraction(title: Column | str, text: Column | str) -> Column:
     """The built-in extractor: the title class and the taxonomy hits as flat-extraction JSON. Stays in the JVM."""
     kinds = F.create_map(*[F.lit(x) for x in ("ai_first", "ai-first", "ai_support", "ai-support", "other", "unknown")])
-    lines = F.filter(F.transform(F.split(as_col(text), "\n"), F.trim), lambda x: F.length(x) > 0)
+    # a lambda of one argument: with F.trim itself the line's number would be the characters to trim
+    lines = F.filter(F.transform(F.split(as_col(text), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     skills = let([F.lower(as_col(text))], lambda low: F.array_compact(F.array(*[
         F.when(F.contains(low, F.lit(term.lower())), F.struct(F.lit(term).alias("name"), F.lit(category).alias("category")))
         for category, terms in vocab.COMPARED_SKILLS.items() for term in terms])))

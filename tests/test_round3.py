@@ -4,6 +4,7 @@ import importlib.util
 import os
 
 import __spark_entry__ as entry
+from postloom.operators import validate
 
 spec = importlib.util.spec_from_file_location("oracle", os.path.join(os.path.dirname(__file__), "oracle.py"))
 oracle = importlib.util.module_from_spec(spec)
@@ -42,3 +43,10 @@ def test_markdown_digest_of_cut_references(spark):
 
 def test_bare_title_shows_references_as_its_sql(spark):
     pages_against_sql(spark, "x05_posting_from_bare_page", ["<h1> token = &quot;1&quot; &amp; &amp;lt; &#x27; </h1>", "<h1>a &amp</h1>"])
+
+
+def test_rule_extraction_keeps_digits_at_the_ends_of_lines(spark):
+    text = "\n".join([" 0 zero 0", "1 one 11 ", "2 two 2", "   "] + [f"{i} x {i}" for i in range(4, 12)])
+    rows = spark.createDataFrame([("t", text)], "title string, text string").select(validate.rule_extraction("title", "text").alias("payload"))
+    got = validate.coerce_and_validate(rows, "payload").first().responsibilities
+    assert got == [line.strip(" ") for line in text.split("\n") if line.strip(" ")]
