@@ -50,3 +50,26 @@ def test_rule_extraction_keeps_digits_at_the_ends_of_lines(spark):
     rows = spark.createDataFrame([("t", text)], "title string, text string").select(validate.rule_extraction("title", "text").alias("payload"))
     got = validate.coerce_and_validate(rows, "payload").first().responsibilities
     assert got == [line.strip(" ") for line in text.split("\n") if line.strip(" ")]
+
+
+def test_keyword_table_of_many_keywords_stays_a_table(spark):
+    """One scan of the texts, whatever the size of the table, and the same rows as counted one by one."""
+    import random
+    import re
+
+    from postloom.operators import keywords
+
+    rnd = random.Random(7)
+    letters = "ab_é😀 İ"
+    words = sorted({"".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 3, 5, 9, 70]))) for _ in range(300)})
+    texts = ["".join(rnd.choice(letters) if rnd.random() < 0.9 else rnd.choice(words) for _ in range(rnd.choice([0, 1, 40, 300]))) for _ in range(60)] + [None]
+    left = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "i int, g int, t string")
+    right = spark.createDataFrame([(w,) for w in words + words[:20]] + [("",), (None,)], "k string")
+    for whole in (False, True):
+        joined = keywords.keyword_table_join(left, "t", right, "k", ["i", "g"], lower=False, whole_words=whole, block_bytes=64)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Union" not in plan
+        edge = lambda w: (r"(?<!\w)" + re.escape(w) + r"(?!\w)") if whole else re.escape(w)
+        want = {(i, w): n for i, t in enumerate(texts) if t for w in words if w for n in [len(re.findall(f"(?={edge(w)})", t))] if n}
+        got = joined.collect()
+        assert {(r.i, r.keyword): r.n for r in got} == want and len(got) == len(want) and all(r.g == r.i % 3 for r in got)
