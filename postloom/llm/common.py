@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.session import scratch_path
+from postloom.session import give_back, scratch_path
 
 # Rows of an Arrow batch are handed on in slices of about so many bytes of text.
 PIECE_BYTES = 8 << 20
@@ -47,13 +46,6 @@ def row_key(columns: list[str]):
     return F.xxhash64(*cells, *marks), F.xxhash64(F.lit(1), *marks, *cells)
 
 
-def give_back() -> None:
-    """What this Python process no longer uses goes back to the system: workers outlive their tasks, and the pools keep what they once had."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):  # glibc only
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def lean(run: Callable) -> Callable:
     """`run` over batches, with its memory given back at the end of the task."""
     def work(batches):

@@ -6,10 +6,11 @@ tree (markdown of nested lists, pills inside a section, cards, selectors) goes t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.entities import html5
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from postloom.functions.classify import months_to_level
 from postloom.functions.predicates import clean_token
 from postloom.functions.text import as_col, company_size, compose_location, let, strip
 from postloom.operators.setops import distinct_ordered_items
+from postloom.session import give_back
+
+PAGES = 128  # results are packed for so many pages at a time
 
 # How page texts show these characters; all other names are those of HTML 5.
 SHOWN_AS = {"&nbsp;": " "}
@@ -91,15 +95,30 @@ def links(html: Column | str, href_part: str = "") -> Column:
     return F.filter(every, lambda h: F.contains(h, F.lit(href_part))) if href_part else every
 
 
-def html_to_markdown(html: Column | str) -> Column:
-    """Markdown of an HTML fragment (Arrow)."""
+def _per_page(kind: str, of: Callable, *columns: Column | str) -> Column:
+    """`of` of each page (Arrow): one page is an object of Python at a time, results are packed every `PAGES` pages."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    packed = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:  # of one column: the column itself
+            values = (of(*(v.as_py() for v in row)) for row in zip(*(batch if isinstance(batch, tuple) else (batch,))))
+            parts = []
+            while len(part := pa.array(list(islice(values, PAGES)), packed)):
+                parts.append(part)
+            yield pa.concat_arrays(parts) if parts else pa.array([], packed)
+            del batch, values, parts, part
+            give_back()
 
-    @F.pandas_udf("string")
-    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(markup.to_markdown)
+    return run(*[as_col(c) for c in columns])
 
-    return convert(as_col(html))
+
+def html_to_markdown(html: Column | str) -> Column:
+    """Markdown of an HTML fragment (Arrow)."""
+    return _per_page("string", markup.to_markdown, html)
 
 
 def pill_texts(html: Column | str, *, heading: str = "Top Skills", heading_tag: str = "h2",
@@ -107,12 +126,7 @@ def pill_texts(html: Column | str, *, heading: str = "Top Skills", heading_tag:
                classes: str | None = vocab.PILL_CLASSES) -> Column:
     """Raw pill texts of a section (Arrow); `top_skills` applies the rules."""
 
-    @F.pandas_udf("array<string>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda h: markup.pills_after(h, heading, heading_tag, containers, tags, classes))
-
-    return read(as_col(html))
+    return _per_page("array<string>", lambda h: markup.pills_after(h, heading, heading_tag, containers, tags, classes), html)
 
 
 def top_skills(pills: Column | str, n: int = 10) -> Column:
@@ -167,13 +181,9 @@ def cards(df: DataFrame, html: str = "html", keep: list[str] = (), *, url: str |
 
     `url` names the column with the page's address, against which links are resolved. Null and empty pages have no cards."""
 
-    @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in CARD_ROW.split(', '))}>>")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for pages, places in batches:
-            yield pd.Series([selectors.cards_of(page, place) for page, place in zip(pages, places)], dtype=object)
-
     place = F.col(url) if url else F.lit(None).cast("string")
-    return df.select(*keep, read(F.col(html), place).alias("_cards")).select(*keep, F.inline("_cards"))
+    kind = f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in CARD_ROW.split(', '))}>>"
+    return df.select(*keep, _per_page(kind, selectors.cards_of, html, place).alias("_cards")).select(*keep, F.inline("_cards"))
 
 
 def elements(html: Column | str, wanted: dict[str, str], attribute: str | None = None) -> Column:
@@ -183,14 +193,12 @@ def elements(html: Column | str, wanted: dict[str, str], attribute: str | None =
     for text in wanted.values():
         selectors.selector(text)  # errors are the caller's, not a task's
 
-    @F.pandas_udf("struct<" + ", ".join(f"`{name}`: array<string>" for name in wanted) + ">")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            roots = [markup.read(page or "") for page in batch]
-            yield pd.DataFrame({name: [[selectors.squeezed(n) if attribute is None else n.attrs.get(attribute) for n in selectors.select(root, text)]
-                                       for root in roots] for name, text in wanted.items()}, index=batch.index)
+    def find(page: str | None) -> dict[str, list]:
+        with markup.tree(page or "") as root:
+            return {name: [selectors.squeezed(n) if attribute is None else n.attrs.get(attribute) for n in selectors.select(root, text)]
+                    for name, text in wanted.items()}
 
-    return find(as_col(html))
+    return _per_page("struct<" + ", ".join(f"`{name}`: array<string>" for name in wanted) + ">", find, html)
 
 
 def card_text(c: Column | str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +57,12 @@ def checkpointed(df):
     """Write `df` to the shared checkpoint folder and go on from the files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def give_back() -> None:
+    """What this Python process no longer uses goes back to the system: workers outlive their tasks, and the pools keep what they once had."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

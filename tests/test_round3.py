@@ -73,3 +73,19 @@ def test_keyword_table_of_many_keywords_stays_a_table(spark):
         want = {(i, w): n for i, t in enumerate(texts) if t for w in words if w for n in [len(re.findall(f"(?={edge(w)})", t))] if n}
         got = joined.collect()
         assert {(r.i, r.keyword): r.n for r in got} == want and len(got) == len(want) and all(r.g == r.i % 3 for r in got)
+
+
+def test_pages_leave_no_trees_behind():
+    import gc
+
+    from postloom.functions import markup, selectors
+
+    page = "<div id='job-card-1'><h2><a href='/job/1'>T</a></h2><a href='/company/1'>C</a></div><ul><li>x<ul><li>y</li></ul></li></ul>"
+    gc.collect()
+    gc.disable()
+    try:
+        assert len(selectors.cards_of(page, None)) == 1 and "- x" in markup.to_markdown(page)
+        markup.pills_after(page, "T", "h2", ("div", "ul"), ("li",), None)
+        assert not [o for o in gc.get_objects() if isinstance(o, markup.Node)]
+    finally:
+        gc.enable()
