@@ -100,4 +100,5 @@ class KeyIndex:
         are looked up once, and AQE may split the rows of a hot one."""
         if unique:
             return df.join(self.keys().hint("merge"), self.key, "left_anti")
-        return df.join(self.known(df), self.key, "left_anti")
+        # dealt anew: else the rows of `df` would come in as many partitions as the index has buckets
+        return df.join(self.known(df).repartition(self.key), self.key, "left_anti")

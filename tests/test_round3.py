@@ -89,3 +89,16 @@ def test_pages_leave_no_trees_behind():
         assert not [o for o in gc.get_objects() if isinstance(o, markup.Node)]
     finally:
         gc.enable()
+
+
+def test_rows_meet_the_key_index_in_more_partitions_than_its_buckets(spark):
+    from postloom.session import scratch_path
+    from postloom.sources.staging import KeyIndex
+
+    index = KeyIndex(spark, scratch_path(spark, "done"), "k", "bigint", buckets=2)
+    index.add(spark.range(0, 100, 2).withColumnRenamed("id", "k"))
+    rows = spark.range(400).selectExpr("id % 101 AS k", "id").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT), 400L"))
+    left = index.pending(rows)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+    assert sorted(r.id for r in left.collect()) == sorted(i for i in range(400) if (i % 101) % 2 or i % 101 == 100) + [400]
