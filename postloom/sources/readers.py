@@ -77,7 +77,9 @@ def yaml_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_yaml(files: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """One record per (file_name, value) row: (file_name plus the schema's columns, file_name plus error)."""
-    parsed = files.mapInPandas(_yaml_to_json(schema), "file_name string, json string, error string")
+    # Parsing takes a hundred times longer than reading: a few small files of rows would be a few long tasks. AQE keeps a number that is given.
+    dealt = files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+    parsed = dealt.mapInPandas(_yaml_to_json(schema), "file_name string, json string, error string")
     ok = (parsed.filter(F.col("error").isNull())
           .select("file_name", F.from_json("json", schema).alias("r")).select("file_name", "r.*"))
     return ok, parsed.filter(F.col("error").isNotNull()).select("file_name", "error")

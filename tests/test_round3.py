@@ -102,3 +102,11 @@ def test_rows_meet_the_key_index_in_more_partitions_than_its_buckets(spark):
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
     assert sorted(r.id for r in left.collect()) == sorted(i for i in range(400) if (i % 101) % 2 or i % 101 == 100) + [400]
+
+
+def test_yaml_rows_of_one_partition_are_parsed_by_many_tasks(spark):
+    from postloom.sources import readers
+
+    files = spark.createDataFrame([(f"{i}.yaml", f"job_id: '{i}'") for i in range(50)], "file_name string, value string").coalesce(1)
+    ok, bad = readers.extracted_records(files)
+    assert ok.rdd.getNumPartitions() > 1 and ok.count() == 50 and bad.count() == 0
