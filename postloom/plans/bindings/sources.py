@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postloom import schemas
 from postloom.plans.bindings.common import query, table
-from postloom.session import scratch_path
+from postloom.session import scratch_path, stored
 from postloom.sources import readers, staging, writers, yaml_source
 
 
@@ -45,8 +45,10 @@ def yaml_records(spark, sf):
     record = F.concat(F.lit("job_id: '"), F.col("s_suppkey").cast("string"), F.lit("'\ntitle: "), title, F.lit("\nskills:\n  - x\n  - y\n"))
     path = scratch_path(spark, "yaml-files")
     rows = table(spark, sf, "supplier").select(record.alias("value"), (F.col("s_suppkey") % 64).alias("part"))
-    rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
-    parsed = yaml_source.load(spark, path, schemas.EXTRACTED, pattern="part-*", taskFiles=50)
+    # Files are what takes the time: they are made by 64 tasks, which also put them in place, and read once for both tables.
+    rows.repartition(64, "part").write.partitionBy("part").option("maxRecordsPerFile", 1).option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    parsed = stored(yaml_source.load(spark, path, schemas.EXTRACTED, pattern="part-*", taskFiles=50), "yaml-read")
     ok, bad = yaml_source.records(parsed, schemas.EXTRACTED)
     good = ok.select("job_id", "title", F.array_join("skills", "|").alias("skills"), F.lit(False).alias("bad"))
     return good.unionByName(bad.select(*[F.lit("").alias(c) for c in ("job_id", "title", "skills")], F.lit(True).alias("bad")))

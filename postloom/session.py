@@ -59,6 +59,13 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, label: str):
+    """`df` written as a table in the shared folder and read back: its work is done once, readers take the columns they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def give_back() -> None:
     """What this Python process no longer uses goes back to the system: workers outlive their tasks, and the pools keep what they once had."""
     import pyarrow as pa
