@@ -1,6 +1,6 @@
 """Ready-made reports: each takes postings (live schema) or listing cards and returns named DataFrames.
 
-Nothing runs until a section is used. Stage the postings once as parquet (`writers.compact`) and
+Nothing runs until a section is used, but where sections share a search of the texts: that is done once and stored. Stage the postings once as parquet (`writers.compact`) and
 pass that table: every section is then one pruned scan and one aggregate.
 """
 
@@ -16,6 +16,7 @@ from postloom.functions.access import flatten_skills, get_path, items, row_count
 from postloom.functions.taxonomy import Taxonomy, bucket_contains
 from postloom.functions.text import contains_any, link_tail_id, truncate_preview
 from postloom.operators import cooccur, counts, joins, nesting, ranking, setops
+from postloom.session import stored
 
 Report = dict[str, DataFrame]
 FIRST, SUPPORT, ML = "ai-first", "ai-support", "ml-first"
@@ -133,13 +134,15 @@ def support_roles(postings: DataFrame) -> Report:
     """What support roles do, and research against applied roles."""
     p = flat(postings)
     title, body, uses = F.lower("title"), F.array_join("responsibilities", " "), F.array_join("use_cases", " ")
-    support = p.filter(F.col("kind") == SUPPORT).withColumn(
-        "category", Taxonomy(vocab.SUPPORT_ROLE_TAXONOMY).first_match_in([title, body], "Other"))
+    category = Taxonomy(vocab.SUPPORT_ROLE_TAXONOMY).first_match_in([title, body], "Other")
     research = C.score_compare(title, [body, uses], for_words=vocab.RESEARCH_INDICATORS, against_words=vocab.APPLIED_INDICATORS,
                                title_words=vocab.RESEARCH_TITLE_WORDS)
-    judged = p.withColumn("research", research)
-    hit = F.col("research.hit")
-    first_task = F.get("responsibilities", F.lit(0))
+    # the texts are searched once, the sections read a few short columns
+    judged = stored(p.select("job_id", "company", "title", "kind", F.when(F.col("kind") == SUPPORT, category).alias("category"), research.alias("research"),
+                             (F.size("responsibilities") > 0).alias("has_tasks"), F.substring(F.get("responsibilities", F.lit(0)), 1, 100).alias("first_task")),
+                    "support-roles")
+    support = judged.filter(F.col("kind") == SUPPORT)
+    hit, first_task = F.col("research.hit"), F.col("first_task")
     label = (F.when(hit, "research").when(F.col("kind") == FIRST, "applied").when(F.col("kind") == SUPPORT, "support"))
     samples = counts.group_items(support, "category", "title", 5)
     example = support.groupBy("category").agg(F.min_by(first_task, F.col("job_id")).alias("example"))
@@ -150,7 +153,7 @@ def support_roles(postings: DataFrame) -> Report:
         "research_reasons": _ranked(judged.select("research.reason"), "reason"),
         "research_by_type": _ranked(judged.filter(hit), "kind"),
         "research_titles": judged.filter(hit).select("title").distinct().orderBy("title").limit(15),
-        "examples": _examples(judged.filter(F.size("responsibilities") > 0), label, 1, "company", "title", truncate_preview(first_task, 100).alias("example")),
+        "examples": _examples(judged.filter("has_tasks"), label, 1, "company", "title", truncate_preview(first_task, 100).alias("example")),
     }
 
 
@@ -232,7 +235,9 @@ def support_skills(postings: DataFrame) -> Report:
 
 def _item_report(postings: DataFrame, column: str, taxonomy: list, stop_words: list[str]) -> Report:
     rows = nesting.explode_with_source(flat(postings), column, ["job_id", "company", "title", "kind"])
-    labelled = rows.withColumn("category", Taxonomy(taxonomy).first_match("item"))
+    # the items are labelled once, the sections read the columns they need
+    labelled = stored(rows.withColumn("category", Taxonomy(taxonomy).first_match("item")), "items")
+    rows = labelled.drop("category")
     return {
         "items": rows,
         "categories": ranking.order_by_size(counts.group_items(labelled, "category", "item", 5), "n", "category"),

@@ -110,3 +110,16 @@ def test_yaml_rows_of_one_partition_are_parsed_by_many_tasks(spark):
     files = spark.createDataFrame([(f"{i}.yaml", f"job_id: '{i}'") for i in range(50)], "file_name string, value string").coalesce(1)
     ok, bad = readers.extracted_records(files)
     assert ok.rdd.getNumPartitions() > 1 and ok.count() == 50 and bad.count() == 0
+
+
+def test_report_sections_do_not_search_the_texts_again(spark):
+    from postloom.plans import reports as R
+    from postloom.plans.bindings.common import postings
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    staged = postings(spark, SF)
+    roles, items = R.support_roles(staged), R.responsibilities(staged)
+    for section in ("categories", "research_split", "research_reasons", "research_by_type"):
+        assert "ontains(" not in plan(roles[section])
+    for section in ("categories", "uncategorized", "by_type", "words"):
+        assert "ontains(" not in plan(items[section])
