@@ -54,34 +54,63 @@ def skills_summary(skills: Column | str, categories: list[str] = vocab.SKILL_CAT
                     F.coalesce(F.size(as_col(skills)), F.lit(0)).alias("count"))
 
 
+HELD_ROWS = 4096  # so many rows of a key are put in order inside one row, however small its parts are
+KEY_BUCKETS = 1 << 18
+
+
+def _keys_above(keys: DataFrame, key: str, most: int) -> tuple[DataFrame | None, int]:
+    """Keys with more than `most` rows as `key, _n`, and how many there are. Hash buckets are counted first, a bounded number of
+    them; keys are counted only in buckets that are above `most` themselves."""
+    dealt = keys.filter(F.col(key).isNotNull()).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)))
+    buckets = checkpointed(dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_bucket"))
+    n_buckets = buckets.count()
+    if not n_buckets:
+        return None, 0
+    counted = join_known(dealt, buckets, n_buckets, "_bucket", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpointed(counted.filter(F.col("_n") > most))
+    return hot, hot.count()
+
+
 def nest_rows(rows: DataFrame, key: str, category: str, item: str, order: list[str], categories: list[str],
-              *, part_size: int = 50_000) -> DataFrame:
+              *, part_size: int = 50_000, held_rows: int = HELD_ROWS) -> DataFrame:
     """Long (key, category, item) rows as nested records: `key, part, <one array per category>`.
 
     Rows of a key have a total order: `order`, then category, then item. Part p holds the rows at positions
     p * part_size + 1 to (p + 1) * part_size, so reading a key's parts one after the other gives its lists in `order`, and
-    no task holds more than `part_size` rows of a key. Only keys with more than one part are numbered. Equal rows of such a
-    key are counted before they are laid out again with a running number that breaks their tie.
+    no task holds more than `part_size` or `held_rows` rows of a key, whichever is more. Keys within that are gathered once,
+    sorted and cut into parts inside their row. Only larger keys are numbered. Equal rows of such a key are counted before
+    they are laid out again with a running number that breaks their tie.
     """
     rows = rows.select(key, category, *order, item)
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size)
-    hot = checkpointed(sizes)
-    n_hot = hot.count()
-    parted = rows.withColumn("part", F.lit(0))
-    if n_hot:
-        marked = join_known(rows, hot, n_hot, key)
-        cold = marked.filter(F.col("_n").isNull()).drop("_n").withColumn("part", F.lit(0))
-        equal = marked.filter(F.col("_n").isNotNull()).groupBy(key, category, *order, item).agg(F.count(F.lit(1)).alias("_m"))
-        runs = equal.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / part_size))).alias("_run"))
-        laid = runs.select(key, category, *order, item, "_run", F.explode(F.sequence(
-            F.lit(1), F.least(F.col("_m") - F.col("_run") * part_size, F.lit(part_size)))).alias("_copy"))
-        numbered = number_rows(laid, [*order, category, item, "_run", "_copy"], group=[key], name="_at")
-        split = numbered.withColumn("part", F.floor((F.col("_at") - 1) / part_size).cast("int")).drop("_run", "_copy", "_at")
-        parted = cold.unionByName(split)
-    entry = F.struct(*[F.col(o) for o in order], F.col(item).alias("_item"))
-    gathered = parted.groupBy(key, "part").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col(category) == c, entry))).alias(c) for c in categories])
-    return gathered.select(key, "part", *[F.transform(c, lambda e: e.getField("_item")).alias(c) for c in categories])
+    held = max(part_size, held_rows)
+    hot, n_hot = _keys_above(rows.select(key), key, held)
+    entry = F.struct(*[F.col(o) for o in order], F.col(category).alias("_category"), F.col(item).alias("_item"))
+
+    def nested(parts: DataFrame) -> DataFrame:
+        def of(c: str) -> Column:
+            own = F.filter("_rows", lambda e: e.getField("_category") == c)
+            return F.transform(own, lambda e: e.getField("_item")).alias(c)
+
+        return parts.select(key, "part", *[of(c) for c in categories])
+
+    def gathered(some: DataFrame, *by: str) -> DataFrame:
+        return some.groupBy(key, *by).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        parts = F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / part_size).cast("int"))
+        return gathered(some).select(key, F.posexplode(F.transform(parts, lambda p: F.slice("_rows", p * part_size + 1, part_size))).alias("part", "_rows"))
+
+    if not n_hot:
+        return nested(cut(rows))
+    marked = join_known(rows, hot, n_hot, key)
+    equal = marked.filter(F.col("_n").isNotNull()).groupBy(key, category, *order, item).agg(F.count(F.lit(1)).alias("_m"))
+    runs = equal.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / part_size))).alias("_run"))
+    laid = runs.select(key, category, *order, item, "_run", F.explode(F.sequence(
+        F.lit(1), F.least(F.col("_m") - F.col("_run") * part_size, F.lit(part_size)))).alias("_copy"))
+    numbered = number_rows(laid, [*order, category, item, "_run", "_copy"], group=[key], name="_at")
+    split = numbered.withColumn("part", F.floor((F.col("_at") - 1) / part_size).cast("int"))
+    cold = cut(marked.filter(F.col("_n").isNull()))
+    return nested(cold.unionByName(gathered(split, "part")))
 
 
 def unnest_skills(df: DataFrame, skills: str, keep: list[Column | str],
