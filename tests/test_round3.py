@@ -145,3 +145,22 @@ def test_small_keys_are_cut_into_parts_without_numbering(spark):
     for out in nested.values():
         got = out.collect()
         assert len(got) == len(want) and {(r.k, r.part): (r.a, r.b) for r in got} == want
+
+
+def test_pairs_of_many_items_are_shuffled_as_number_lists(spark):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from postloom.operators import cooccur
+
+    rnd = random.Random(11)
+    records = [{f"w{int(rnd.paretovariate(0.6)) % 300:03d}" for _ in range(rnd.choice([0, 1, 2, 9, 60]))} for _ in range(80)]
+    rows = spark.createDataFrame([(k, w) for k, s in enumerate(records) for w in s] + [(0, None), (None, "w001")], "k int, w string").repartition(5)
+    for block in (7, 1024):
+        for least in (2, 5):
+            want = {p: n for p, n in Counter(p for s in records for p in combinations(sorted(s), 2)).items() if n >= least}
+            pairs = cooccur.pair_counts_rows(rows, "k", "w", min_count=least, block=block, few_items=0)
+            got = pairs.collect()
+            assert "Repartition" in pairs._jdf.queryExecution().optimizedPlan().toString()
+            assert len(got) == len(want) and {(r.a, r.b): r.n for r in got} == want and dict(pairs.dtypes)["n"] == "bigint"
