@@ -174,7 +174,7 @@ def _word_codes() -> np.ndarray:
     return np.array([_is_word(chr(c)) for c in range(0x110000)])
 
 
-def _candidates(table: np.ndarray, classes: dict[int, list[int]], texts: list[str], whole_words: bool) -> tuple[np.ndarray, list[str]]:
+def _candidates(table: np.ndarray, classes: dict[int, list[int]], texts: list[str], whole_words: bool) -> tuple[np.ndarray, pa.Array]:
     """(number of the text, substring) wherever a substring may be a keyword."""
     joined = "".join(texts)
     hashes, sizes = _Hashes(joined), np.array([len(t) for t in texts], np.int64)
@@ -194,7 +194,18 @@ def _candidates(table: np.ndarray, classes: dict[int, list[int]], texts: list[st
         begin = np.repeat(ends - sizes, sizes)
         alone = ((start == begin[start]) | ~word[start - 1]) & ((start + length == end[start]) | ~word[start + length])
         start, length = start[alone], length[alone]
-    return np.searchsorted(ends, start, "right"), [joined[a:b] for a, b in zip(start.tolist(), (start + length).tolist())]
+    return np.searchsorted(ends, start, "right"), _substrings(joined, hashes.codes, start, length)
+
+
+def _substrings(text: str, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """text[start:start + length] for every start, copied as UTF-8 bytes in one go."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+    first, sizes = at[start], at[start + length] - at[start]
+    ends = np.cumsum(sizes)
+    taken = data[np.repeat(first - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(taken))
 
 
 def _bit_table_scan(table: Broadcast, lengths: list[int], keep: list[str], whole_words: bool):
@@ -212,10 +223,12 @@ def _bit_table_scan(table: Broadcast, lengths: list[int], keep: list[str], whole
                     continue
                 if i > first:
                     which, found = _candidates(table.value, classes, texts[first:i], whole_words)
-                    counted = pa.table({"i": which + first, "keyword": pa.array(found, pa.string())}).group_by(["i", "keyword"]).aggregate([([], "count_all")])
-                    left = batch.select(keep).take(counted.column("i").combine_chunks())
-                    yield pa.RecordBatch.from_arrays([*left.columns, counted.column("keyword").combine_chunks(), counted.column("count_all").combine_chunks()],
-                                                     [*keep, "keyword", "n"])
+                    coded = found.dictionary_encode()
+                    names = max(1, len(coded.dictionary))
+                    both, counts = np.unique(which * names + coded.indices.to_numpy(), return_counts=True)
+                    left = batch.select(keep).take(pa.array(both // names + first))
+                    words = coded.dictionary.take(pa.array(both % names)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([*left.columns, words, pa.array(counts, pa.int64())], [*keep, "keyword", "n"])
                 first, held = i, len(t or "")
 
     return run

@@ -164,3 +164,17 @@ def test_pairs_of_many_items_are_shuffled_as_number_lists(spark):
             got = pairs.collect()
             assert "Repartition" in pairs._jdf.queryExecution().optimizedPlan().toString()
             assert len(got) == len(want) and {(r.a, r.b): r.n for r in got} == want and dict(pairs.dtypes)["n"] == "bigint"
+
+
+def test_substrings_are_copied_whole_not_sliced_one_by_one():
+    import numpy as np
+
+    from postloom.operators import keywords
+
+    text = "aß€😀 x\u0130b" * 3
+    at = [(a, n) for a in range(len(text)) for n in range(len(text) - a + 1)]
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    got = keywords._substrings(text, codes, *(np.array(c, np.int64) for c in zip(*at)))
+    assert got.to_pylist() == [text[a:a + n] for a, n in at]
+    none = np.zeros(0, np.int64)
+    assert keywords._substrings("", codes[:0], none, none).to_pylist() == []
